@@ -28,7 +28,7 @@ f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
 g AS (SELECT DISTINCT w.doc_id, w.p + o AS i FROM w JOIN f USING (s), range(0, 13) AS t(o) WHERE f.first_id < w.doc_id),
 c AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), x -> NOT list_contains(gone, x)), x -> ws[x]) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE [ws[x] for x in range(1, len(ws) + 1) if NOT list_contains(gone, x)] END, ' ')) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)
 """,
 }
