@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, substring_bytes, substring_words
+from . import jaccard, oracles, substring_bytes, substring_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_bytes.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_array_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_suffix_array_dedup, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
