@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, oracles, quality, substring_bytes, substring_words, tokens
+from . import decontaminate, jaccard, language, oracles, quality, secrets, substring_bytes, substring_words, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_words.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_language_id, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op5_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_language_id, op9_substring_dedup, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
