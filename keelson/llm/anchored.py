@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH_BYTES, bucket_of, by_bucket, pack_deltas, passes, run_lengths, runs, spread, text_bytes, tune, unpack_deltas
+from .common import FLUSH_BYTES, bucket_of, by_bucket, pack_deltas, passes, run_lengths, runs, spread, text_bytes, texts, tune, unpack_deltas
 from .kernels import flat, mix
 
 PACKED = "bucket int, kind int, k binary, c binary, d binary, f binary"
@@ -54,14 +54,10 @@ class Scan:
 
 
 def code1(key: np.ndarray, n: int) -> np.ndarray:
-    """What round 1 keeps of a key: 32 bits besides the bucket. A clash only sends an anchor on to round 2, which is exact."""
+    """What the first rounds keep of a key: 32 bits besides the bucket. A clash only sends an anchor on to the next round."""
     return (bucket_of(key, n).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
 
 
-def code2(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(key * np.uint64(0x9FB21C651E98DF25) + context)
-
-
 def among(doc: np.ndarray, code: np.ndarray, in_doc: np.ndarray, in_code: np.ndarray) -> np.ndarray:
     """Which (doc, code) pairs are among the others."""
     if not len(in_code) or not len(code):
@@ -83,7 +79,9 @@ def spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def packed_rows(bucket_count: int, key: np.ndarray, ids: np.ndarray, context: np.ndarray | None = None, flag: np.ndarray | None = None, short: bool = False) -> pa.RecordBatch | None:
     if not len(key):
         return None
-    order, begin = by_bucket(bucket_of(key, bucket_count), bucket_count)
+    by_document = np.argsort(ids, kind="stable")
+    order, begin = by_bucket(bucket_of(key[by_document], bucket_count), bucket_count)
+    order = by_document[order]
     key, ids = key[order], ids[order]
     context, flag = (None if x is None else x[order] for x in (context, flag))
     rows: list[tuple] = []
@@ -202,7 +200,7 @@ def reduced(n: int, short: bool, decide: Callable[..., Iterator[pa.RecordBatch |
                 bucket = batch.column("bucket")[i].as_py()
                 key = np.frombuffer(k, np.uint32 if short else np.uint64)
                 c, f = batch.column("c")[i].as_py(), batch.column("f")[i].as_py()
-                parts.append((key, unpack_deltas(batch.column("d")[i].as_py()), np.zeros(0, np.uint64) if c is None else np.frombuffer(c, np.uint64), np.zeros(0, bool) if f is None else np.unpackbits(np.frombuffer(f, np.uint8), count=len(key)).astype(bool)))
+                parts.append((key, unpack_deltas(batch.column("d")[i].as_py(), len(key)), np.zeros(0, np.uint64) if c is None else np.frombuffer(c, np.uint64), np.zeros(0, bool) if f is None else np.unpackbits(np.frombuffer(f, np.uint8), count=len(key)).astype(bool)))
         if parts:
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             parts.clear()
@@ -225,19 +223,16 @@ def second_round(scheme: Scheme, n1: int, n: int):
     def send(key, context, ids):
         key, context, ids = unique_rows(key, context, ids)
         block = runs(key, context)
-        block_size = run_lengths(block, len(key))
         first = np.zeros(len(key), bool)
         first[block] = True
-        code = code2(key, context)
-        yield passed_on(FULL, ids[~first], code[~first], n)
+        yield passed_on(FULL, ids[~first], context[~first], n)
         bk, bc, bd = key[block], context[block], ids[block]
         begin = runs(bk)
         size = run_lengths(begin, len(bk))
         mixed = np.repeat(size > 1, size)
-        yield passed_on(OPEN, bd[mixed], code2(bk[mixed], bc[mixed]), n)
+        yield passed_on(OPEN, bd[mixed], bc[mixed], n)
         one = size == 1
-        yield packed_rows(n, bk[begin], bd[begin], context=np.where(one, bc[begin], np.uint64(0)), flag=~one)
-        del block_size
+        yield packed_rows(n, bk[begin], bd[begin], context=np.where(one, bc[begin], np.uint64(0)), flag=~one, short=True)
 
     def run(batches):
         held = Gathered(3)
@@ -263,13 +258,12 @@ def decide_contexts(bucket, key, ids, context, flag):
     several = (np.diff(blocks_of_key) > 1) | np.maximum.reduceat(flag, begin)
     several_row = np.repeat(several, size)
     least = np.repeat(ids[block], block_size)
-    code = code2(key, context)
     full = ~flag & (ids > least)
-    yield replies(FULL, ids[full], code[full])
+    yield replies(FULL, ids[full], context[full])
     first = np.zeros(len(key), bool)
     first[block] = True
     opened = first & ~flag & several_row
-    yield replies(OPEN, ids[opened], code[opened])
+    yield replies(OPEN, ids[opened], context[opened])
 
 
 def third_round(scheme: Scheme, n: int):
@@ -298,9 +292,8 @@ def third_round(scheme: Scheme, n: int):
         none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         for ids, known, buf, offsets, marks in documents(batches, True):
             s = scheme.scan(buf, offsets)
-            code = code2(s.key, s.context)
-            full = among(s.doc, code, *marks.get(FULL, none))
-            opened = among(s.doc, code, *marks.get(OPEN, none)) & ~full
+            full = among(s.doc, s.context, *marks.get(FULL, none))
+            opened = among(s.doc, s.context, *marks.get(OPEN, none)) & ~full
             yield from filter(None, [ranges(FULL_RANGE, s, ids, full), ranges(OPEN_RANGE, s, ids, opened)])
             at = spans(s.low[opened], s.high[opened])
             owner = np.repeat(s.doc[opened], s.high[opened] - s.low[opened] + 1)
@@ -348,16 +341,18 @@ def removal(docs: DataFrame, scheme: Scheme, finish: Callable, schema: str) -> D
     """Applies the rounds; finish(batches) turns (doc_id, text, marks) into the result."""
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     total = text_bytes(docs)
     n, parts = spread(total, 32 << 20), spread(total, 48 << 20)
-    dealt = docs.repartition(parts, "doc_id")
+    # The same filter for all joins, or Catalyst would add one to some and the exchange would run twice
+    dealt = docs.where("doc_id is not null").repartition(parts, "doc_id")
 
     def together(sent: DataFrame, short: bool, decide) -> DataFrame:
         rows = sent.repartitionById(n, F.col("bucket")).mapInArrow(reduced(n, short, decide), REPLY)
         return rows.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "codes")).alias("marks"))
 
     keys = together(dealt.mapInArrow(first_round(scheme, n), PACKED), True, decide_keys)
-    blocks = together(dealt.join(keys, "doc_id").mapInArrow(second_round(scheme, n, n), PACKED), False, decide_contexts)
+    blocks = together(dealt.join(keys, "doc_id").mapInArrow(second_round(scheme, n, n), PACKED), True, decide_contexts)
     windows = together(dealt.join(blocks, "doc_id").mapInArrow(third_round(scheme, n), PACKED), False, decide_windows)
-    return dealt.join(windows, "doc_id", "left").mapInArrow(finish, schema)
+    nameless = docs.where("doc_id is null").withColumn("marks", F.lit(None).cast("array<struct<kind:int,codes:binary>>"))
+    return dealt.join(windows, "doc_id", "left").unionByName(nameless).mapInArrow(finish, schema)

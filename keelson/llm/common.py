@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,10 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > 1024:
         spark.conf.set(key, "1024")
+    # Workers look for the package where the driver found it, whatever their working directory
+    there, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in there.get("PYTHONPATH", "").split(os.pathsep):
+        there["PYTHONPATH"] = os.pathsep.join(filter(None, [root, there.get("PYTHONPATH", "")]))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,14 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/keelson-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write = df.write.option("compression", "zstd")
+    (write.partitionBy(by) if by else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string. Without a cast there is no alias either: aliases make equal exchanges differ."""
+    kinds = dict(docs.dtypes)
+    as_is = lambda c, kind: F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c)
+    return docs.select(as_is("doc_id", "bigint"), as_is("text", "string"))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column: one number, from all rows."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0])
@@ -63,21 +77,19 @@ def passes(batch_column: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int
 
 
 def pack_deltas(ids: np.ndarray) -> bytes:
-    """Document ids as differences in the smallest type that holds them; the first byte names the type."""
-    d = np.diff(ids, prepend=np.int64(0))
-    for code, kind in enumerate((np.int8, np.int16, np.int32)):
-        info = np.iinfo(kind)
-        rest = d[1:]
-        if not len(rest) or (rest.min() >= info.min and rest.max() <= info.max):
-            return bytes([code]) + ids[:1].tobytes() + rest.astype(kind).tobytes()
-    return bytes([3]) + ids[:1].tobytes() + d[1:].tobytes()
-
-
-def unpack_deltas(blob: bytes) -> np.ndarray:
-    kind = (np.int8, np.int16, np.int32, np.int64)[blob[0]]
-    first = np.frombuffer(blob[1:9], np.int64)
-    rest = np.frombuffer(blob[9:], kind).astype(np.int64)
-    return np.cumsum(np.concatenate([first, rest]))
+    """Document ids, best in order: the first, a byte for each difference below 255, and the other differences in full."""
+    d = np.diff(ids)
+    small = np.where((d >= 0) & (d < 255), d, 255).astype(np.uint8)
+    return ids[:1].tobytes() + small.tobytes() + d[small == 255].tobytes()
+
+
+def unpack_deltas(blob: bytes, n: int) -> np.ndarray:
+    d = np.empty(n, np.int64)
+    d[:1] = np.frombuffer(blob, np.int64, 1)
+    small = np.frombuffer(blob, np.uint8, n - 1, 8)
+    d[1:] = small
+    d[1:][small == 255] = np.frombuffer(blob[7 + n :], np.int64)
+    return np.cumsum(d)
 
 
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:

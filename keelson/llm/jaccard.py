@@ -224,7 +224,7 @@ def meet(batches):
                 yield pairs(EQUAL, np.frombuffer(k.as_py(), np.int64), np.frombuffer(d.as_py(), np.int64))
             elif kind == RECORDS:
                 key.append(np.frombuffer(k.as_py(), np.uint32))
-                ids.append(unpack_deltas(d.as_py()))
+                ids.append(unpack_deltas(d.as_py(), len(key[-1])))
     if not key:
         return
     key, ids = unique_rows(np.concatenate(key), np.concatenate(ids))
