@@ -7,6 +7,40 @@ or sampled. Quadratic in places; meant for the small tables.
 from __future__ import annotations
 
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(p) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+""",
+    "op3_mixing_sources": r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
+s AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n FROM w GROUP BY source),
+t AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, CAST(count(*) FILTER (tokens > 0) AS DOUBLE) AS m FROM s),
+f(low, high) AS (SELECT 0, 1048577 UNION ALL
+  SELECT CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
+    SELECT f.low, f.high, (f.low + f.high) // 2 AS mid, (SELECT ln(sum(pow(tokens / total, x))) - sum(pow(tokens / total, x) * x * ln(tokens / total)) / sum(pow(tokens / total, x)) >= 0.97 * ln(any_value(m))
+      FROM s, t, (SELECT ((f.low + f.high) // 2) / 1048576.0::DOUBLE AS x) WHERE tokens > 0) AS ok FROM f WHERE f.high - f.low > 1)),
+o(low, high) AS (SELECT -1, 1048576 UNION ALL
+  SELECT CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
+    SELECT o.low, o.high, (o.low + o.high) // 2 AS mid, (SELECT max(pow(tokens / total, x) * total / tokens) / sum(pow(tokens / total, x)) > 4.0
+      FROM s, t, (SELECT ((o.low + o.high) // 2) / 1048576.0::DOUBLE AS x) WHERE tokens > 0) AS ok FROM o WHERE o.high - o.low > 1)),
+x AS (SELECT greatest((SELECT max(low) FROM f), (SELECT max(low) FROM o) + 1) / 1048576.0::DOUBLE AS x),
+z AS (SELECT sum(pow(tokens / total, x)) AS z FROM s, t, x WHERE tokens > 0),
+p AS (SELECT source, tokens, CAST(ceil(n / 1024.0) AS BIGINT) AS blocks, CASE WHEN tokens > 0 THEN pow(tokens / total, x) / z ELSE 0 END AS weight, total FROM s, t, x, z),
+g AS (SELECT *, CAST(floor(weight * total) AS BIGINT) AS goal FROM p),
+h AS (SELECT *, CASE WHEN tokens > 0 THEN goal // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN goal % tokens ELSE goal END AS rest FROM g),
+b AS (SELECT w.*, h.weight, h.whole, h.rest, CAST('0x' || substr(digest, 1, 12) AS BIGINT) % blocks AS block FROM w JOIN h USING (source))
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight,
+  CAST(whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY source ORDER BY block, digest, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies,
+  block, row_number() OVER (PARTITION BY source, block ORDER BY digest, doc_id, n_tokens) AS place FROM b
+""",
     "op5_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, h[2 * p + 1 : 2 * p + 100] AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(p)),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, oracles, quality, secrets, substring_bytes, substring_words, tokens
+from . import decontaminate, jaccard, language, mixing, nearest, oracles, quality, secrets, substring_bytes, substring_words, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_bytes.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +57,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op5_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_language_id, op9_substring_dedup, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_mixing_sources, op4_nearest_neighbours, op5_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_language_id, op9_substring_dedup, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
