@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..catalogue import Detector, severity_rank
 from ..functions import exprs as X
 
-MATCH = "struct<offset:int,matched:string,v:string,k:string>"
-
 
 def occurrences(content: Column, d: Detector) -> Column:
     """Array of (offset, v, k): 0-based place of the value in the text, the value, the key or null."""
@@ -36,11 +34,17 @@ def occurrences(content: Column, d: Detector) -> Column:
     )
 
 
+def _labelled(found: Column, facts: Column) -> Column:
+    return F.transform(found, lambda m: F.struct(facts.alias("d"), m.alias("m")))
+
+
 def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path", content: str = "content", check_extension: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each match that holds up: keep, path as file, place, masked facts. Rejected: no value, placeholders, low entropy.
 
     The text itself is not kept. entropy_exact is not rounded.
     """
+    if not detectors:
+        raise ValueError("no detectors")
     row = texts.select(*keep, F.col(path).alias("file"), F.col(content).alias("c"), F.lower(content).alias("lc"), X.extension(F.col(path)).alias("ext")).where(F.length("c") > 0)
     arrays = []
     for order, d in enumerate(detectors):
@@ -56,12 +60,9 @@ def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path
             F.lit(d.reject_placeholders).alias("strict"),
             F.lit(d.min_entropy).cast("double").alias("min_entropy"),
         )
-        none = F.array().cast(f"array<struct<d:struct<detector_order:int,detector_id:string,secret_type:string,severity:string,suggested_fix:string,strict:boolean,min_entropy:double>,m:struct<offset:int,v:string,k:string>>>")
         found = F.regexp_count(F.col("c"), F.lit(d.regex)) > 0
-        arrays.append(F.when(applies & found, F.transform(occurrences(F.col("c"), d), lambda m, facts=facts: F.struct(facts.alias("d"), m.alias("m")))).otherwise(none))
-    rows = row.select(*keep, "file", "c", F.explode(F.concat(*arrays)).alias("x")) if arrays else row.select(*keep, "file", "c").where(F.lit(False))
-    if not arrays:
-        return rows.select(*keep, "file", F.lit(0).alias("line"))
+        arrays.append(F.when(applies & found, _labelled(occurrences(F.col("c"), d), facts)))
+    rows = row.select(*keep, "file", "c", F.explode(F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))).alias("x"))
     v, k = F.col("x.m.v"), F.col("x.m.k")
     rows = rows.where(v != "").where(~F.col("x.d.strict") | ~X.is_placeholder(v))
     before = F.substring(F.col("c"), F.lit(1), F.col("x.m.offset"))
