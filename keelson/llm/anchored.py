@@ -9,7 +9,7 @@ holds the records of many anchors) and all of them linear in the text:
    every block but the first of its kind, by document id, repeats as a whole;
 3. windows: a first block whose key also has other contexts is compared window by window.
 
-Hot keys cannot pile up: a worker sends one record for a key from each 16 MB of text, and
+Hot keys cannot pile up: a worker sends one record for a key from each 8 MB of text, and
 answers the other documents of that text itself. The text is dealt by doc_id once; the plan
 uses that exchange again in each round. No round needs the driver.
 """

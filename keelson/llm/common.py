@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles; bounds a worker's memory for any batch.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 #: Text bytes whose packed records are joined before they leave a worker.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
