@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def spread(total: int, each: int, least: int = 8, most: int = 1 << 15) -> int:
 def passes(batch_column: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     from .kernels import slices
 
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch_column), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch_column), 0), dtype=np.int64)
     return slices(lengths, most)
 
 

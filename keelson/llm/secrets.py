@@ -112,12 +112,11 @@ def simulated(name: str, length: int) -> np.ndarray:
     out = np.empty(SIMULATED)
     place = {c: i for i, c in enumerate(letters)}
     for i in range(SIMULATED):
-        text = ""
+        text, style, digits = "", rng.integers(4), rng.random() * 0.4
         while len(text) < length:
             word = SYLLABLES[rng.integers(len(SYLLABLES))]
-            style = rng.integers(4)
-            text += word.capitalize() if style == 0 else word.upper() if style == 1 else word
-            if rng.random() < 0.2:
+            text += word.upper() if style == 0 else word if style == 1 else word.capitalize()
+            if rng.random() < digits:
                 text += str(rng.integers(100))
         text = text[:length]
         text = text.upper() if name in ("HEX", "base32") else text.lower() if name == "hex" else text
