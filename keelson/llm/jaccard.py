@@ -13,9 +13,11 @@ both sets of a pair come to the same use. Frequent contents, then empty ones, ar
 nothing else is left (large groups of near copies), so no link is lost.
 
 Sets that share a key are compared with the first of them, exactly; only where that leaves
-members in different components, the others are compared too. Equal sets within 16 MB of text
+members in different components, the others are compared too, the likeliest first. Before
+texts travel for a comparison, the histograms of both sets over BINS bins of hash values bound
+what they can have in common. Equal sets within 8 MB of text
 are linked at once and indexed as one. Nothing but counts and a list of at most HEAVY
-frequent shingles (64-bit hashes; any list is right, a good one is fast) reaches the driver.
+frequent shingles (1 MB of hashes; any list is right, a good one is fast) reaches the driver.
 
 Texts: A-Z count as a-z, words are `[^\\x20\\x09-\\x0D]+`, sets hold distinct shingles of
 five words; shorter texts have one shingle, null and blank ones none and link with nothing. A
@@ -32,17 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import PACKED, RECORDS, REPLIES, packed_rows, passed_on, unique_rows
-from .common import FLUSH_BYTES, passes, run_lengths, runs, shared_dir, spread, stored, tune, unpack_deltas
+from .anchored import _PACKED, PACKED, RECORDS, REPLIES, packed_rows, passed_on, unique_rows
+from .common import FLUSH_BYTES, passes, run_lengths, runs, shared_dir, spread, stored, text_bytes, texts, tune, unpack_deltas
 from .components import connected
 from .kernels import U64, ascii_lower, distinct, flat, mix, shingles
 
 #: Most frequent shingles that are told to all workers: 512 KB at most.
-HEAVY = 1 << 16
-#: A shingle in this share of all documents is frequent.
-FREQUENT = 1e-3
+HEAVY = 1 << 17
+#: A shingle in so many documents is frequent, as far as the list goes; and in so many of one stretch of text, it is counted.
+FREQUENT, COUNTED = 8, 3
 _PAIR = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
-CANDIDATE, EQUAL, BUCKET = range(3)
+CANDIDATE, EQUAL, BUCKET, HISTOGRAM = range(4)
+BINS, CLIP = 512, 15
+#: Members of one list that one task compares with as many others.
+BLOCK = 1024
 CHUNK = 4096
 
 
@@ -82,11 +87,11 @@ def memberships(size: np.ndarray, t: Thresholds) -> tuple[np.ndarray, ...]:
     return who, group, plain, plain + -(-plain * 35 // 100) + 6, need
 
 
-def keys(values: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, t: Thresholds) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of sorted sets, and for each the number of its set."""
+def keys(values: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, t: Thresholds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sorted sets; for each the number of its set, and whether it need not meet others of this kind."""
     who, group, plain, segments, need = memberships(np.diff(offsets), t)
     if not len(who):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
     size = np.diff(offsets)[who]
     member = np.repeat(np.arange(len(who)), size)
     starts = np.cumsum(size) - size
@@ -119,7 +124,14 @@ def keys(values: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, t: Threshol
     before, common = sums((rare == 0).astype(np.int64))
     used |= (rare == 0) & (before < short[m])
     label = mix(group[m].astype(U64) * U64(0x2545F4914F6CDD1D) + s.astype(U64))
-    out, owner = [mix(content[used] + label[used])], [who[m[used]]]
+    others = np.add.reduceat(light.astype(np.int64), np.searchsorted(member, np.arange(len(who))))
+    fringe = (2 * others > need - 1) & (short > 0)
+    out, owner, flag = [mix(content[used] + label[used])], [who[m[used]]], [(fringe[m] & (rare == 0))[used]]
+    # Each infrequent shingle, of sets that need more
+    single = light & (short > 0)[member]
+    out.append(mix(v[single] + mix(group[member[single]].astype(U64) + U64(0x1B873593))))
+    owner.append(who[member[single]])
+    flag.append(np.zeros(len(out[-1]), bool))
     # One-deletion neighbourhoods, where they count
     near = used & (s >= plain[m]) & (rare > 1)
     each = np.repeat(near, count)
@@ -127,6 +139,7 @@ def keys(values: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, t: Threshol
         run = np.repeat(np.arange(len(begin)), count)[each]
         out.append(mix(content[run] - one[each] + label[run]))
         owner.append(who[m[run]])
+        flag.append(np.zeros(len(run), bool))
     # Empty segments, where all others do not suffice
     for j in np.flatnonzero(short - common > 0).tolist():
         missing = int(short[j] - common[j])
@@ -134,7 +147,8 @@ def keys(values: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, t: Threshol
         empty = np.setdiff1d(np.arange(segments[j]), there)[:missing]
         out.append(mix(mix(group[j].astype(U64) * U64(0x2545F4914F6CDD1D) + empty.astype(U64))))
         owner.append(np.full(len(empty), who[j]))
-    return np.concatenate(out), np.concatenate(owner)
+        flag.append(np.full(len(empty), fringe[j]))
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(flag)
 
 
 def sets(column, width: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -142,28 +156,60 @@ def sets(column, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     return *distinct(*shingles(ascii_lower(buf), offsets, width)), len(buf)
 
 
-def frequent(width: int, share: float):
+def frequent(width: int):
     """Shingles that many documents of one stretch of text hold, and in how many."""
 
-    def tell(parts, docs):
+    def tell(parts):
         all_values = np.sort(np.concatenate(parts))
         begin = runs(all_values)
         n = run_lengths(begin, len(all_values))
-        on = n >= max(2, docs * share / 2)
+        on = n >= COUNTED
         return pa.RecordBatch.from_arrays([pa.array(all_values[begin[on]].view(np.int64)), pa.array(n[on])], names=["shingle", "n"])
 
     def run(batches):
-        parts, docs, size = [], 0, 0
+        parts, size = [], 0
         for batch in batches:
             for a, b in passes(batch.column("text")):
                 v, _, n = sets(batch.column("text").slice(a, b - a), width)
                 parts.append(v)
-                docs, size = docs + b - a, size + n
+                size += n
                 if size >= FLUSH_BYTES:
-                    yield tell(parts, docs)
-                    parts, docs, size = [], 0, 0
-        if docs:
-            yield tell(parts, docs)
+                    yield tell(parts)
+                    parts, size = [], 0
+        if parts:
+            yield tell(parts)
+
+    return run
+
+
+def histograms(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each set, how many hashes fall in each bin, up to CLIP, in half a byte."""
+    n = len(offsets) - 1
+    place = np.repeat(np.arange(n) * BINS, np.diff(offsets)) + (values & U64(BINS - 1)).astype(np.int64)
+    h = np.minimum(np.bincount(place, minlength=n * BINS), CLIP).astype(np.uint8).reshape(n, BINS)
+    return h[:, : BINS // 2] << 4 | h[:, BINS // 2 :]
+
+
+def unfolded(blobs: pa.Array) -> np.ndarray:
+    h = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, BINS // 2)
+    return np.hstack([h >> 4, h & 15])
+
+
+def possible(common, size_a, size_b, t: Thresholds):
+    """Whether sets that have at most so much in common can be similar."""
+    return t.q * common >= t.p * (size_a + size_b - common)
+
+
+def bounded(t: Thresholds):
+    """Whether two sets can be similar, from their sizes and histograms. What was clipped counts as common."""
+
+    @F.arrow_udf("boolean")
+    def run(size_a: pa.Array, a: pa.Array, size_b: pa.Array, b: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.bool_())
+        x, y, m, n = unfolded(a), unfolded(b), np.asarray(size_a), np.asarray(size_b)
+        over = np.minimum(m - x.sum(1, dtype=np.int64), n - y.sum(1, dtype=np.int64))
+        return pa.array(possible(np.minimum(np.minimum(x, y).sum(1, dtype=np.int64) + over, np.minimum(m, n)), m, n, t))
 
     return run
 
@@ -188,10 +234,12 @@ def index(width: int, heavy: np.ndarray, t: Thresholds, n: int):
         yield passed_on(EQUAL, ids[order][again], ids[first][again].view(U64), n)
         keep = np.sort(order[begin])
         take = np.repeat(np.isin(np.arange(len(ids)), keep), size)
-        key, owner = keys(values[take], np.concatenate([[0], np.cumsum(size[keep])]), heavy, t)
-        key, owner = unique_rows(key, owner)
-        back = np.argsort(owner, kind="stable")
-        yield packed_rows(n, key[back], ids[keep][owner[back]], short=True)
+        key, owner, fringe = unique_rows(*keys(values[take], np.concatenate([[0], np.cumsum(size[keep])]), heavy, t))
+        yield packed_rows(n, key, ids[keep][owner], flag=fringe, short=True)
+        bins = histograms(values[take], np.concatenate([[0], np.cumsum(size[keep])]))
+        for a in range(0, len(keep), 1024):
+            one = slice(a, a + 1024)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((int((ids[keep[a]] + a) % n), REPLIES + HISTOGRAM, bins[one].tobytes(), size[keep][one].tobytes(), ids[keep][one].tobytes(), None), _PACKED.types, strict=True)], schema=_PACKED)
 
     def run(batches):
         parts, size = [], 0
@@ -217,32 +265,39 @@ def meet(batches):
     def pairs(kind, a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=_PAIR)
 
-    key, ids = [], []
+    key, ids, fringe = [], [], []
     for batch in batches:
-        for kind, k, d in zip(batch.column("kind").to_pylist(), batch.column("k"), batch.column("d"), strict=True):
-            if kind >= REPLIES:
+        for kind, k, c, d, f in zip(batch.column("kind").to_pylist(), *(batch.column(x) for x in "kcdf"), strict=True):
+            if kind == REPLIES + HISTOGRAM:
+                who, bins = np.frombuffer(d.as_py(), np.int64), k.as_py()
+                blobs = pa.array([bins[i : i + BINS // 2] for i in range(0, len(bins), BINS // 2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), HISTOGRAM, np.int32)), pa.array(who), pa.array(np.frombuffer(c.as_py(), np.int64)), blobs], schema=_PAIR)
+            elif kind >= REPLIES:
                 yield pairs(EQUAL, np.frombuffer(k.as_py(), np.int64), np.frombuffer(d.as_py(), np.int64))
             elif kind == RECORDS:
                 key.append(np.frombuffer(k.as_py(), np.uint32))
                 ids.append(unpack_deltas(d.as_py(), len(key[-1])))
+                fringe.append(np.unpackbits(np.frombuffer(f.as_py(), np.uint8), count=len(key[-1])).astype(bool))
     if not key:
         return
-    key, ids = unique_rows(np.concatenate(key), np.concatenate(ids))
+    # Cores first; a list without a core asks for nothing
+    key, fringe, ids = unique_rows(np.concatenate(key), np.concatenate(fringe), np.concatenate(ids))
     begin = runs(key)
     n = run_lengths(begin, len(key))
-    some = np.repeat(n > 1, n)
-    key, ids = key[some], ids[some]
+    some = np.repeat((n > 1) & ~fringe[begin], n)
+    key, fringe, ids = key[some], fringe[some], ids[some]
     if not len(key):
         return
     begin = runs(key)
     n = run_lengths(begin, len(key))
     lead = np.repeat(ids[begin], n)
-    a, b = unique_rows(lead[lead != ids], ids[lead != ids])
+    a, b = unique_rows(np.minimum(lead, ids)[lead != ids], np.maximum(lead, ids)[lead != ids])
     yield pairs(CANDIDATE, a, b)
-    same = np.add.reduceat(mix(ids.view(U64) + U64(3)), begin)
+    same = np.add.reduceat(mix(ids.view(U64) + U64(3) + fringe.astype(U64)), begin)
     _, one = np.unique(same, return_index=True)
     one = one[n[one] > 2]
-    rows = [(BUCKET, int(ids[begin[i]]), int(same[i].view(np.int64)), ids[x : x + CHUNK].tobytes()) for i in one.tolist() for x in range(begin[i], begin[i] + n[i], CHUNK)]
+    end = begin + n
+    rows = [(BUCKET, int(ids[begin[i]]), int(same[i].view(np.int64)), ids[x : min(x + CHUNK, end[i])].tobytes() + fringe[x : min(x + CHUNK, end[i])].tobytes()) for i in one.tolist() for x in range(begin[i], end[i], CHUNK)]
     for x in range(0, len(rows), 1 << 14):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[x : x + (1 << 14)], strict=True), _PAIR.types, strict=True)], schema=_PAIR)
 
@@ -284,14 +339,14 @@ def compare(width: int, t: Thresholds):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, parts: int, width: int, t: Thresholds) -> DataFrame:
-    """Exact answers for pairs (a, b): each text of a part travels to its a once. An a of many pairs is dealt over parts."""
+    """Those of the pairs (a, b) that are similar, exactly: each text of a pair travels to its a. An a of many pairs is dealt over parts."""
     leads = pairs.groupBy("a").agg(F.expr("ceil(count(*) / 1024)").alias("parts"))
     others = pairs.join(leads, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), F.lit(True).alias("other"), F.col("b").alias("doc_id"))
     own = leads.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(False).alias("other"), F.col("a").alias("doc_id"))
     asked = own.unionByName(others).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "other")).alias("asked"))
-    texts = docs.repartition(parts, "doc_id").join(asked.repartition(parts, "doc_id"), "doc_id")
-    rows = texts.select("doc_id", "text", F.explode("asked").alias("x")).select("doc_id", "text", "x.a", "x.part", "x.other")
-    return rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(compare(width, t), "a long, b long, linked boolean")
+    together = docs.repartition(parts, "doc_id").join(asked.repartition(parts, "doc_id"), "doc_id")
+    rows = together.select("doc_id", "text", F.explode("asked").alias("x")).select("doc_id", "text", "x.a", "x.part", "x.other")
+    return rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(compare(width, t), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def similar(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -300,45 +355,88 @@ def similar(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4)
     tune(spark)
     shared_dir(spark)
     t = Thresholds(*threshold)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    docs = texts(docs)
+    total = text_bytes(docs)
     n, parts = spread(total, 32 << 20), spread(total, 48 << 20)
-    least = max(32, int(rows * FREQUENT))
-    told = docs.mapInArrow(frequent(width, FREQUENT), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    heavy = np.sort(np.array([r[0] for r in told.orderBy(F.desc("n"), "shingle").limit(HEAVY).collect()], np.int64).view(U64))
-    met = stored(docs.mapInArrow(index(width, heavy, t, n), PACKED).repartitionById(n, F.col("bucket")).mapInArrow(meet, "kind int, a long, b long, members binary"), "met")
-    pairs = stored(met.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
-    tested = stored(verified(docs, pairs, parts, width, t), "tested")
-    sure = met.where(F.col("kind") == EQUAL).select("a", "b")
-    links = sure.unionByName(tested.where("linked").select("a", "b"))
+    told = docs.mapInArrow(frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    heavy = np.sort(np.asarray(told.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toArrow().column(0), np.int64).view(U64))
+    sent = docs.mapInArrow(index(width, heavy, t, n), PACKED).repartitionById(n, F.col("bucket"))
+    met = stored(sent.mapInArrow(meet, "kind int, a long, b long, members binary"), "met", "kind")
+    bins = met.where(F.col("kind") == HISTOGRAM).select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("members").alias("bins")).dropDuplicates(["doc_id"])
+    tested = stored(met.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
+    sides = [bins.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
+    near = tested.join(sides[0], "a").join(sides[1], "b").where(bounded(t)("size_a", "bins_a", "size_b", "bins_b")).select("a", "b")
+    links = met.where(F.col("kind") == EQUAL).select("a", "b").unionByName(verified(docs, stored(near, "near"), parts, width, t))
     found = connected(links)
-    more = stored(left_over(met, tested, found), "rest")
-    if not more.isEmpty():
-        again = stored(verified(docs, more, parts, width, t), "again")
-        # The components so far, as links, stand for what made them
-        found = connected(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(again.where("linked").select("a", "b")))
+    # First the likeliest pairs between components, which join most of them, then all that the bound allows
+    for best in (2, None):
+        more = stored(left_over(met, bins, tested, found, best, t), "rest")
+        if more.isEmpty():
+            continue
+        so_far = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        found = connected(so_far.unionByName(verified(docs, more, parts, width, t)))
+        tested = tested.unionByName(more)
     return found
 
 
-def left_over(met: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a key, stand in different components and have not been compared."""
-    label = lambda df, c: df.join(found.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"{c}_of")), c, "left").withColumn(f"{c}_of", F.coalesce(f"{c}_of", c))
-    failed = label(label(tested.where("not linked").select("a", "b"), "a"), "b").where("a_of <> b_of").select("a").distinct()
-    buckets = met.where(F.col("kind") == BUCKET).select("a", F.col("b").alias("bucket"), "members").join(failed, "a", "left_semi")
+def left_over(met: DataFrame, bins: DataFrame, tested: DataFrame, found: DataFrame, best: int | None, t: Thresholds) -> DataFrame:
+    """Pairs that share a key, stand in different components, can be similar and have not been compared.
+
+    best: no more than so many of each component within a list. Long lists are met in blocks.
+    """
+
+    def label(df, c):
+        of = found.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"{c}_of"))
+        return df.join(of, c, "left").withColumn(f"{c}_of", F.coalesce(f"{c}_of", c))
+
+    apart = label(label(met.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "a"), "b").where("a_of <> b_of")
+    leads = apart.select("a").union(apart.select("b")).distinct()
+    lists = met.where(F.col("kind") == BUCKET).select("a", "members").join(leads, "a", "left_semi")
 
     def spell(batches):
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                ids = np.frombuffer(blob, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids)], names=["bucket", "doc"])
-
-    rows = label(buckets.mapInArrow(spell, "bucket long, doc long").distinct(), "doc")
-    split = rows.groupBy("bucket").agg(F.min("doc_of").alias("x"), F.max("doc_of").alias("y")).where("x < y").select("bucket")
-    rows = rows.join(split, "bucket", "left_semi")
-    left = rows.select("bucket", F.col("doc").alias("a"), F.col("doc_of").alias("a_of"))
-    right = rows.select("bucket", F.col("doc").alias("b"), F.col("doc_of").alias("b_of"))
-    pairs = left.join(right, "bucket").where("a < b and a_of <> b_of").select("a", "b").distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            for a, blob in zip(batch.column("a").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                n = len(blob) // 9
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.frombuffer(blob, np.int64, n)), pa.array(np.frombuffer(blob, bool, n, 8 * n))], names=["a", "doc", "fringe"])
+
+    rows = label(lists.mapInArrow(spell, "a long, doc long, fringe boolean").groupBy("a", "doc").agg(F.min("fringe").alias("fringe")), "doc")
+    size = rows.groupBy("a").agg(F.min("doc_of").alias("x"), F.max("doc_of").alias("y"), F.expr(f"ceil(count(*) / {BLOCK})").alias("blocks")).where("x < y")
+    rows = rows.join(size.select("a", "blocks"), "a").join(bins.withColumnRenamed("doc_id", "doc"), "doc")
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(doc), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def cross(table: pa.Table) -> pa.Table:
+        doc, of, fringe, n, own, i, j = (table.column(c).to_numpy() for c in ("doc", "doc_of", "fringe", "size", "own", "i", "j"))
+        h = unfolded(table.column("bins").combine_chunks())
+        over = n - h.sum(1, dtype=np.int64)
+        out = []
+        left = np.flatnonzero(own == i[0])
+        right = np.flatnonzero(own == j[0])
+        for x in range(0, len(left), 32):
+            a = left[x : x + 32]
+            close = (of[a][:, None] != of[right]) & ~(fringe[a][:, None] & fringe[right])
+            close &= (t.q * n[a][:, None] >= t.p * n[right]) & (t.q * n[right] >= t.p * n[a][:, None])
+            if i[0] == j[0]:
+                close &= doc[a][:, None] < doc[right]
+            p, q = np.nonzero(close)
+            for y in range(0, len(p), 1 << 16):
+                u, v = a[p[y : y + (1 << 16)]], right[q[y : y + (1 << 16)]]
+                common = np.minimum(np.minimum(h[u], h[v]).sum(1, dtype=np.int64) + np.minimum(over[u], over[v]), np.minimum(n[u], n[v]))
+                ok = possible(common, n[u], n[v], t)
+                out.append((u[ok], v[ok], common[ok] / (n[u] + n[v] - common)[ok]))
+        u, v, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        if best is not None and len(u):
+            both, side = np.concatenate([of[u], of[v]]), np.tile(np.arange(len(u)), 2)
+            order = np.lexsort((-score[side], both))
+            begin = runs(both[order])
+            rank = np.arange(len(order)) - np.repeat(begin, run_lengths(begin, len(order)))
+            chosen = np.unique(side[order][rank < best])
+            u, v = u[chosen], v[chosen]
+        return pa.Table.from_arrays([pa.array(np.minimum(doc[u], doc[v])), pa.array(np.maximum(doc[u], doc[v]))], schema=kind)
+
+    pairs = rows.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long").distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def sizes(width: int):
@@ -357,5 +455,5 @@ def sizes(width: int):
 def join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """A row for each document: doc_id, size of its shingle set, least doc_id that links lead to."""
     found = similar(docs, width, threshold)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sizes(width), "doc_id long, n_shingles long")
+    own = texts(docs).mapInArrow(sizes(width), "doc_id long, n_shingles long")
     return own.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
