@@ -8,7 +8,7 @@ from collections import ChainMap
 from pathlib import Path
 from typing import Any
 
-NAME, PREFIX = ".secrets-scanner.json", "SECRETS_SCANNER_"
+NAME, PREFIX = ".keelson.json", "KEELSON_"
 
 
 def repository_file(start: str) -> Path | None:

@@ -145,7 +145,7 @@ def test_config(tmp_path):
     (tmp_path / "repo/sub").mkdir(parents=True)
     (tmp_path / "repo" / config.NAME).write_text('{"severity": "high", "includePii": true}')
     (tmp_path / config.NAME).write_text('{"severity": "low", "baseline": "b"}')
-    c = config.load(str(tmp_path / "repo/sub"), str(tmp_path), {"SECRETS_SCANNER_SEVERITY": "critical"})
+    c = config.load(str(tmp_path / "repo/sub"), str(tmp_path), {"KEELSON_SEVERITY": "critical"})
     assert (c["severity"], c["includepii"], c["baseline"]) == ("critical", True, "b")
 
 
