@@ -43,17 +43,18 @@ SELECT doc_id, source, n_tokens, round(weight, 6) AS weight,
 """,
     "op5_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, h[2 * p + 1 : 2 * p + 100] AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(p)),
+c AS (SELECT doc_id, 200 * k AS o, length(h) // 2 AS n, substr(h, CAST(400 * k + 1 AS INT), 498) AS c FROM d, unnest(range(0, length(h) // 400 + 1)) AS t(k)),
+w AS (SELECT doc_id, o + j AS p, substr(c, CAST(2 * j + 1 AS INT), 100) AS s FROM c, unnest(range(0, 200)) AS t(j) WHERE o + j <= n - 50),
 f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
 g AS (SELECT w.doc_id, w.p, lag(w.p) OVER (PARTITION BY w.doc_id ORDER BY w.p) AS q FROM w JOIN f USING (s) WHERE f.first_id < w.doc_id),
 r AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
 s AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
 k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM s),
-c AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(d.h[2 * was + 1 : 2 * a], '' ORDER BY a) AS head, max(b) AS last
+e AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(d.h, CAST(2 * was + 1 AS INT), CAST(2 * (a - was) AS INT)), '' ORDER BY a) AS head, max(b) AS last
   FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1 :])) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id)
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS INT)))) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id)
 """,
     "op9_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
