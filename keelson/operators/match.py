@@ -15,29 +15,36 @@ from ..catalogue import Detector, severity_rank
 from ..functions import exprs as X
 
 
-def occurrences(content: Column, d: Detector) -> Column:
-    """Array of (offset, v, k): 0-based place of the value in the text, the value, the key or null."""
+def extracted(content: Column, d: Detector, order: int) -> Column:
+    """What one detector finds in a text: its facts, the matches, what lies between them, and the groups."""
     rx = F.lit(d.regex)
-    whole = F.regexp_extract_all(content, rx, F.lit(0))
-    gaps = F.split(content, d.regex, -1)
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    value = whole if d.value_group == 0 else F.regexp_extract_all(content, rx, F.lit(d.value_group))
-    before = F.transform(whole, lambda _: F.lit("")) if d.value_group == 0 else F.regexp_extract_all(content, rx, F.lit(1))
-    key = F.transform(whole, lambda _: F.lit(None).cast("string")) if d.key_group is None else F.regexp_extract_all(content, rx, F.lit(d.key_group))
+    none = F.lit(None).cast("array<string>")
+    group = lambda n: none if n is None else F.regexp_extract_all(content, rx, F.lit(n))
+    facts = F.struct(
+        F.lit(order).alias("detector_order"),
+        F.lit(d.id).alias("detector_id"),
+        F.lit(d.secret_type).alias("secret_type"),
+        F.lit(d.severity).alias("severity"),
+        F.lit(d.suggested_fix).alias("suggested_fix"),
+        F.lit(d.reject_placeholders).alias("strict"),
+        F.lit(d.min_entropy).cast("double").alias("min_entropy"),
+    )
+    return F.struct(facts.alias("d"), group(0).alias("whole"), F.split(content, d.regex, -1).alias("gaps"), group(1 if d.value_group else None).alias("before"), group(d.value_group or None).alias("value"), group(d.key_group).alias("key"))
+
+
+def occurrences(x: Column) -> Column:
+    """Array of (offset, v, k): 0-based place of the value in the text, the value, the key or null."""
+    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, y: s + F.length(y))
     return F.transform(
-        F.sequence(F.lit(0), F.size(whole) - 1),
+        F.sequence(F.lit(0), F.size(x["whole"]) - 1),
         lambda i: F.struct(
-            (size(gaps, i + 1) + size(whole, i) + F.length(F.get(before, i))).alias("offset"),
-            F.get(value, i).alias("v"),
-            F.get(key, i).alias("k"),
+            (size(x["gaps"], i + 1) + size(x["whole"], i) + F.coalesce(F.length(F.get(x["before"], i)), F.lit(0))).alias("offset"),
+            F.coalesce(F.get(x["value"], i), F.get(x["whole"], i)).alias("v"),
+            F.get(x["key"], i).alias("k"),
         ),
     )
 
 
-def _labelled(found: Column, facts: Column) -> Column:
-    return F.transform(found, lambda m: F.struct(facts.alias("d"), m.alias("m")))
-
-
 def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path", content: str = "content", check_extension: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each match that holds up: keep, path as file, place, masked facts. Rejected: no value, placeholders, low entropy.
 
@@ -46,27 +53,18 @@ def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path
     if not detectors:
         raise ValueError("no detectors")
     row = texts.select(*keep, F.col(path).alias("file"), F.col(content).alias("c"), F.lower(content).alias("lc"), X.extension(F.col(path)).alias("ext")).where(F.length("c") > 0)
-    arrays = []
+    found = []
     for order, d in enumerate(detectors):
         applies = X.has_keyword(F.col("lc"), d.keywords)
         if check_extension and d.extensions:
             applies = F.col("ext").isin(*d.extensions) & applies
-        facts = F.struct(
-            F.lit(order).alias("detector_order"),
-            F.lit(d.id).alias("detector_id"),
-            F.lit(d.secret_type).alias("secret_type"),
-            F.lit(d.severity).alias("severity"),
-            F.lit(d.suggested_fix).alias("suggested_fix"),
-            F.lit(d.reject_placeholders).alias("strict"),
-            F.lit(d.min_entropy).cast("double").alias("min_entropy"),
-        )
-        found = F.regexp_count(F.col("c"), F.lit(d.regex)) > 0
-        arrays.append(F.when(applies & found, _labelled(occurrences(F.col("c"), d), facts)))
-    rows = row.select(*keep, "file", "c", F.explode(F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))).alias("x"))
-    v, k = F.col("x.m.v"), F.col("x.m.k")
-    rows = rows.where(v != "").where(~F.col("x.d.strict") | ~X.is_placeholder(v))
-    before = F.substring(F.col("c"), F.lit(1), F.col("x.m.offset"))
-    rows = rows.select(*keep, "file", "x.d.*", X.line_of(before).alias("line"), X.column_of(before).alias("column"), F.col("x.m.offset").alias("offset"), X.hint(F.col("x.d.secret_type"), k, v).alias("hint"), X.entropy(v).alias("entropy_exact"), X.hash16(v).alias("hash16"))
+        found.append(F.when(applies, extracted(F.col("c"), d, order)))
+    rows = row.select(*keep, "file", "c", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.size("x.whole") > 0)
+    rows = rows.select(*keep, "file", "c", "x.d", F.explode(occurrences(F.col("x"))).alias("m"))
+    v, k = F.col("m.v"), F.col("m.k")
+    rows = rows.where(v != "").where(~F.col("d.strict") | ~X.is_placeholder(v))
+    before = F.substring(F.col("c"), F.lit(1), F.col("m.offset"))
+    rows = rows.select(*keep, "file", "d.*", X.line_of(before).alias("line"), X.column_of(before).alias("column"), F.col("m.offset").alias("offset"), X.hint(F.col("d.secret_type"), k, v).alias("hint"), X.entropy(v).alias("entropy_exact"), X.hash16(v).alias("hash16"))
     return rows.where(F.col("min_entropy").isNull() | (F.col("entropy_exact") >= F.col("min_entropy"))).drop("strict", "min_entropy")
 
 
