@@ -29,6 +29,10 @@ def tune(spark: SparkSession) -> None:
     there, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in there.get("PYTHONPATH", "").split(os.pathsep):
         there["PYTHONPATH"] = os.pathsep.join(filter(None, [root, there.get("PYTHONPATH", "")]))
+    # Freed arrays go back to the system, so that workers that wait between tasks hold little
+    there.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    there.setdefault("MALLOC_ARENA_MAX", "2")
+    there.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ nothing else is left (large groups of near copies), so no link is lost.
 Sets that share a key are compared with the first of them, exactly; only where that leaves
 members in different components, the others are compared too, the likeliest first. Before
 texts travel for a comparison, the histograms of both sets over BINS bins of hash values bound
-what they can have in common. Equal sets within 8 MB of text
+what they can have in common. Equal sets within 4 MB of text
 are linked at once and indexed as one. Nothing but counts and a list of at most HEAVY
 frequent shingles (1 MB of hashes; any list is right, a good one is fast) reaches the driver.
 
@@ -250,7 +250,7 @@ def index(width: int, heavy: np.ndarray, t: Thresholds, n: int):
                 v, o, n = sets(part.column("text"), width)
                 parts.append((np.asarray(part.column("doc_id")), v, o))
                 size += n
-                if size >= FLUSH_BYTES:
+                if size >= FLUSH_BYTES // 2:
                     yield from filter(None, send(parts))
                     parts, size = [], 0
         if parts:
