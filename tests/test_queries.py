@@ -7,7 +7,7 @@ from keelson.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: One of each kind; all of them are compared at a larger size outside the tests.
-NAMES = ["scan_glob_filter", "present_keywords", "detector_theta_join", "detect_aws_access_key_id", "detect_generic_api_key", "detect_custom_token", "findings_all", "baseline_filter", "placeholder_filter", "entropy", "reachable", "diff_added_lines", "history_dedup_earliest", "watch_debounce_sessions"]
+NAMES = ["history_findings", "scan_glob_filter", "present_keywords", "detector_theta_join", "detect_aws_access_key_id", "detect_generic_api_key", "detect_custom_token", "findings_all", "baseline_filter", "placeholder_filter", "entropy", "reachable", "diff_added_lines", "history_dedup_earliest", "watch_debounce_sessions"]
 
 
 @pytest.mark.parametrize("name", NAMES)
