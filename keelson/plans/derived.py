@@ -37,7 +37,7 @@ FROM customer""",
     "v_commits": "SELECT md5(cast(o_orderkey AS string)) AS sha, o_orderdate AS author_when, concat('Author ', cast(o_custkey % 50 AS string)) AS author_name, CASE WHEN o_orderkey % 50 = 0 THEN concat('fix AKIA', upper(substring(md5(cast(o_orderkey % 400 AS string)), 1, 16))) ELSE 'work' END AS message, cast(o_orderkey AS bigint) AS k FROM orders",
     "v_edges": "SELECT md5(cast(o_orderkey AS string)) AS sha, md5(cast(cast(floor((o_orderkey - 1) / 2) AS bigint) AS string)) AS parent, 0 AS parent_idx FROM orders WHERE o_orderkey > 1 UNION ALL SELECT md5(cast(o_orderkey AS string)), md5(cast(cast(floor((o_orderkey - 1) / 3) AS bigint) AS string)), 1 FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey > 3",
     "v_refs": "SELECT concat('b', cast(n_nationkey AS string)) AS name, 'branch' AS kind, md5(cast(n_nationkey * 37 + 100 AS string)) AS sha FROM nation UNION ALL SELECT concat('t', cast(r_regionkey AS string)), 'tag', md5(cast(r_regionkey * 91 + 1000 AS string)) FROM region",
-    "v_diffs": "SELECT md5(cast(l_orderkey AS string)) AS sha, concat('src/f', cast(l_linenumber AS string), '.env') AS path, CASE WHEN l_linenumber = 6 THEN 'deleted' ELSE 'modified' END AS status, concat('diff --git a b', chr(10), '@@ -1,2 +', cast(l_linenumber AS string), ',4 @@', chr(10), ' keep', chr(10), '+Password=', md5(cast(l_partkey AS string)), chr(10), '-old', chr(10), '+plain', chr(10), '@@ -9 +20 @@', chr(10), '+AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16)), chr(10)) AS patch, concat(repeat(chr(10), l_linenumber), 'Password=', md5(cast(l_partkey AS string)), chr(10), 'plain', repeat(chr(10), 18 - l_linenumber), 'AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16)), chr(10)) AS content FROM lineitem WHERE l_orderkey < 1500",
+    "v_diffs": "SELECT md5(cast(l_orderkey AS string)) AS sha, concat('src/f', cast(l_linenumber AS string), '.env') AS path, CASE WHEN l_linenumber = 6 THEN 'deleted' ELSE 'modified' END AS status, concat('diff --git a b', chr(10), '@@ -1,2 +', cast(l_linenumber AS string), ',4 @@', chr(10), ' keep', chr(10), '+Password=', md5(cast(l_partkey AS string)), chr(10), '-old', chr(10), '+plain', chr(10), '@@ -9 +20 @@', chr(10), '+AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16)), chr(10)) AS patch, concat(repeat(chr(10), l_linenumber), 'Password=', md5(cast(l_partkey AS string)), chr(10), 'plain', repeat(chr(10), 18 - l_linenumber), 'AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16)), chr(10)) AS content FROM lineitem",
     "v_changes": "SELECT concat('src/u', cast(user_id AS string), '.cs') AS path, ts FROM events",
 }
 #: Tables that the relations are made from.
