@@ -6,9 +6,11 @@ alphabet that fits (hex, base 32, base 62, base 64, base 64 for URLs) and tested
 randomness: chi-squared uniformity over the alphabet, runs about its middle, and serial
 correlation. The worst of the three p-values says how random a run looks. How often text that
 is not random looks as random is known for each alphabet and length from simulated
-identifiers (syllables with digits; fixed seed); this p-value, length-aware, goes through
-the Benjamini-Hochberg procedure over the runs of a document at level FALSE_DISCOVERY. What
-passes, and does not overlap a base span, is added as kind `random`.
+identifiers (syllables with digits; fixed seed), and beyond the most random of them from an
+exponential tail fitted to the TAIL most random ones, so that no number of runs puts a secret
+out of reach by itself; this p-value, length-aware, goes through the Benjamini-Hochberg
+procedure over the runs of a document at level FALSE_DISCOVERY. What passes, and does not
+overlap a base span, is added as kind `random`.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. The result of
 a row depends on its text alone; null ids, repeated rows and extra columns make no difference.
@@ -33,7 +35,7 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 KEYWORDS = re.compile(rb"passw|secret|token|api_?key", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "random")
-SHORTEST, FALSE_DISCOVERY, SIMULATED = 20, 0.01, 2000
+SHORTEST, FALSE_DISCOVERY, SIMULATED, TAIL = 20, 0.01, 2000, 100
 # Alphabets, in the order in which they are tried
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -126,6 +128,18 @@ def simulated(name: str, length: int) -> np.ndarray:
     return np.sort(out)
 
 
+def distance(value: np.ndarray | float) -> np.ndarray:
+    """From perfect randomness, on the scale of a normal deviate; its tail falls no slower than an exponential one."""
+    return np.sqrt(-2 * np.log(np.clip(value, 1e-300, 1)))
+
+
+@lru_cache(maxsize=None)
+def tail(name: str, length: int) -> tuple[float, float]:
+    """Distance within which TAIL simulated identifiers lie, and by how much on average they are nearer than it."""
+    near = distance(simulated(name, length)[-TAIL - 1 :])
+    return float(near[0]), float(max(1e-6, (near[0] - near[1:]).mean()))
+
+
 def natural(token: str, name: str) -> float:
     """How often an identifier of about this length looks at least as random."""
     body = token.rstrip("=")
@@ -133,7 +147,12 @@ def natural(token: str, name: str) -> float:
     value = battery(np.array([letters.index(c) for c in body]), len(letters))
     length = max(x for x in LENGTHS if x <= max(LENGTHS[0], len(body)))
     known = simulated(name, length)
-    return (len(known) - int(np.searchsorted(known, value)) + 1) / (len(known) + 1)
+    above = len(known) - int(np.searchsorted(known, value))
+    p = (above + 1) / (len(known) + 1)
+    if above:
+        return p
+    edge, scale = tail(name, length)
+    return min(p, (TAIL + 1) / (len(known) + 1) * float(np.exp((distance(value) - edge) / scale)))
 
 
 def discovered(p: list[float], level: float = FALSE_DISCOVERY) -> list[bool]:
