@@ -2,7 +2,10 @@
 
 Three fixed patterns give the base spans. Besides, runs of 20 or more characters of
 `[A-Za-z0-9+/_=-]` that hold letters and digits are taken as encoded data of the smallest
-alphabet that fits (hex, base 32, base 62, base 64, base 64 for URLs) and tested for
+alphabet that fits (hex, base 32, base 62, base 64, base 64 for URLs); a run is split at an
+inner `=` first, and where no alphabet fits, at the characters foreign to base 64 or to base
+64 for URLs. Pieces of 20 or more characters (where those of both ways overlap the more
+random one, then the rest of the other, at twice the p-value for the choice) are tested for
 randomness: chi-squared uniformity over the alphabet, runs about its middle, and serial
 correlation. The worst of the three p-values says how random a run looks. How often text that
 is not random looks as random is known for each alphabet and length from simulated
@@ -50,6 +53,9 @@ SYLLABLES = "the ing and ion tion ent for ter est ver con pro com per sta ate al
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in ALPHABETS["base64"] + "-_="]] = True
+_INNER = re.compile(r"[^=]+(?:=+$)?")
+_SPLITS = (re.compile("[A-Za-z0-9+/]+=*"), re.compile("[A-Za-z0-9_-]+=*"))
+_FREE = re.compile(rb"\0{%d,}" % SHORTEST)
 _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in ALPHABETS["hex"]]] = True
 
@@ -155,6 +161,27 @@ def natural(token: str, name: str) -> float:
     return min(p, (TAIL + 1) / (len(known) + 1) * float(np.exp((distance(value) - edge) / scale)))
 
 
+def pieces(token: str) -> list[tuple[int, int, float]]:
+    """Start, end and p-value of the parts of a run that fit an alphabet."""
+    out: list[tuple[int, int, float]] = []
+    taken = bytearray(len(token))
+    for m in _INNER.finditer(token):
+        name = alphabet(m.group())
+        if name:
+            out.append((m.start(), m.end(), natural(m.group(), name)))
+        elif len(m.group().rstrip("=")) >= SHORTEST:
+            parts = [(x, alphabet(x.group())) for split in _SPLITS for x in split.finditer(token, m.start(), m.end())]
+            for p, s, e in sorted((natural(x.group(), name), x.start(), x.end()) for x, name in parts if name):
+                # What a more random piece has left of this one
+                for left in list(_FREE.finditer(taken, s, e)):
+                    x, y = left.span()
+                    name = alphabet(token[x:y])
+                    if name:
+                        taken[x:y] = b"\1" * (y - x)
+                        out.append((x, y, min(1.0, 2 * (p if (x, y) == (s, e) else natural(token[x:y], name)))))
+    return out
+
+
 def discovered(p: list[float], level: float = FALSE_DISCOVERY) -> list[bool]:
     """Benjamini-Hochberg."""
     order = np.argsort(p)
@@ -182,11 +209,10 @@ def spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
         out[doc[s]].append((s, 2, e))
     found: dict[int, list[tuple[int, int, float]]] = {}
     for s, e in zip(*(x.tolist() for x in stretches(_RUN[buf], offsets, SHORTEST)), strict=True):
-        token = data[s:e].decode()
-        name = alphabet(token)
         i = int(doc[s])
-        if name and all(e <= x or s >= y for x, _, y in out[i]):
-            found.setdefault(i, []).append((s, e, natural(token, name)))
+        for x, y, p in pieces(data[s:e].decode()):
+            if all(s + y <= a or s + x >= b for a, _, b in out[i]):
+                found.setdefault(i, []).append((s + x, s + y, p))
     for i, runs in found.items():
         keep = discovered([p for _, _, p in runs])
         out[i] += [(s, 3, e) for (s, e, _), k in zip(runs, keep, strict=True) if k]
