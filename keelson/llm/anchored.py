@@ -98,7 +98,10 @@ def passed_on(kind: int, ids: np.ndarray, code: np.ndarray, bucket_count: int) -
         return None
     order = np.argsort(ids, kind="stable")
     parts = min(bucket_count, max(1, len(ids) >> 14))
-    rows = [(int((ids[x[0]] + i) % bucket_count), REPLIES + kind, code[x].tobytes(), None, ids[x].tobytes(), None) for i, x in enumerate(np.array_split(order, parts)) if len(x)]
+    # The two ends of a range stay in one row: rows come back in any order
+    each = 2 if kind in (FULL_RANGE, OPEN_RANGE) else 1
+    cuts = np.array_split(order.reshape(-1, each), parts)
+    rows = [(int((ids[x[0]] + i) % bucket_count), REPLIES + kind, code[x].tobytes(), None, ids[x].tobytes(), None) for i, x in enumerate(c.ravel() for c in cuts) if len(x)]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
 
