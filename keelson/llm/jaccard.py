@@ -293,7 +293,7 @@ def meet(batches):
     lead = np.repeat(ids[begin], n)
     a, b = unique_rows(np.minimum(lead, ids)[lead != ids], np.maximum(lead, ids)[lead != ids])
     yield pairs(CANDIDATE, a, b)
-    same = np.add.reduceat(mix(ids.view(U64) + U64(3) + fringe.astype(U64)), begin)
+    same = np.add.reduceat(mix(mix(ids.view(U64) + U64(3)) + U64(3) + fringe.astype(U64)), begin)
     _, one = np.unique(same, return_index=True)
     one = one[n[one] > 2]
     end = begin + n
