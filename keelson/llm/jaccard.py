@@ -12,7 +12,9 @@ as its sum suffices. Which class a segment falls in depends on its contents alon
 both sets of a pair come to the same use. Frequent contents, then empty ones, are used where
 nothing else is left (large groups of near copies), so no link is lost.
 
-Sets that share a key are compared with the first of them, exactly; only where that leaves
+Sets that share a key are compared with the first of them, exactly (shingles by 64-bit hashes:
+within one pair of sets, even of 10^6 shingles each, two different ones agree with a chance of
+10^-7); only where that leaves
 members in different components, the others are compared too, the likeliest first. Before
 texts travel for a comparison, the histograms of both sets over BINS bins of hash values bound
 what they can have in common. Equal sets within 4 MB of text
@@ -21,7 +23,9 @@ frequent shingles (1 MB of hashes; any list is right, a good one is fast) reache
 
 Texts: A-Z count as a-z, words are `[^\\x20\\x09-\\x0D]+`, sets hold distinct shingles of
 five words; shorter texts have one shingle, null and blank ones none and link with nothing. A
-null doc_id has a null component. Rows that repeat a doc_id are one node. An empty table
+null doc_id has a null component. Rows that repeat a doc_id are one node, which has the links
+of each of their texts; each row keeps its own set size. Very long texts have very large sets,
+in a size band of their own. An empty table
 gives an empty result. Other columns are ignored.
 """
 
@@ -43,8 +47,9 @@ from .kernels import U64, ascii_lower, distinct, flat, mix, shingles
 HEAVY = 1 << 17
 #: A shingle in so many documents is frequent, as far as the list goes; and in so many of one stretch of text, it is counted.
 FREQUENT, COUNTED = 8, 3
-_PAIR = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
-CANDIDATE, EQUAL, BUCKET, HISTOGRAM = range(4)
+_PAIR = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary()), ("parts", pa.int32())])
+MET = "kind int, a long, b long, members binary, parts int"
+CANDIDATE, EQUAL, BUCKET, HISTOGRAM, SIZE = range(5)
 BINS, CLIP = 512, 15
 #: Members of one list that one task compares with as many others.
 BLOCK = 1024
@@ -214,18 +219,25 @@ def bounded(t: Thresholds):
     return run
 
 
+def beside(kind: int, bucket: int, *columns: bytes | None) -> pa.RecordBatch:
+    """A row that only travels with the records."""
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((bucket, REPLIES + kind, *columns), _PACKED.types, strict=True)], schema=_PACKED)
+
+
 def index(width: int, heavy: np.ndarray, t: Thresholds, n: int):
     def send(parts) -> Iterator[pa.RecordBatch | None]:
         ids = np.concatenate([p[0] for p in parts])
+        known = np.concatenate([p[3] for p in parts])
         size = np.concatenate([np.diff(p[2]) for p in parts])
         offsets = np.concatenate([[0], np.cumsum(size)])
         values = np.concatenate([p[1] for p in parts])
-        full = size > 0
+        yield beside(SIZE, int(ids[0] % n), None, size.tobytes(), ids.tobytes(), np.packbits(known).tobytes())
+        full = (size > 0) & known
         mark = np.zeros((2, len(ids)), U64)
         if len(values):
-            at = offsets[:-1][full]
-            mark[0, full] = np.add.reduceat(mix(values + U64(7)), at)
-            mark[1, full] = np.add.reduceat(mix(values + U64(11)), at)
+            some = size > 0
+            mark[0, some] = np.add.reduceat(mix(values + U64(7)), offsets[:-1][some])
+            mark[1, some] = np.add.reduceat(mix(values + U64(11)), offsets[:-1][some])
         order = np.lexsort((ids, mark[1], mark[0], size))
         order = order[full[order]]
         begin = runs(size[order], mark[0][order], mark[1][order])
@@ -239,17 +251,16 @@ def index(width: int, heavy: np.ndarray, t: Thresholds, n: int):
         bins = histograms(values[take], np.concatenate([[0], np.cumsum(size[keep])]))
         for a in range(0, len(keep), 1024):
             one = slice(a, a + 1024)
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((int((ids[keep[a]] + a) % n), REPLIES + HISTOGRAM, bins[one].tobytes(), size[keep][one].tobytes(), ids[keep][one].tobytes(), None), _PACKED.types, strict=True)], schema=_PACKED)
+            yield beside(HISTOGRAM, int((ids[keep[a]] + a) % n), bins[one].tobytes(), size[keep][one].tobytes(), ids[keep][one].tobytes(), None)
 
     def run(batches):
         parts, size = [], 0
         for batch in batches:
             for a, b in passes(batch.column("text")):
                 part = batch.slice(a, b - a)
-                part = part.filter(part.column("doc_id").is_valid())
                 v, o, n = sets(part.column("text"), width)
-                parts.append((np.asarray(part.column("doc_id")), v, o))
-                size += n
+                parts.append((np.asarray(part.column("doc_id").fill_null(0)), v, o, np.asarray(part.column("doc_id").is_valid())))
+                size += n + 16 * (b - a)
                 if size >= FLUSH_BYTES // 2:
                     yield from filter(None, send(parts))
                     parts, size = [], 0
@@ -262,8 +273,8 @@ def index(width: int, heavy: np.ndarray, t: Thresholds, n: int):
 def meet(batches):
     """Of one bucket: each key's first set with each other, and who shares a key with at least two others."""
 
-    def pairs(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=_PAIR)
+    def pairs(kind, a, b, members=None, parts=None):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(len(b), pa.binary()) if members is None else members, pa.nulls(len(b), pa.int32()) if parts is None else pa.array(parts)], schema=_PAIR)
 
     key, ids, fringe = [], [], []
     for batch in batches:
@@ -271,7 +282,11 @@ def meet(batches):
             if kind == REPLIES + HISTOGRAM:
                 who, bins = np.frombuffer(d.as_py(), np.int64), k.as_py()
                 blobs = pa.array([bins[i : i + BINS // 2] for i in range(0, len(bins), BINS // 2)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), HISTOGRAM, np.int32)), pa.array(who), pa.array(np.frombuffer(c.as_py(), np.int64)), blobs], schema=_PAIR)
+                yield pairs(HISTOGRAM, who, np.frombuffer(c.as_py(), np.int64), blobs)
+            elif kind == REPLIES + SIZE:
+                who = np.frombuffer(d.as_py(), np.int64)
+                known = np.unpackbits(np.frombuffer(f.as_py(), np.uint8), count=len(who)).astype(bool)
+                yield pairs(SIZE, pa.array(who, mask=~known), np.frombuffer(c.as_py(), np.int64))
             elif kind >= REPLIES:
                 yield pairs(EQUAL, np.frombuffer(k.as_py(), np.int64), np.frombuffer(d.as_py(), np.int64))
             elif kind == RECORDS:
@@ -291,13 +306,16 @@ def meet(batches):
     begin = runs(key)
     n = run_lengths(begin, len(key))
     lead = np.repeat(ids[begin], n)
-    a, b = unique_rows(np.minimum(lead, ids)[lead != ids], np.maximum(lead, ids)[lead != ids])
-    yield pairs(CANDIDATE, a, b)
+    # The first of a long list has many partners: they are dealt over parts
+    split = (n >> 10).astype(np.int32) + 1
+    other = lead != ids
+    a, b, parts = unique_rows(lead[other], ids[other], np.repeat(split, n)[other])
+    yield pairs(CANDIDATE, a, b, parts=parts)
     same = np.add.reduceat(mix(mix(ids.view(U64) + U64(3)) + U64(3) + fringe.astype(U64)), begin)
     _, one = np.unique(same, return_index=True)
     one = one[n[one] > 2]
     end = begin + n
-    rows = [(BUCKET, int(ids[begin[i]]), int(same[i].view(np.int64)), ids[x : min(x + CHUNK, end[i])].tobytes() + fringe[x : min(x + CHUNK, end[i])].tobytes()) for i in one.tolist() for x in range(begin[i], end[i], CHUNK)]
+    rows = [(BUCKET, int(ids[begin[i]]), int(same[i].view(np.int64)), ids[x : min(x + CHUNK, end[i])].tobytes() + fringe[x : min(x + CHUNK, end[i])].tobytes(), int(split[i])) for i in one.tolist() for x in range(begin[i], end[i], CHUNK)]
     for x in range(0, len(rows), 1 << 14):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[x : x + (1 << 14)], strict=True), _PAIR.types, strict=True)], schema=_PAIR)
 
@@ -339,47 +357,57 @@ def compare(width: int, t: Thresholds):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, parts: int, width: int, t: Thresholds) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, exactly: each text of a pair travels to its a. An a of many pairs is dealt over parts."""
-    leads = pairs.groupBy("a").agg(F.expr("ceil(count(*) / 1024)").alias("parts"))
-    others = pairs.join(leads, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), F.lit(True).alias("other"), F.col("b").alias("doc_id"))
-    own = leads.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(False).alias("other"), F.col("a").alias("doc_id"))
-    asked = own.unionByName(others).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "other")).alias("asked"))
-    together = docs.repartition(parts, "doc_id").join(asked.repartition(parts, "doc_id"), "doc_id")
-    rows = together.select("doc_id", "text", F.explode("asked").alias("x")).select("doc_id", "text", "x.a", "x.part", "x.other")
+    """Those of the pairs (a, b, part) that are similar, exactly: the text of b travels to the part of its a, as does that of a to each of its parts."""
+    others = pairs.select("a", "part", F.lit(True).alias("other"), F.col("b").alias("doc_id"))
+    own = pairs.select("a", "part").distinct().select("a", "part", F.lit(False).alias("other"), F.col("a").alias("doc_id"))
+    asked = own.unionByName(others)
+    rows = docs.repartition(parts, "doc_id").join(asked.repartition(parts, "doc_id"), "doc_id").select("doc_id", "text", "a", "part", "other")
     return rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(compare(width, t), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
+def met_in(docs: DataFrame, width: int, t: Thresholds, n: int) -> DataFrame:
+    """What the index finds: sizes and histograms of sets, equal sets, pairs and lists that share a key."""
+    told = docs.mapInArrow(frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    heavy = np.sort(np.asarray(told.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toArrow().column(0), np.int64).view(U64))
+    sent = docs.mapInArrow(index(width, heavy, t, n), PACKED).repartitionById(n, F.col("bucket"))
+    return stored(sent.mapInArrow(meet, MET), "met", "kind")
+
+
 def similar(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """(doc_id, component_id) of all documents that are linked with a document of smaller id, directly or not."""
+    return _similar(docs, width, Thresholds(*threshold))[0]
+
+
+def _similar(docs: DataFrame, width: int, t: Thresholds) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     tune(spark)
     shared_dir(spark)
-    t = Thresholds(*threshold)
     docs = texts(docs)
     total = text_bytes(docs)
     n, parts = spread(total, 32 << 20), spread(total, 48 << 20)
-    told = docs.mapInArrow(frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    heavy = np.sort(np.asarray(told.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toArrow().column(0), np.int64).view(U64))
-    sent = docs.mapInArrow(index(width, heavy, t, n), PACKED).repartitionById(n, F.col("bucket"))
-    met = stored(sent.mapInArrow(meet, "kind int, a long, b long, members binary"), "met", "kind")
-    bins = met.where(F.col("kind") == HISTOGRAM).select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("members").alias("bins")).dropDuplicates(["doc_id"])
-    tested = stored(met.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
+    met = met_in(docs, width, t, n)
+    # Rows that repeat a doc_id with another set have a histogram each
+    bins = met.where(F.col("kind") == HISTOGRAM).select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("members").alias("bins")).distinct()
+    met_pairs = met.where(F.col("kind") == CANDIDATE).groupBy("a", "b").agg(F.max("parts").alias("parts"))
+    pairs = stored(met_pairs.select("a", "b", F.expr("pmod(xxhash64(b), parts)").cast("long").alias("part")), "pairs")
     sides = [bins.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
-    near = tested.join(sides[0], "a").join(sides[1], "b").where(bounded(t)("size_a", "bins_a", "size_b", "bins_b")).select("a", "b")
+    leads = pairs.select("a", "part").distinct().join(sides[0], "a")
+    near = pairs.join(leads, ["a", "part"]).join(sides[1], "b").where(bounded(t)("size_a", "bins_a", "size_b", "bins_b")).select("a", "b", "part").distinct()
     links = met.where(F.col("kind") == EQUAL).select("a", "b").unionByName(verified(docs, stored(near, "near"), parts, width, t))
     found = connected(links)
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # First the likeliest pairs between components, which join most of them, then all that the bound allows
     for best in (2, None):
-        more = stored(left_over(met, bins, tested, found, best, t), "rest")
+        more = stored(left_over(met, bins, pairs, tested, found, best, t), "rest")
         if more.isEmpty():
             continue
         so_far = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         found = connected(so_far.unionByName(verified(docs, more, parts, width, t)))
-        tested = tested.unionByName(more)
-    return found
+        tested = tested.unionByName(more.select("a", "b"))
+    return found, met
 
 
-def left_over(met: DataFrame, bins: DataFrame, tested: DataFrame, found: DataFrame, best: int | None, t: Thresholds) -> DataFrame:
+def left_over(met: DataFrame, bins: DataFrame, pairs: DataFrame, tested: DataFrame, found: DataFrame, best: int | None, t: Thresholds) -> DataFrame:
     """Pairs that share a key, stand in different components, can be similar and have not been compared.
 
     best: no more than so many of each component within a list. Long lists are met in blocks.
@@ -389,22 +417,24 @@ def left_over(met: DataFrame, bins: DataFrame, tested: DataFrame, found: DataFra
         of = found.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"{c}_of"))
         return df.join(of, c, "left").withColumn(f"{c}_of", F.coalesce(f"{c}_of", c))
 
-    apart = label(label(met.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "a"), "b").where("a_of <> b_of")
-    leads = apart.select("a").union(apart.select("b")).distinct()
-    lists = met.where(F.col("kind") == BUCKET).select("a", "members").join(leads, "a", "left_semi")
+    first = label(pairs.select("a", "part").distinct(), "a")
+    leads = label(pairs.join(first, ["a", "part"]), "b").where("a_of <> b_of").select("a").distinct()
+    lists = met.where(F.col("kind") == BUCKET).select("a", "members", "parts").join(leads, "a", "left_semi")
 
     def spell(batches):
         for batch in batches:
-            for a, blob in zip(batch.column("a").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            for a, blob, parts in zip(*(batch.column(c).to_pylist() for c in ("a", "members", "parts")), strict=True):
                 n = len(blob) // 9
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.frombuffer(blob, np.int64, n)), pa.array(np.frombuffer(blob, bool, n, 8 * n))], names=["a", "doc", "fringe"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.frombuffer(blob, np.int64, n)), pa.array(np.frombuffer(blob, bool, n, 8 * n)), pa.array(np.full(n, parts, np.int32))], names=["a", "doc", "fringe", "parts"])
 
-    rows = label(lists.mapInArrow(spell, "a long, doc long, fringe boolean").groupBy("a", "doc").agg(F.min("fringe").alias("fringe")), "doc")
-    size = rows.groupBy("a").agg(F.min("doc_of").alias("x"), F.max("doc_of").alias("y"), F.expr(f"ceil(count(*) / {BLOCK})").alias("blocks")).where("x < y")
-    rows = rows.join(size.select("a", "blocks"), "a").join(bins.withColumnRenamed("doc_id", "doc"), "doc")
+    rows = label(lists.mapInArrow(spell, "a long, doc long, fringe boolean, parts int").groupBy("a", "doc").agg(F.min("fringe").alias("fringe"), F.max("parts").alias("parts")), "doc")
+    size = rows.groupBy("a").agg(F.min("doc_of").alias("x"), F.max("doc_of").alias("y"), F.expr(f"ceil(count(*) / {BLOCK})").alias("blocks"), F.max("parts").alias("parts")).where("x < y")
+    # A long list takes the number of its blocks in as many parts
+    size = size.select("a", "blocks", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    rows = rows.withColumn("part", F.expr("pmod(xxhash64(doc), parts)").cast("int")).join(size, ["a", "part"]).join(bins.withColumnRenamed("doc_id", "doc"), "doc")
     rows = rows.withColumn("own", F.expr("pmod(xxhash64(doc), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64())])
 
     def cross(table: pa.Table) -> pa.Table:
         doc, of, fringe, n, own, i, j = (table.column(c).to_numpy() for c in ("doc", "doc_of", "fringe", "size", "own", "i", "j"))
@@ -433,27 +463,14 @@ def left_over(met: DataFrame, bins: DataFrame, tested: DataFrame, found: DataFra
             rank = np.arange(len(order)) - np.repeat(begin, run_lengths(begin, len(order)))
             chosen = np.unique(side[order][rank < best])
             u, v = u[chosen], v[chosen]
-        return pa.Table.from_arrays([pa.array(np.minimum(doc[u], doc[v])), pa.array(np.maximum(doc[u], doc[v]))], schema=kind)
-
-    pairs = rows.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+        return pa.Table.from_arrays([pa.array(np.minimum(doc[u], doc[v])), pa.array(np.maximum(doc[u], doc[v])), pa.array(np.full(len(u), (int(i[0]) << 31) + int(j[0]) if len(i) else 0))], schema=kind)
 
-
-def sizes(width: int):
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for a, b in passes(batch.column("text")):
-                part = batch.slice(a, b - a)
-                _, o, _ = sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(o))], schema=kind)
-
-    return run
+    more = rows.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long, part long").groupBy("a", "b").agg(F.min("part").alias("part"))
+    return more.join(tested, ["a", "b"], "left_anti")
 
 
 def join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """A row for each document: doc_id, size of its shingle set, least doc_id that links lead to."""
-    found = similar(docs, width, threshold)
-    own = texts(docs).mapInArrow(sizes(width), "doc_id long, n_shingles long")
+    found, met = _similar(docs, width, Thresholds(*threshold))
+    own = met.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return own.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
@@ -20,6 +21,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_UP_TO = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -112,7 +116,21 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(_TABLE[buf]).of(starts, ends)
+    """A hash of each word: eight bytes at a time through the finaliser, so that no run of letters cancels out."""
+    n = ends - starts
+    if not len(n):
+        return np.zeros(0, U64)
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+    h = mix((eights[starts] & _UP_TO[np.minimum(n, 8)]) ^ (n.astype(U64) * U64(0xD6E8FEB86659FD93)))
+    done, rest = 8, np.flatnonzero(n > 8)
+    while len(rest) and done < LONG_WORD:
+        left = np.minimum(n[rest] - done, 8)
+        h[rest] = mix((h[rest] * U64(0x9FB21C651E98DF25)) ^ (eights[starts[rest] + done] & _UP_TO[left]))
+        done += 8
+        rest = rest[n[rest] > done]
+    for i in rest.tolist():
+        h[i] ^= U64(xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]]))
+    return h
 
 
 def byte_symbols(buf: np.ndarray) -> np.ndarray:
@@ -142,14 +160,16 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.n
 
 def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values of each range, and their offsets."""
-    doc = owners(offsets)
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
+    v = values.copy()
+    bounds = offsets.tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        v[a:b].sort()
     keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    out = np.zeros(len(offsets), np.int64)
-    np.cumsum(np.bincount(d[keep], minlength=len(offsets) - 1), out=out[1:])
-    return v[keep], out
+    keep[1:] = v[1:] != v[:-1]
+    keep[offsets[:-1][offsets[:-1] < len(v)]] = True
+    before = np.zeros(len(v) + 1, np.int64)
+    np.cumsum(keep, out=before[1:])
+    return v[keep], before[offsets]
 
 
 def slices(lengths: np.ndarray, most: int):
