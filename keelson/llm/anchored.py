@@ -7,11 +7,17 @@ holds the records of many anchors) and all of them linear in the text:
 1. keys: which anchor keys stand in two or more documents at all;
 2. contexts: for those, which blocks (the text that all windows of an anchor span) are equal;
    every block but the first of its kind, by document id, repeats as a whole;
-3. windows: a first block whose key also has other contexts is compared window by window.
+3. windows: first blocks whose key also has other contexts are compared window by window: as
+   bytes, together with all blocks of their key (scheme.phrases), where a key has no more than
+   scheme.limit contexts; by 128-bit names of single windows, dealt by name, beyond.
 
-Hot keys cannot pile up: a worker sends one record for a key from each 8 MB of text, and
-answers the other documents of that text itself. The text is dealt by doc_id once; the plan
-uses that exchange again in each round. No round needs the driver.
+Hot keys cannot pile up: a worker sends scheme.few records for a key from each 8 MB of text at
+most, and answers the other documents of that text itself. The text is dealt by doc_id once;
+the plan uses that exchange again in each round. No round needs the driver.
+
+Blocks are equal if a key (32 bits and its bucket) and an independent 64-bit hash agree, windows
+by 128 bits, or byte by byte. Answers are by doc_id and content; ranges also name the text they
+are for, as rows may repeat a doc_id with other texts.
 """
 
 from __future__ import annotations
@@ -21,18 +27,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH_BYTES, bucket_of, by_bucket, pack_deltas, passes, run_lengths, runs, spread, text_bytes, texts, tune, unpack_deltas
-from .kernels import flat, mix
+from .common import FLUSH_BYTES, PASS_BYTES, bucket_of, by_bucket, pack_deltas, passes, run_lengths, runs, spread, text_bytes, texts, tune, unpack_deltas
+from .kernels import flat, mix, slices
 
 PACKED = "bucket int, kind int, k binary, c binary, d binary, f binary"
 REPLY = "doc_id long, kind int, codes binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("k", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("f", pa.binary())])
 _REPLY = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("codes", pa.binary())])
 RECORDS, REPLIES = 0, 16
-KEY, FULL, OPEN, FULL_RANGE, OPEN_RANGE, WINDOW = range(6)
+KEY, FULL, OPEN, NAMED, FULL_RANGE, OPEN_RANGE, WINDOW = range(7)
+BLOCKS = 1
+#: Bits of a range's end that are the place in the text.
+_PLACE = np.uint64((1 << 40) - 1)
 
 
 class Scheme:
@@ -42,15 +52,24 @@ class Scheme:
     """
 
     width: int
+    #: Contexts of a key in one stretch of text, and in all, up to which blocks are compared as bytes.
+    few, limit = 1, 1
 
     def scan(self, buf: np.ndarray, offsets: np.ndarray) -> Scan:
         raise NotImplementedError
 
+    def phrases(self, text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of blocks of text, back to back: (doc_id, name) of the windows that stand in a block of a smaller doc_id."""
+        raise NotImplementedError
+
 
 class Scan:
-    def __init__(self, units: np.ndarray, doc: np.ndarray, key: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray, window: Callable[[np.ndarray], np.ndarray]):
-        """units: for each document its first unit. low, high: the first and last window start that an anchor owns."""
-        self.units, self.doc, self.key, self.context, self.low, self.high, self.window = units, doc, key, context, low, high, window
+    def __init__(self, units: np.ndarray, doc: np.ndarray, key: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray, window: Callable[[np.ndarray], np.ndarray], second: Callable[[np.ndarray], np.ndarray]):
+        """units: for each document its first unit. low, high: the first and last window start that an anchor owns.
+
+        window, second: two independent hashes of windows by their start.
+        """
+        self.units, self.doc, self.key, self.context, self.low, self.high, self.window, self.second = units, doc, key, context, low, high, window, second
 
 
 def code1(key: np.ndarray, n: int) -> np.ndarray:
@@ -92,6 +111,19 @@ def packed_rows(bucket_count: int, key: np.ndarray, ids: np.ndarray, context: np
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
 
+def packed_blocks(bucket_count: int, key: np.ndarray, ids: np.ndarray, size: np.ndarray, text: np.ndarray) -> pa.RecordBatch | None:
+    """Blocks of text, which lie back to back, by the bucket of their key."""
+    if not len(key):
+        return None
+    order, begin = by_bucket(bucket_of(key, bucket_count), bucket_count)
+    at = np.cumsum(size) - size
+    text = text[spans(at[order], (at + size - 1)[order])]
+    key, ids, size = key[order], ids[order], size[order]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    rows = [(b, BLOCKS, key[x:y].tobytes(), text[ends[x] : ends[y]].tobytes(), pack_deltas(ids[x:y]), size[x:y].astype(np.uint16).tobytes()) for b, x, y in zip(range(bucket_count), begin[:-1].tolist(), begin[1:].tolist(), strict=True) if x < y]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
+
+
 def passed_on(kind: int, ids: np.ndarray, code: np.ndarray, bucket_count: int) -> pa.RecordBatch | None:
     """Answers that are known already travel with the records, as rows of their own."""
     if not len(ids):
@@ -187,11 +219,25 @@ def first_round(scheme: Scheme, n: int):
     return run
 
 
-def reduced(n: int, short: bool, decide: Callable[..., Iterator[pa.RecordBatch | None]]):
+def compared(scheme: Scheme, blocks: list[tuple]) -> Iterator[pa.RecordBatch | None]:
+    """Blocks of one bucket, all of a key together, some keys at a time."""
+    key, ids, size, text = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    blocks.clear()
+    order = np.argsort(key, kind="stable")
+    at = (np.cumsum(size) - size)[order]
+    key, ids, size = key[order], ids[order], size[order]
+    begin = runs(key)
+    for a, b in slices(np.add.reduceat(size, begin), PASS_BYTES) if len(key) else ():
+        x, y = begin[a], begin[b] if b < len(begin) else len(key)
+        yield replies(WINDOW, *scheme.phrases(text[spans(at[x:y], at[x:y] + size[x:y] - 1)], size[x:y], ids[x:y]))
+
+
+def reduced(n: int, short: bool, decide: Callable[..., Iterator[pa.RecordBatch | None]], scheme: Scheme):
     """One bucket's records, together; answers that came along go on at once."""
 
     def run(batches):
         parts: list[tuple] = []
+        blocks: list[tuple] = []
         bucket = 0
         for batch in batches:
             kinds = np.asarray(batch.column("kind"))
@@ -201,13 +247,19 @@ def reduced(n: int, short: bool, decide: Callable[..., Iterator[pa.RecordBatch |
                     yield replies(kind - REPLIES, np.frombuffer(batch.column("d")[i].as_py(), np.int64), np.frombuffer(k, np.uint64))
                     continue
                 bucket = batch.column("bucket")[i].as_py()
-                key = np.frombuffer(k, np.uint32 if short else np.uint64)
                 c, f = batch.column("c")[i].as_py(), batch.column("f")[i].as_py()
+                if kind == BLOCKS:
+                    key = np.frombuffer(k, np.uint64)
+                    blocks.append((key, unpack_deltas(batch.column("d")[i].as_py(), len(key)), np.frombuffer(f, np.uint16).astype(np.int64), np.frombuffer(c, np.uint8)))
+                    continue
+                key = np.frombuffer(k, np.uint32 if short else np.uint64)
                 parts.append((key, unpack_deltas(batch.column("d")[i].as_py(), len(key)), np.zeros(0, np.uint64) if c is None else np.frombuffer(c, np.uint64), np.zeros(0, bool) if f is None else np.unpackbits(np.frombuffer(f, np.uint8), count=len(key)).astype(bool)))
         if parts:
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             parts.clear()
             yield from filter(None, decide(bucket, *columns))
+        if blocks:
+            yield from filter(None, compared(scheme, blocks))
 
     return run
 
@@ -232,10 +284,11 @@ def second_round(scheme: Scheme, n1: int, n: int):
         bk, bc, bd = key[block], context[block], ids[block]
         begin = runs(bk)
         size = run_lengths(begin, len(bk))
-        mixed = np.repeat(size > 1, size)
-        yield passed_on(OPEN, bd[mixed], bc[mixed], n)
-        one = size == 1
-        yield packed_rows(n, bk[begin], bd[begin], context=np.where(one, bc[begin], np.uint64(0)), flag=~one, short=True)
+        many = np.repeat(size > scheme.few, size)
+        yield passed_on(NAMED, bd[many], bc[many], n)
+        sent = ~many
+        sent[begin] = True
+        yield packed_rows(n, bk[sent], bd[sent], context=np.where(many, np.uint64(0), bc)[sent], flag=many[sent], short=True)
 
     def run(batches):
         held = Gathered(3)
@@ -250,7 +303,11 @@ def second_round(scheme: Scheme, n1: int, n: int):
     return run
 
 
-def decide_contexts(bucket, key, ids, context, flag):
+def decide_contexts(scheme: Scheme):
+    return lambda bucket, key, ids, context, flag: _decide_contexts(scheme.limit, key, ids, context, flag)
+
+
+def _decide_contexts(limit, key, ids, context, flag):
     order = np.lexsort((ids, context, flag, key))
     key, ids, context, flag = key[order], ids[order], context[order], flag[order]
     begin = runs(key)
@@ -260,25 +317,27 @@ def decide_contexts(bucket, key, ids, context, flag):
     blocks_of_key = np.searchsorted(block, np.append(begin, len(key)))
     several = (np.diff(blocks_of_key) > 1) | np.maximum.reduceat(flag, begin)
     several_row = np.repeat(several, size)
+    many = np.repeat((np.diff(blocks_of_key) > limit) | np.maximum.reduceat(flag, begin), size)
     least = np.repeat(ids[block], block_size)
     full = ~flag & (ids > least)
     yield replies(FULL, ids[full], context[full])
     first = np.zeros(len(key), bool)
     first[block] = True
     opened = first & ~flag & several_row
-    yield replies(OPEN, ids[opened], context[opened])
+    yield replies(OPEN, ids[opened & ~many], context[opened & ~many])
+    yield replies(NAMED, ids[opened & many], context[opened & many])
 
 
 def third_round(scheme: Scheme, n: int):
-    def send(window, ids):
-        window, ids = unique_rows(window, ids)
-        begin = runs(window)
+    def named(window, second, ids):
+        window, second, ids = unique_rows(window, second, ids)
+        begin = runs(window, second)
         first = np.zeros(len(window), bool)
         first[begin] = True
         yield passed_on(WINDOW, ids[~first], window[~first], n)
-        yield packed_rows(n, window[begin], ids[begin])
+        yield packed_rows(n, window[begin], ids[begin], context=second[begin])
 
-    def ranges(kind, s, ids, chosen):
+    def ranges(kind, s, ids, mark, chosen):
         if not chosen.any():
             return None
         doc, low, high = s.doc[chosen], s.low[chosen] - s.units[s.doc[chosen]], s.high[chosen] - s.units[s.doc[chosen]]
@@ -288,43 +347,63 @@ def third_round(scheme: Scheme, n: int):
         new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > high[:-1] + 1)
         at = np.flatnonzero(new)
         doc, low, high = doc[at], low[at], np.maximum.reduceat(high, at)
-        return passed_on(kind, np.repeat(ids[doc], 2), np.stack([low, high], 1).ravel().astype(np.uint64), n)
+        return passed_on(kind, np.repeat(ids[doc], 2), (mark[doc] | np.stack([low, high], 1).astype(np.uint64)).ravel(), n)
 
     def run(batches):
-        held = Gathered(2)
+        held, blocks = Gathered(3), Gathered(4)
         none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         for ids, known, buf, offsets, marks in documents(batches, True):
             s = scheme.scan(buf, offsets)
+            mark = text_marks(buf, offsets)
             full = among(s.doc, s.context, *marks.get(FULL, none))
-            opened = among(s.doc, s.context, *marks.get(OPEN, none)) & ~full
-            yield from filter(None, [ranges(FULL_RANGE, s, ids, full), ranges(OPEN_RANGE, s, ids, opened)])
-            at = spans(s.low[opened], s.high[opened])
-            owner = np.repeat(s.doc[opened], s.high[opened] - s.low[opened] + 1)
-            if held.add(len(buf), s.window(at), ids[owner]):
-                yield from filter(None, send(*held.take()))
+            many = among(s.doc, s.context, *marks.get(NAMED, none)) & ~full
+            opened = among(s.doc, s.context, *marks.get(OPEN, none)) & ~full & ~many
+            yield from filter(None, [ranges(FULL_RANGE, s, ids, mark, full), ranges(OPEN_RANGE, s, ids, mark, opened | many)])
+            at = spans(s.low[many], s.high[many])
+            owner = np.repeat(s.doc[many], s.high[many] - s.low[many] + 1)
+            if held.add(len(buf), s.window(at), s.second(at), ids[owner]):
+                yield from filter(None, named(*held.take()))
+            if opened.any():
+                once = np.flatnonzero(opened)
+                once = once[np.unique(s.context[once] ^ mix(s.doc[once].astype(np.uint64)), return_index=True)[1]]
+                low, high = s.low[once], s.high[once] + scheme.width - 1
+                if blocks.add(len(buf), s.key[once], ids[s.doc[once]], high - low + 1, buf[spans(low, high)]):
+                    yield from filter(None, [packed_blocks(n, *blocks.take())])
         if held.parts:
-            yield from filter(None, send(*held.take()))
+            yield from filter(None, named(*held.take()))
+        if blocks.parts:
+            yield from filter(None, [packed_blocks(n, *blocks.take())])
 
     return run
 
 
-def decide_windows(bucket, window, ids, *_):
-    order = np.lexsort((ids, window))
-    window, ids = window[order], ids[order]
-    begin = runs(window)
+def decide_windows(bucket, window, ids, second, *_):
+    order = np.lexsort((ids, second, window))
+    window, second, ids = window[order], second[order], ids[order]
+    begin = runs(window, second)
     least = np.repeat(ids[begin], run_lengths(begin, len(window)))
     again = ids > least
     yield replies(WINDOW, ids[again], window[again])
 
 
-def repeated(scheme: Scheme, s: Scan, marks: dict) -> np.ndarray:
+def text_marks(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text 24 bits that go above the low end of its ranges and 24 above the high end: they tell rows of one doc_id apart."""
+    bounds = offsets.tolist()
+    x = np.array([xxhash.xxh3_64_intdigest(buf[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
+    return np.stack([x & ~_PLACE, x << np.uint64(24) & ~_PLACE], 1)
+
+
+def repeated(scheme: Scheme, s: Scan, mark: np.ndarray, marks: dict) -> np.ndarray:
     """The window starts that repeat a window of an earlier document, in units of the pass."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def positions(kind):
         doc, x = marks.get(kind, none)
-        x = x.astype(np.int64).reshape(-1, 2) + s.units[doc[::2]][:, None]
-        return spans(x[:, 0], x[:, 1]), np.repeat(doc[::2], x[:, 1] - x[:, 0] + 1)
+        doc, x = doc[::2], x.reshape(-1, 2)
+        own = ((x & ~_PLACE) == mark[doc]).all(1)
+        doc, x = doc[own], (x[own] & _PLACE).astype(np.int64)
+        x += s.units[doc][:, None]
+        return spans(x[:, 0], x[:, 1]), np.repeat(doc, x[:, 1] - x[:, 0] + 1)
 
     full, _ = positions(FULL_RANGE)
     at, owner = positions(OPEN_RANGE)
@@ -351,11 +430,11 @@ def removal(docs: DataFrame, scheme: Scheme, finish: Callable, schema: str) -> D
     dealt = docs.where("doc_id is not null").repartition(parts, "doc_id")
 
     def together(sent: DataFrame, short: bool, decide) -> DataFrame:
-        rows = sent.repartitionById(n, F.col("bucket")).mapInArrow(reduced(n, short, decide), REPLY)
+        rows = sent.repartitionById(n, F.col("bucket")).mapInArrow(reduced(n, short, decide, scheme), REPLY)
         return rows.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "codes")).alias("marks"))
 
     keys = together(dealt.mapInArrow(first_round(scheme, n), PACKED), True, decide_keys)
-    blocks = together(dealt.join(keys, "doc_id").mapInArrow(second_round(scheme, n, n), PACKED), True, decide_contexts)
+    blocks = together(dealt.join(keys, "doc_id").mapInArrow(second_round(scheme, n, n), PACKED), True, decide_contexts(scheme))
     windows = together(dealt.join(blocks, "doc_id").mapInArrow(third_round(scheme, n), PACKED), False, decide_windows)
     nameless = docs.where("doc_id is null").withColumn("marks", F.lit(None).cast("array<struct<kind:int,codes:binary>>"))
     return dealt.join(windows, "doc_id", "left").unionByName(nameless).mapInArrow(finish, schema)

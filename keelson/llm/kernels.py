@@ -115,7 +115,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = LONG_WORD) -> np.ndarray:
     """A hash of each word: eight bytes at a time through the finaliser, so that no run of letters cancels out."""
     n = ends - starts
     if not len(n):
@@ -123,7 +123,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
     h = mix((eights[starts] & _UP_TO[np.minimum(n, 8)]) ^ (n.astype(U64) * U64(0xD6E8FEB86659FD93)))
     done, rest = 8, np.flatnonzero(n > 8)
-    while len(rest) and done < LONG_WORD:
+    while len(rest) and done < long:
         left = np.minimum(n[rest] - done, 8)
         h[rest] = mix((h[rest] * U64(0x9FB21C651E98DF25)) ^ (eights[starts[rest] + done] & _UP_TO[left]))
         done += 8

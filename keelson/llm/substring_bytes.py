@@ -1,18 +1,28 @@
 """Suffix-array dedup by prefix-free parsing (operator 5).
 
-A rolling hash over 24 bytes triggers a phrase wherever it is least among the 27 places that
-a 50-byte window has, so that each window holds a trigger and phrases are bounded (triggers
-by residue leave phrases of any length). The window's least place names its phrase. Equal
-windows have equal phrases at equal offsets, so corpus order over 50-byte prefixes only ever
-needs to be settled among suffixes of one phrase: distinct phrases in context are the
-dictionary, the phrases that a document names are its parse. Round 2 of anchored settles
-equal runs of the parse, round 3 the suffixes of dictionary phrases that stand in several
-contexts; both sort by the hash of what a 50-byte prefix holds, and the first of each class
-of equals is that of the smallest doc_id. Highly repetitive text is settled phrase by phrase.
+Parse: a rolling hash over 24 bytes triggers a phrase wherever it is least among the 27 places
+that a 50-byte window has (a trigger by residue would leave phrases of any length, and windows
+without one). Neighbouring phrases overlap by 49 bytes, so that each 50-byte string of a text
+lies in exactly one of them, and no phrase has a suffix of 50 bytes that is another's prefix
+without being it. A text is the sequence of its phrases.
+
+Dictionary: distinct phrases, each with the smallest doc_id that has it. As phrases overlap by
+49 bytes, the order of two suffixes of the parse to a depth of 50 bytes is that of their first
+phrases alone: all suffixes that begin in equal phrases are equal to that depth, and of those
+the first by doc_id is known without looking into the phrase. Highly repetitive text ends here.
+
+Suffix array of the dictionary: suffixes of 50 bytes and more of distinct phrases are put in
+lexicographic order to depth 50 by prefix doubling (8, 16, 32, 50 bytes); those next to each
+other with a common prefix of 50 bytes are one class, whose first document is the smallest
+doc_id among its phrases. Phrases that share 50 bytes share their trigger: the array is built
+trigger by trigger, some at a time. Both orders together give for each suffix of the corpus the
+first document of its class. Triggers with more than LIMIT phrases, or FEW in 8 MB of text, are
+not gathered in one place: their windows meet one by one under 128-bit names.
 
 Nulls: a null text is empty; a null doc_id neither removes nor loses bytes. Texts under 50
-bytes stay. Rows that repeat a doc_id are one document's: none of them is earlier than the
-other. An empty table gives an empty result. Other columns are ignored.
+bytes stay; very long ones are worked through whole. Rows that repeat a doc_id are one
+document's: none of them is earlier than the other, and each loses what documents of smaller
+ids hold. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +33,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Scan, Scheme, covered, documents, removal, repeated
+from .anchored import Scan, Scheme, covered, documents, removal, repeated, spans, text_marks
 from .common import runs
-from .kernels import U64, Rolling, byte_symbols, mix
+from .kernels import U64, Rolling, byte_symbols, mix, word_hashes
 
 WINDOW, TRIGGER = 50, 24
+#: Distinct phrases of one trigger in 8 MB of text, and in all, that are sorted together.
+FEW, LIMIT = 8, 1024
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def ordered(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of values, and their ranks in it; equal ones share a rank."""
+    order = np.argsort(value)
+    rank = np.zeros(len(order), U64)
+    ascending = value[order]
+    rank[order[1:]] = np.cumsum(ascending[1:] != ascending[:-1]).astype(U64)
+    return order, rank
+
+
+def suffix_array(text: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of phrases that lie back to back: suffixes of depth bytes and more, in lexicographic order to that depth, and where classes of equals begin."""
+    start = np.cumsum(size) - size
+    have = min(8, depth)
+    at = spans(start, start + size - have)
+    value = np.ndarray((len(text),), ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), 0, (1,)).astype(U64)[at] >> U64(8 * (8 - have))
+    order, rank = ordered(value)
+    while have < depth:
+        step = min(have, depth - have)
+        ranks = np.zeros(len(text), U64)
+        ranks[at] = rank
+        have += step
+        at = spans(start, start + size - have)
+        order, rank = ordered(ranks[at] << U64(32) | ranks[at + step])
+    return at[order], runs(rank[order])
+
+
 class Phrases(Scheme):
+    few, limit = FEW, LIMIT
+
     def __init__(self, width: int = WINDOW, trigger: int = TRIGGER):
         self.width, self.trigger = width, trigger
 
@@ -39,9 +79,10 @@ class Phrases(Scheme):
         n, width = len(buf), self.width
         rolled = Rolling(byte_symbols(buf))
         window = lambda p: rolled.of(p, p + width)
+        second = lambda p: word_hashes(buf, p, p + width, width)
         if n < width:
             none = np.zeros(0, np.int64)
-            return Scan(offsets[:-1], none, none.astype(U64), none.astype(U64), none, none, window)
+            return Scan(offsets[:-1], none, none.astype(U64), none.astype(U64), none, none, window, second)
         gram = rolled.every(self.trigger)
         bits = U64(max(1, n.bit_length()))
         least = ((gram >> bits) << bits) | np.arange(len(gram), dtype=U64)
@@ -59,8 +100,15 @@ class Phrases(Scheme):
         last = np.append(begin[1:], len(place)) - 1 if len(begin) else begin
         at, low, high = place[begin], start[begin], start[last]
         doc = np.searchsorted(offsets, low, "right") - 1
-        context = mix(rolled.of(low, high + width) + ((at - low) * 64 + high - low).astype(U64))
-        return Scan(offsets[:-1], doc, gram[at], context, low, high, window)
+        context = mix(word_hashes(buf, low, high + width, 2 * width) + ((at - low) * 64 + high - low).astype(U64))
+        return Scan(offsets[:-1], doc, gram[at], context, low, high, window, second)
+
+    def phrases(self, text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, begin = suffix_array(text, size, self.width)
+        own = ids[np.searchsorted(np.cumsum(size), at, "right")]
+        least = np.repeat(np.minimum.reduceat(own, begin), np.diff(begin, append=len(at)))
+        again = own > least
+        return own[again], Rolling(byte_symbols(text)).of(at[again], at[again] + self.width)
 
 
 def kept(scheme: Phrases):
@@ -70,7 +118,7 @@ def kept(scheme: Phrases):
         for ids, known, buf, offsets, marks in documents(batches, True):
             size = np.diff(offsets)
             if marks:
-                gone = covered(repeated(scheme, scheme.scan(buf, offsets), marks), scheme.width, len(buf))
+                gone = covered(repeated(scheme, scheme.scan(buf, offsets), text_marks(buf, offsets), marks), scheme.width, len(buf))
             else:
                 gone = np.zeros(len(buf), bool)
             before = np.concatenate([[0], np.cumsum(gone)])

@@ -4,11 +4,13 @@ The residues {0, 1, 3} modulo 7 are a perfect difference cover: for any two posi
 is a shift below 7 that brings both onto a residue of the cover. So two equal runs of 13
 words, wherever they begin, share an anchor: seven words that begin at a cover position in
 both documents. Only anchors are hashed and sent (three of seven positions); anchors that
-two documents share are then extended by the six words on either side (see anchored).
+two documents share are then extended by the six words on either side (see anchored). Windows
+are equal by 128 bits: two independent hashes of their words.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A null text has no words; a null doc_id neither
-removes nor loses words; rows that repeat a doc_id are one document's. Texts of fewer than 13
-words stay. An empty table gives an empty result. Other columns are ignored.
+removes nor loses words; rows that repeat a doc_id are one document's: none of them is earlier
+than the other, and each loses what documents of smaller ids hold. Texts of fewer than 13
+words stay; very long ones are worked through whole. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Scan, Scheme, covered, documents, removal, repeated
+from .anchored import Scan, Scheme, covered, documents, removal, repeated, text_marks
 from .kernels import U64, Rolling, mix, owners, word_hashes, words
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -33,7 +35,8 @@ class CoverAnchors(Scheme):
 
     def scan(self, buf: np.ndarray, offsets: np.ndarray) -> Scan:
         starts, ends, first = words(buf, offsets)
-        rolled = Rolling(word_hashes(buf, starts, ends))
+        hashes = word_hashes(buf, starts, ends)
+        rolled, other = Rolling(hashes), Rolling(mix(hashes + U64(0x632BE59BD9B4E019)))
         width = self.width
         doc = owners(first)
         at = np.arange(len(starts))
@@ -46,8 +49,8 @@ class CoverAnchors(Scheme):
         fits = low <= high
         at, doc, low, high = at[fits], doc[fits], low[fits], high[fits]
         key = rolled.of(at, at + self.anchor)
-        context = mix(rolled.of(low, high + width) + ((at - low) * 16 + high - low).astype(U64))
-        return Scan(first[:-1], doc, key, context, low, high, lambda p: rolled.of(p, p + width))
+        context = mix(other.of(low, high + width) + ((at - low) * 16 + high - low).astype(U64))
+        return Scan(first[:-1], doc, key, context, low, high, lambda p: rolled.of(p, p + width), lambda p: other.of(p, p + width))
 
 
 def kept(scheme: CoverAnchors):
@@ -57,7 +60,7 @@ def kept(scheme: CoverAnchors):
         for ids, known, buf, offsets, marks in documents(batches, True):
             _, _, first = words(buf, offsets)
             n = int(first[-1])
-            gone = covered(repeated(scheme, scheme.scan(buf, offsets), marks), scheme.width, n) if marks else np.zeros(n, bool)
+            gone = covered(repeated(scheme, scheme.scan(buf, offsets), text_marks(buf, offsets), marks), scheme.width, n) if marks else np.zeros(n, bool)
             before = np.concatenate([[0], np.cumsum(gone)])
             removed = before[first[1:]] - before[first[:-1]]
             digest = []
