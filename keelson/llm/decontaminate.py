@@ -8,16 +8,22 @@ RADIUS // BLOCKS bits in one of BLOCKS blocks, so that looking up each block of
 the near values of item blocks misses none within the radius. Candidates are verified with
 the exact similarity of weighted shingles (sum of least over sum of largest weights), which
 has to be THRESHOLD or more. Windows without a single shingle of the benchmark have similarity
-0 with all items; they are not fingerprinted.
+0 with all items; they are not fingerprinted. An item of fewer than five words is a single
+shingle of that many words, wherever it stands in a text.
 
 Items go to all workers, at most ITEMS and ITEM_BYTES at a time; a larger benchmark is worked
-through in such slices, one pass over the texts for each. An item of fewer than five words
-is one shingle and is found in documents that consist of it. Null and empty items and texts
-match nothing; a null doc_id is reported with its matches; repeated rows are reported each.
+through in such slices, one pass over the texts for each, whose result is written before the
+next slice is read: neither driver nor workers hold more than two slices. Workers build the
+index of near block values themselves.
+
+Null and empty items and texts match nothing, an empty table of either kind gives no rows. A
+null doc_id is reported with its matches; repeated rows are reported each. Very long texts are
+worked through whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, tune
+from .common import passes, stored, tune
 from .kernels import U64, Rolling, flat, mix, owners, word_hashes, words
 
 BITS, BLOCKS, RADIUS = 128, 8, 31
 THRESHOLD, WIDTH = 0.75, 5
-ITEMS, ITEM_BYTES = 2000, 8 << 20
+ITEMS, ITEM_BYTES = 1000, 8 << 20
 #: Window positions that are fingerprinted at a time.
 ZONE = 1 << 14
 _PLAIN = np.full(256, 32, np.uint8)
@@ -58,6 +64,9 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
+_built: dict[str, dict] = {}
+
+
 class Items:
     """The benchmark's items of one slice, by length, with the index of each length."""
 
@@ -72,18 +81,29 @@ class Items:
             self.shingles.append(v)
             self.weights.append(n)
             self.prints.append(fingerprint(planes(v).T.dot(n)[None, :])[0] if len(v) else np.zeros(BITS // 16, np.uint16))
-        self.all = np.unique(np.concatenate([*self.shingles, np.zeros(0, U64)]))
-        self.near = np.array([x for x in range(1 << 16) if x.bit_count() <= RADIUS // BLOCKS], np.uint16)
-        self.index = {}
-        for n in np.unique(self.size[self.size > 0]).tolist():
-            own = np.flatnonzero(self.size == n)
-            prints = np.array([self.prints[i] for i in own])
-            blocks = []
-            for b in range(BLOCKS):
-                value = (prints[:, b][:, None] ^ self.near[None, :]).ravel()
-                order = np.argsort(value, kind="stable")
-                blocks.append((value[order], np.repeat(np.arange(len(own)), len(self.near))[order]))
-            self.index[n] = (own, prints, blocks)
+        self.name = hashlib.sha256(self.ids.tobytes() + word.tobytes() + first.tobytes()).hexdigest()
+        self.lengths = np.unique(self.size[self.size > 0]).tolist()
+        # The shingles of items, by their number of words
+        self.all = {w: np.unique(np.concatenate([self.shingles[i] for i in np.flatnonzero(np.minimum(self.size, WIDTH) == w)])) for w in sorted({min(n, WIDTH) for n in self.lengths})}
+
+    @property
+    def index(self) -> dict:
+        """Of each length its items, their fingerprints and blocks; built once in a worker, for the slice it works on."""
+        if self.name not in _built:
+            _built.clear()
+            near = np.array([x for x in range(1 << 16) if x.bit_count() <= RADIUS // BLOCKS], np.uint16)
+            index = {}
+            for n in self.lengths:
+                own = np.flatnonzero(self.size == n)
+                prints = np.array([self.prints[i] for i in own])
+                blocks = []
+                for b in range(BLOCKS):
+                    value = (prints[:, b][:, None] ^ near[None, :]).ravel()
+                    order = np.argsort(value, kind="stable")
+                    blocks.append((value[order], np.repeat(np.arange(len(own), dtype=np.int32), len(near))[order]))
+                index[n] = (own, prints, blocks)
+            _built[self.name] = index
+        return _built[self.name]
 
     def candidates(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) whose fingerprints are within the radius."""
@@ -122,27 +142,28 @@ def matches(items: Items, text: pa.Array) -> list[list[tuple[int, float, int, in
     """Of each text (item_id, similarity, first word, words) for every item that it holds, its best window."""
     word, first = word_sequence(text)
     best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(first) - 1)]
-    if len(word) and len(items.all):
+    if len(word) and items.lengths:
         doc = owners(first)
         at = np.arange(len(word))
         last = first[1:][doc]
         rolled = Rolling(word)
-        short = np.diff(first)[doc] < WIDTH
-        # Of a text under five words the only shingle starts at its first word
-        real = (at + WIDTH <= last) | (short & (at == first[:-1][doc]))
-        shingle = rolled.of(at, np.minimum(at + WIDTH, last))
-        place = np.searchsorted(items.all, shingle)
-        place[place == len(items.all)] = 0
-        hit = np.flatnonzero(real & (items.all[place] == shingle))
-        for n in items.index if len(hit) else ():
-            for window in starts(hit, n, first, doc):
-                compare(items, n, window, first, doc, shingle, best)
+        for width, known in items.all.items():
+            # Of a text of fewer words the only shingle starts at its first word
+            real = (at + width <= last) | ((np.diff(first)[doc] < width) & (at == first[:-1][doc]))
+            shingle = rolled.of(at, np.minimum(at + width, last))
+            place = np.searchsorted(known, shingle)
+            place[place == len(known)] = 0
+            hit = np.flatnonzero(real & (known[place] == shingle))
+            for n in items.lengths if len(hit) else ():
+                if min(n, WIDTH) == width:
+                    for window in starts(hit, n, width, first, doc):
+                        compare(items, n, width, window, first, doc, shingle, best)
     return [[(int(items.ids[i]), *x) for i, x in sorted(own.items())] for own in best]
 
 
-def starts(hit: np.ndarray, n: int, first: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
+def starts(hit: np.ndarray, n: int, width: int, first: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
     """Starts of windows of n words that hold a hit, in stretches. A shorter text has one window, itself."""
-    span = max(1, n - WIDTH + 1)
+    span = n - width + 1
     low = np.maximum(hit - span + 1, first[:-1][doc[hit]])
     high = np.maximum(np.minimum(hit, first[1:][doc[hit]] - n), first[:-1][doc[hit]])
     low = np.minimum(low, high)
@@ -159,9 +180,9 @@ def starts(hit: np.ndarray, n: int, first: np.ndarray, doc: np.ndarray) -> Itera
                 yield out[y : y + ZONE]
 
 
-def compare(items: Items, n: int, window: np.ndarray, first: np.ndarray, doc: np.ndarray, shingle: np.ndarray, best: list) -> None:
+def compare(items: Items, n: int, width: int, window: np.ndarray, first: np.ndarray, doc: np.ndarray, shingle: np.ndarray, best: list) -> None:
     end = np.minimum(window + n, first[1:][doc[window]])
-    stop = np.maximum(end - WIDTH + 1, window + 1)
+    stop = np.maximum(end - width + 1, window + 1)
     # Window starts may lie far apart: sums run over the shingles that the windows touch
     need = np.zeros(int(stop.max() - window[0]) + 1, np.int32)
     np.add.at(need, window - window[0], 1)
@@ -215,14 +236,35 @@ def found_in(items: Items):
     return run
 
 
-def contained(benchmark: DataFrame, text: Column) -> Column:
-    """The items that a text holds, as an array (empty for clean texts)."""
-    parts = [found_in(items)(text.cast("string")) for items in sliced(benchmark)]
-    return F.concat(*parts) if parts else F.array().cast(KIND)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds: similarity and place of the best window. Clean documents have none."""
+    spark = docs.sparkSession
+    tune(spark)
+    found = None
+    for items, only in _slices(benchmark):
+        x = docs.select("doc_id", F.explode(found_in(items)(F.col("text").cast("string"))).alias("x"))
+        rows = x.select("doc_id", "x.item_id", "x.similarity", "x.start_word", "x.n_words")
+        rows = rows if only else stored(rows, "found")
+        found = rows if found is None else found.unionByName(rows)
+    return docs.select("doc_id", F.explode(F.array().cast(KIND)).alias("x")).select("doc_id", "x.*") if found is None else found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
     tune(docs.sparkSession)
-    x = docs.select("doc_id", F.explode(contained(benchmark, F.col("text"))).alias("x"))
-    return x.select("doc_id", "x.item_id", "x.similarity", "x.start_word", "x.n_words")
+    for items, only in _slices(benchmark):
+        docs = docs.where(F.size(found_in(items)(F.col("text").cast("string"))) == 0)
+        docs = docs if only else stored(docs, "clean")
+    return docs
+
+
+def _slices(benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """Slices, and whether there is but one."""
+    last, one = None, True
+    for items in sliced(benchmark):
+        if last is not None:
+            one = False
+            yield last, one
+        last = items
+    if last is not None:
+        yield last, one

@@ -5,17 +5,21 @@ indexed, in blocks of BLOCK rows: a block posts each row, with the pivot's place
 in the inverted file of each of its nearest pivots. A query goes through the postings of its
 own nearest pivots and sums the footrule distance (a pivot that a row lacks counts as place
 NEAREST). In the order of footrule, ties to the smaller id, rows are ranked again by Euclidean
-distance in double precision on the original vectors, step by step until PATIENCE steps in a
+distance in double precision on the original vectors, step by step until patience steps in a
 row leave the k best as they are: dense places, where footrules hardly differ, take longer.
+The k best of a query are kept from block to block of a task, so that later blocks stop sooner
+and a task sends k rows for each query. With patience None (exact) no step is left out, and the
+result is that of comparing all pairs.
 
 Pivots come from a bounded sample (the SAMPLE least hashes of vec_id). Queries are taken in
-slices of QUERIES, one pass over the rows for each, so that what goes to workers is bounded;
-of each block and query only the k best go on. Recall was measured against brute force (see
-tests and README).
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, nor do rows without vec_id. Repeated queries count once. Tables
-without usable vectors give an empty result. Extra columns are ignored.
+slices of QUERIES, one pass over the rows for each, whose result is written before the next
+slice is read: what driver and workers hold is bounded. Recall was measured against brute force
+(see tests and README).
+
+Vectors that are null, zero, of another length than most (no distance to the others), or hold
+null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a
+vec_id are candidates each, but for the query of that id, which is asked once. Tables without
+usable vectors give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import stored, tune
 
 PIVOTS, NEAREST, BLOCK, SAMPLE, QUERIES = 512, 128, 4096, 2048, 4096
 #: Rows of a block are ranked again in steps of this share (and number at least), until so many steps have not changed the k best.
@@ -71,7 +75,8 @@ class Block:
         self.begin = np.searchsorted(o.ravel()[by_pivot], np.arange(len(pivots) + 1))
         self.row, self.place = row[by_pivot], place[by_pivot].astype(np.int32)
 
-    def search(self, query_id: int, query: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, query: np.ndarray, pivots: np.ndarray, k: int, patience: int | None, so_far: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of the block and of those found so far."""
         m = len(pivots)
         footrule = np.full(len(self.ids), int((m - np.arange(m)).sum()), np.int64)
         for place, pivot in enumerate(pivots.tolist()):
@@ -82,13 +87,14 @@ class Block:
         by_rank = np.argsort(rank, kind="stable")
         by_rank = by_rank[self.ids[by_rank] != query_id]
         step = max(LEAST, k, int(np.ceil(STEP * len(rank))))
-        ids, score, calm = np.zeros(0, np.int64), np.zeros(0), 0
+        ids, score = so_far
+        calm = 0
         for a in range(0, len(by_rank), step):
             some = by_rank[a : a + step]
             more = np.sqrt(((self.vectors[some] - query) ** 2).sum(1))
             if len(ids) == k and not (more <= score[-1]).any():
                 calm += 1
-                if calm == PATIENCE:
+                if calm == patience:
                     break
                 continue
             calm = 0
@@ -98,36 +104,39 @@ class Block:
         return ids, score
 
 
-def search(pivots: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+def search(pivots: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, patience: int | None):
     orders = order(queries, pivots)
 
-    def answer(parts) -> Iterator[pa.RecordBatch]:
+    def answer(parts, best) -> None:
         ids, x = (np.concatenate(c) for c in zip(*parts, strict=True))
         by_id = np.argsort(ids, kind="stable")
         if len(ids):
             block = Block(ids[by_id], x[by_id], pivots)
-            out = [(np.full(len(found[0]), q), *found) for q, v, o in zip(query_ids.tolist(), queries, orders, strict=True) if len((found := block.search(q, v, o, k))[0])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+            for i, (q, v, o) in enumerate(zip(query_ids.tolist(), queries, orders, strict=True)):
+                best[i] = block.search(q, v, o, k, patience, best[i])
 
     def run(batches):
         parts, n = [], 0
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 ids, x = usable(batch.slice(a, BLOCK), pivots.shape[1])
                 parts.append((ids, x))
                 n += len(ids)
                 if n >= BLOCK:
-                    yield from answer(parts)
+                    answer(parts, best)
                     parts, n = [], 0
         if parts:
-            yield from answer(parts)
+            answer(parts, best)
+        size = np.array([len(ids) for ids, _ in best])
+        if size.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, size)), *(pa.array(np.concatenate(c)) for c in zip(*best, strict=True))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank from 1, vec_id and Euclidean distance of the k nearest found of every query row."""
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", patience: int | None = PATIENCE) -> DataFrame:
+    """query_id, rank from 1, vec_id and Euclidean distance of the k nearest found of every query row; patience None is exact."""
     spark = vectors.sparkSession
     tune(spark)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("x"), is_query.alias("asked")).where("vec_id is not null and x is not null")
@@ -147,18 +156,17 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str
     found, ids, queries = None, [], []
 
     def one_pass():
-        sent = rows.select("vec_id", "x").mapInArrow(search(pivots, np.array(ids, np.int64), np.array(queries), k), SCHEMA)
-        return sent if found is None else found.unionByName(sent)
+        return rows.select("vec_id", "x").mapInArrow(search(pivots, np.array(ids, np.int64), np.array(queries), k, patience), SCHEMA)
 
     for r in asked.toLocalIterator():
-        ids.append(r.vec_id)
-        queries.append(r.x)
         if len(ids) == QUERIES:
-            found = one_pass()
+            more = stored(one_pass(), "nearest")
+            found = more if found is None else found.unionByName(more)
             ids, queries = [], []
-    if ids:
-        found = one_pass()
-    if found is None:
+        ids.append(r.vec_id)
+        queries.append(r.x)
+    if not ids:
         return nothing
+    found = one_pass() if found is None else found.unionByName(stored(one_pass(), "nearest"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

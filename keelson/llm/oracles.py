@@ -6,7 +6,24 @@ or sampled. Quadratic in places; meant for the small tables.
 
 from __future__ import annotations
 
+_ASSIGN = """(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?[ ]*[:=][ ]*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 SQL: dict[str, str] = {
+    "base_secret_spans": f"""
+WITH p(no, kind, pattern) AS (VALUES (1, 'assign', '{_ASSIGN}'), (2, 'access', 'AKIA[A-Z0-9]+'), (3, 'hex', '[0-9a-f]+')),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+a AS (SELECT row, text, '{_ASSIGN}' AS pattern, 1 AS no, regexp_extract_all(text, '{_ASSIGN}') AS m, string_split_regex(text, '{_ASSIGN}') AS g FROM d
+  UNION ALL SELECT row, text, '', 2, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT row, text, '', 3, regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM d),
+x AS (SELECT row, no, k, m[k] AS hit, length(m[k]) AS size, length(g[k]) AS gap FROM a, unnest(range(1, len(m) + 1)) AS t(k)),
+y AS (SELECT *, sum(gap + size) OVER (PARTITION BY row, no ORDER BY k) AS stop FROM x),
+z AS (SELECT row, no, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM y
+  WHERE CASE no WHEN 1 THEN length(regexp_extract(hit, '{_ASSIGN}', 1)) >= 6 WHEN 2 THEN size >= 20 ELSE size >= 24 END),
+s AS (SELECT row, count(*) FILTER (no = 1) AS n_assign, count(*) FILTER (no = 2) AS n_access, count(*) FILTER (no = 3) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans FROM z JOIN p USING (no) GROUP BY row)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN s USING (row)
+""",
     "op2_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(p) WHERE len(ws) > 0),

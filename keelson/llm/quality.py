@@ -6,11 +6,15 @@ and word triples stand elsewhere in the document. A hidden layer maps a passage
 attention, softmax of w . (tanh(V h) * sigmoid(U h)) over the passages of a document, weighs
 them; the weighted sum gives the score. Labels are those of documents; attention is learnt
 from them alone. Learning (Adam, a fixed seed, on the driver) takes at most SAMPLE labelled
-rows with crc32(doc_id) modulo 5 not 0: those of the least hashes of doc_id.
+rows with crc32(doc_id) modulo 5 not 0: those of the least hashes of doc_id. Of a text of
+the sample with more than LONGEST passages that many, evenly spaced, are learnt from (both are
+parameters of learn; they bound what the driver holds); scores always take all passages.
 
 Score and passages depend on the text only. Empty and null texts have one passage of zeros.
-A null doc_id is scored (held_out null). Repeated rows and extra columns make no difference;
-an empty table gives an empty result; without labels of both kinds all scores are 0.5.
+Very long texts are worked through whole. A null doc_id is scored (held_out null). Repeated
+rows and extra columns make no difference; a document whose labels contradict each other counts
+as good. An empty table gives an empty result; without labels of both kinds, or without
+labelled documents, all scores are 0.5.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from .language import held_out
 PASSAGE, SAMPLE, HIDDEN, GATE, EPOCHS = 96, 3000, 32, 16, 24
 PAIRS = 96
 THRESHOLD = 0.3
-#: Labelled texts above this size are not drawn for learning.
-LONGEST = 1 << 17
+#: Passages of a labelled text that are learnt from.
+LONGEST = 256
 _CLASS = np.full(256, 20, np.int64)
 _CLASS[48:58] = 0
 _CLASS[65:91] = 1
@@ -176,18 +180,22 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model | None:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model | None:
     own = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(5, 0) & F.col("quality").isin(0, 1))
-    chosen = {r.doc_id: r.quality for r in own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).collect()}
+    own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = {r.doc_id: r.quality for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
     if not chosen:
         return None
 
     @F.arrow_udf("binary")
     def bag(text: pa.Array) -> pa.Array:
-        x, first = encode(text)
-        return pa.array([b.tobytes() for b in np.split(x, first[1:])], pa.binary())
+        out = []
+        for a, b in passes(text):
+            x, first = encode(text.slice(a, b - a))
+            out += [bag[np.linspace(0, len(bag) - 1, min(len(bag), longest)).astype(int)].tobytes() for bag in np.split(x, first[1:])]
+        return pa.array(out, pa.binary())
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(chosen)) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(chosen)))
     rows = sorted((r.doc_id, bytes(r.bag)) for r in texts.select("doc_id", bag("text").alias("bag")).collect())
     return fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b in rows], np.array([chosen[i] for i, _ in rows])) if rows else None
 

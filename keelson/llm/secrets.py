@@ -11,12 +11,19 @@ correlation. The worst of the three p-values says how random a run looks. How of
 is not random looks as random is known for each alphabet and length from simulated
 identifiers (syllables with digits; fixed seed), and beyond the most random of them from an
 exponential tail fitted to the TAIL most random ones, so that no number of runs puts a secret
-out of reach by itself; this p-value, length-aware, goes through the Benjamini-Hochberg
-procedure over the runs of a document at level FALSE_DISCOVERY. What passes, and does not
-overlap a base span, is added as kind `random`.
-
-Positions are code points, ends exclusive. Null and empty texts have no spans. The result of
-a row depends on its text alone; null ids, repeated rows and extra columns make no difference.
+out of reach by itself. These p-values go through the Benjamini-Hochberg procedure over the
+runs of a document at level FALSE_DISCOVERY, weighted by length: half of the weight is dealt
+evenly, half in shares that double with every DOUBLING characters (up to LONG), so that the many
+short identifiers of a long document do not use up what a long key needs. Weights are 1 on
+average and do not depend on the p-values: the share of false discoveries stays below the level.
+What passes, and does not overlap a base span, is added as kind `random`.
+
+Lengths are judged by the nearest simulated one below: every eighth to half of an octave, up to
+1024; what is longer is judged as 1024, where identifiers look less random the longer they are.
+
+Positions are code points, ends exclusive. Null and empty texts have no spans; an empty table
+gives an empty result; very long texts are scanned whole. The result of a row depends on its
+text alone; null ids, repeated rows and extra columns make no difference.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 KEYWORDS = re.compile(rb"passw|secret|token|api_?key", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "random")
-SHORTEST, FALSE_DISCOVERY, SIMULATED, TAIL = 20, 0.01, 2000, 100
+SHORTEST, FALSE_DISCOVERY, SIMULATED, TAIL, DOUBLING, LONG = 20, 0.01, 2000, 100, 4, 128
 # Alphabets, in the order in which they are tried
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -49,8 +56,8 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: Syllables of simulated identifiers.
-SYLLABLES = "the ing and ion tion ent for ter est ver con pro com per sta ate all man ser ment use get set data name file list key index value test item count type line main temp user path".split()
-LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128)
+SYLLABLES = ("the", "ing", "and", "ion", "tion", "ent", "for", "ter", "est", "ver", "con", "pro", "com", "per", "sta", "ate", "all", "man", "ser", "ment", "use", "get", "set", "data", "name", "file", "list", "key", "index", "value", "test", "item", "count", "type", "line", "main", "temp", "user", "path")
+LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in ALPHABETS["base64"] + "-_="]] = True
 _INNER = re.compile(r"[^=]+(?:=+$)?")
@@ -182,11 +189,14 @@ def pieces(token: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def discovered(p: list[float], level: float = FALSE_DISCOVERY) -> list[bool]:
-    """Benjamini-Hochberg."""
-    order = np.argsort(p)
-    sorted_p = np.array(p)[order]
-    passing = np.flatnonzero(sorted_p <= level * np.arange(1, len(p) + 1) / len(p))
+def discovered(p: list[float], length: list[int] | None = None, level: float = FALSE_DISCOVERY) -> list[bool]:
+    """Benjamini-Hochberg, with weights that grow with length and are 1 on average."""
+    value = np.array(p)
+    if length is not None:
+        share = np.exp2(np.minimum(length, LONG) / DOUBLING)
+        value = value / (0.5 + 0.5 * share / share.mean())
+    order = np.argsort(value, kind="stable")
+    passing = np.flatnonzero(value[order] <= level * np.arange(1, len(p) + 1) / len(p))
     out = np.zeros(len(p), bool)
     if len(passing):
         out[order[: passing[-1] + 1]] = True
@@ -214,7 +224,7 @@ def spans(column: pa.Array) -> list[list[tuple[int, int, int]]]:
             if all(s + y <= a or s + x >= b for a, _, b in out[i]):
                 found.setdefault(i, []).append((s + x, s + y, p))
     for i, runs in found.items():
-        keep = discovered([p for _, _, p in runs])
+        keep = discovered([p for _, _, p in runs], [e - s for s, e, _ in runs])
         out[i] += [(s, 3, e) for (s, e, _), k in zip(runs, keep, strict=True) if k]
     for i, own in enumerate(out):
         if own:

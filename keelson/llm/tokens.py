@@ -5,9 +5,11 @@ that follows other characters (no piece of the vocabulary has the mark inside),
 characters that no piece holds at all (line feeds). Counts of the parts then add up. Which
 strings of the vocabulary encode alone as one token is proven with the library before any
 text is read; words among them count one each. What is left is merged by the library, once
-for each different part while it is remembered (memory is bounded).
+for each different part while it is remembered; at most REMEMBERED bytes of parts are.
 
-A null or empty text has no tokens. Result for any row depends on its text alone.
+A null or empty text has no tokens; very long ones are counted whole. The result of a row
+depends on its text alone: null and repeated ids have a row each. Extra columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import tune
 
 MARK = "▁"
-#: Remembered parts; beyond it they are forgotten and merged anew.
-REMEMBERED = 400_000
+#: Bytes of remembered parts, with what they cost beside their letters; beyond it they are forgotten and merged anew.
+REMEMBERED = 64 << 20
 LIMIT = 4096
 _counters: dict[str, Counter] = {}
 
@@ -42,6 +44,7 @@ class Counter:
         self.whole = {s: 1 for s, ids in zip(starts, encoded, strict=True) if len(ids) == 1}
         self.words: dict[str, int] = dict(self.whole)
         self.tails: dict[str, int] = {}
+        self.held = 0
         self.feed = len(self.model.encode("\n")) - 1 if self.line else 0
 
     def _plain(self) -> bool:
@@ -58,6 +61,18 @@ class Counter:
             for b in broken:
                 self.words["\n".join(b)] = self.words[b[0]] + sum(self.feed + self.tails[x] for x in b[1:])
 
+    def missing(self, parts: set[str]) -> set[str]:
+        """Parts that are to be learnt, for which there is room."""
+        new = parts.difference(self.words)
+        if new:
+            more = sum(2 * len(x.encode()) + 256 for x in new)
+            if self.held and self.held + more > REMEMBERED:
+                self.words, self.tails, self.held = dict(self.whole), {}, 0
+                new = parts.difference(self.words)
+                more = sum(2 * len(x.encode()) + 256 for x in new)
+            self.held += more
+        return new
+
     def learn_plain(self, words: set[str]) -> None:
         order = list(words)
         for w, ids in zip(order, self.model.encode(order, num_threads=1), strict=True):
@@ -65,8 +80,6 @@ class Counter:
 
     def learn_tails(self, tails: set[str]) -> None:
         """Counts of parts that follow a line feed: encoded behind one, which costs the mark and itself."""
-        if len(self.tails) > REMEMBERED:
-            self.tails = {}
         order = list(tails)
         for x, ids in zip(order, self.model.encode(["\n" + x for x in order], num_threads=1), strict=True):
             self.tails[x] = len(ids) - 1 - self.feed
@@ -86,12 +99,8 @@ class Counter:
                     words.append(part[1:])
         else:
             total, words = 0, text.split(" ")
-        new = set(words).difference(self.words)
+        new = self.missing(set(words))
         if new:
-            if len(self.words) > len(self.whole) + REMEMBERED:
-                self.words = dict(self.whole)
-                self.tails = {}
-                new = set(words).difference(self.words)
             self.learn(new)
         return total + sum(map(self.words.__getitem__, words))
 

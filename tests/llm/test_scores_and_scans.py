@@ -96,7 +96,7 @@ def brute_matches(items, texts):
         for i, x in items:
             own = cut(x)
             want, best = Counter(grams(own)), 0
-            for p in range(max(1, len(w) - len(own) + 1)) if own and w and (len(own) >= 5 or w == own) else ():
+            for p in range(max(1, len(w) - len(own) + 1)) if own and w else ():
                 have = Counter(grams(w[p : p + len(own)]))
                 common = sum((have & want).values())
                 best = max(best, common / (sum(have.values()) + sum(want.values()) - common))
@@ -116,7 +116,10 @@ def test_decontamination_against_all_windows(spark):
         for k in range(i % 3):
             w[rng.randrange(len(w))] = "edited"
         rows.append((100 + i, text(30) + ". " + " ".join(w).upper() + "! " + text(10)))
-    rows += [(200, "Only four, words here"), (201, None), (202, ""), (203, items[3][1]), (204, items_repeat), (203, items[3][1]), (205, "only four words here and more")]
+    rows += [(200, "Only four, words here"), (201, None), (202, ""), (203, items[3][1]), (204, items_repeat), (203, items[3][1]), (205, "only four words here and more"), (206, "x y z only four words here a b c"), (207, text(20_000) + " only four words here"), (None, "so only four words here"), (208, "only four other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
+    items += [(54, "lonely"), (55, "two words")]
+    rows += [(209, "a lonely word"), (210, "words two, two words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
     got = decontaminate.contaminated(docs, bench).collect()
