@@ -25,19 +25,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go."""
     tune(spark)
     found = language.predicted(language.learn(docs))(F.col("text").cast("string"))
-    return docs.withColumn("__language", found).where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SCORE)).drop("__language")
+    name = "_".join(["language", *docs.columns])  # a name that no column has
+    return docs.withColumn(name, found).where((F.col(f"`{name}`.lang_pred") != "und") & (F.col(f"`{name}`.score") >= LEAST_SCORE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
+    """Of each group of near duplicates the document of the smallest id stays; rows that repeat an id are one document and stay or go together."""
     return docs.join(jaccard.similar(docs).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    tune(spark)
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.where(F.size(decontaminate.contained(benchmark, F.col("text"))) == 0)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
