@@ -30,6 +30,11 @@ def round_entropy(e: Column) -> Column:
     return F.round(e, 1)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def line_of(before: Column) -> Column:
     """From what stands before a position: 1-based, line feeds only."""
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")

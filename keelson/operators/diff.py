@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
 from ..functions import exprs as X
 
 
-def added_lines(diffs: DataFrame, fix_plus_lines: bool = False) -> DataFrame:
-    """(sha, path, line, text) of each added line. Built-in functions only: one pass over the lines of a patch.
+def added(patch: Column, fix_plus_lines: bool = False) -> Column:
+    """Array of (line, text) of the added lines of a patch. Built-in functions only, in proportion to its lines.
 
     Text before the first `@@` is skipped; `@@` sets the number; `+` lines are added and advance
     it; `-` and `\\` do not; anything else does. A line that starts with `+++` within a hunk is
     dropped and does not advance it, unless fix_plus_lines.
     """
-    lines = F.split(F.regexp_replace(F.coalesce("patch", F.lit("")), "\r\n|\r", "\n"), "\n", -1)
+    text = F.regexp_replace(F.coalesce(patch, F.lit("")), "\r\n|\r", "\n")
     # A final line feed ends the last line; it does not begin another
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<line:int,text:string>>").alias("found"))
+    text = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    hunks = F.split(F.concat(F.lit("\n"), text), "\n(?=@@)", -1)
+
+    double = lambda x: x.startswith("+++") & (~F.lit(fix_plus_lines))
+
+    def lines(all_lines):
+        # Lines that do not advance go first, so that the place among the rest is the number
+        counted = F.filter(F.slice(all_lines, F.lit(2), F.size(all_lines)), lambda x: ~(x.startswith("-") | x.startswith("\\") | double(x)))
+        numbered = lambda start: F.transform(counted, lambda x, i: F.struct((start + i).cast("int").alias("line"), x.alias("text")))
+        plus = F.filter(X.bound(X.hunk_start(F.element_at(all_lines, 1)), numbered), lambda x: x["text"].startswith("+"))
+        return F.transform(plus, lambda x: F.struct(x["line"].alias("line"), F.substring(x["text"], F.lit(2), F.length(x["text"])).alias("text")))
 
-    def step(s, x):
-        head, plus = x.startswith("@@"), x.startswith("+")
-        double = x.startswith("+++") & (~F.lit(fix_plus_lines))
-        inside = s["at"] >= 0
-        adds = inside & ~head & plus & ~double
-        stays = ~inside | double | x.startswith("-") | x.startswith("\\")
-        at = F.when(head, X.hunk_start(x)).when(stays, s["at"]).otherwise(s["at"] + 1)
-        found = F.when(adds, F.concat(s["found"], F.array(F.struct(s["at"].alias("line"), F.substring(x, F.lit(2), F.length(x)).alias("text"))))).otherwise(s["found"])
-        return F.struct(at.alias("at"), found.alias("found"))
+    return F.flatten(F.transform(F.slice(hunks, F.lit(2), F.size(hunks)), lambda h: X.bound(F.split(h, "\n", -1), lines)))
 
-    return diffs.select("sha", "path", F.explode(F.aggregate(lines, start, step)["found"]).alias("a")).select("sha", "path", "a.line", "a.text")
+
+def added_lines(diffs: DataFrame, fix_plus_lines: bool = False) -> DataFrame:
+    """(sha, path, line, text) of each added line."""
+    return diffs.select("sha", "path", F.explode(added(F.col("patch"), fix_plus_lines)).alias("a")).select("sha", "path", "a.line", "a.text")
 
 
 def enumerate_added(patch: str | None, fix_plus_lines: bool = False) -> list[tuple[int, str]]:
@@ -71,6 +75,7 @@ def register_sql(spark: SparkSession) -> None:
 
 
 def changed_files(diffs: DataFrame) -> DataFrame:
-    """Files that are not deleted, have text and at least one added line; added: the numbers of these lines."""
-    numbers = added_lines(diffs).groupBy("sha", "path").agg(F.array_sort(F.collect_set("line")).alias("added"))
-    return diffs.where((F.col("status") != "deleted") & (F.coalesce(F.col("content"), F.lit("")) != "")).join(numbers, ["sha", "path"])
+    """Files that are not deleted, have text and at least one added line; added: the numbers of these lines. Diffs are read once."""
+    numbers = F.array_sort(F.array_distinct(F.transform(added(F.col("patch")), lambda a: a["line"])))
+    some = diffs.where((F.col("status") != "deleted") & (F.coalesce(F.col("content"), F.lit("")) != ""))
+    return some.withColumn("added", numbers).where(F.size("added") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import discard, stored
 
 
 def edges(commits: DataFrame) -> DataFrame:
@@ -24,8 +24,10 @@ def tips(refs: DataFrame, branch: str | None = None, tags: bool = True) -> DataF
 def closure(seeds: DataFrame, edge: DataFrame, label: str | None = None) -> DataFrame:
     """All (label,) sha from which seeds descend, seeds included.
 
-    Jumps double: besides parents, each round knows ancestors twice as far, so that a history of
-    depth d takes log2(d) rounds. Rounds are written to the shared folder.
+    Jumps double: each round leads exactly twice as far up as the one before, and adds what lies
+    one jump above anything reached so far, so that a history of depth d takes log2(d) rounds and
+    a chain of n commits has n jumps at most in each. Rounds are written to the shared folder;
+    what the next one does not read is deleted.
     """
     keys = [*([label] if label else []), "sha"]
     reach = stored(seeds.select(*keys).distinct(), "reach")
@@ -33,11 +35,16 @@ def closure(seeds: DataFrame, edge: DataFrame, label: str | None = None) -> Data
     while True:
         more = reach.join(jump, "sha").select(*keys[:-1], F.col("up").alias("sha"))
         wider = stored(reach.union(more).distinct(), "reach")
-        if wider.count() == reach.count():
+        done = wider.count() == reach.count()
+        discard(reach)
+        if done:
+            discard(jump)
             return wider
         reach = wider
         again = jump.select(F.col("sha").alias("from"), F.col("up").alias("sha")).join(jump, "sha").select(F.col("from").alias("sha"), "up")
-        jump = stored(jump.union(again).distinct(), "jump")
+        further = stored(again.distinct(), "jump")
+        discard(jump)
+        jump = further
 
 
 def membership(refs: DataFrame, edge: DataFrame) -> DataFrame:

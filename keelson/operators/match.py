@@ -32,17 +32,47 @@ def extracted(content: Column, d: Detector, order: int) -> Column:
     return F.struct(facts.alias("d"), group(0).alias("whole"), F.split(content, d.regex, -1).alias("gaps"), group(1 if d.value_group else None).alias("before"), group(d.value_group or None).alias("value"), group(d.key_group).alias("key"))
 
 
+#: Pieces whose lengths are summed up one by one; beyond it by blocks.
+STEP = 64
+
+
+def measure(text: Column) -> Column:
+    """(size, feeds, tail): characters, line feeds, characters after the last of them."""
+    return F.struct(F.length(text).alias("size"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("feeds"), F.length(F.substring_index(text, "\n", -1)).alias("tail"))
+
+
+def then(a: Column, b: Column) -> Column:
+    """The measure of two texts in a row."""
+    return F.struct((a["size"] + b["size"]).alias("size"), (a["feeds"] + b["feeds"]).alias("feeds"), F.when(b["feeds"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"]).alias("tail"))
+
+
 def occurrences(x: Column) -> Column:
-    """Array of (offset, v, k): 0-based place of the value in the text, the value, the key or null."""
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, y: s + F.length(y))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(x["whole"]) - 1),
-        lambda i: F.struct(
-            (size(x["gaps"], i + 1) + size(x["whole"], i) + F.coalesce(F.length(F.get(x["before"], i)), F.lit(0))).alias("offset"),
-            F.coalesce(F.get(x["value"], i), F.get(x["whole"], i)).alias("v"),
-            F.get(x["key"], i).alias("k"),
-        ),
-    )
+    """Array of (offset, line, column, v, k): 0-based place of the value in the text, its line and column, the value, the key or null.
+
+    The text is measured between matches, each stretch once; sums run over blocks of STEP matches.
+    """
+    nothing = F.struct(F.lit(0).alias("size"), F.lit(0).alias("feeds"), F.lit(0).alias("tail"))
+    total = lambda a: F.aggregate(a, nothing, then)
+    many = F.size(x["whole"])
+    blocks = F.sequence(F.lit(0), F.floor((many - 1) / STEP).cast("int"))
+    stretches = F.transform(x["whole"], lambda _, i: measure(F.concat(F.when(i == 0, F.lit("")).otherwise(F.get(x["whole"], i - 1)), F.get(x["gaps"], i))))
+
+    def placed(chunks):
+        heads = X.bound(F.transform(chunks, total), lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
+
+        def place(heads):
+            def one(w, i):
+                block = F.floor(i / STEP).cast("int")
+                at = F.aggregate(F.slice(F.get(chunks, block), F.lit(1), i % STEP + 1), F.get(heads, block), then)
+                at = then(at, measure(F.coalesce(F.get(x["before"], i), F.lit(""))))
+                return X.bound(at, lambda p: F.struct(p["size"].alias("offset"), (p["feeds"] + 1).alias("line"), (p["tail"] + 1).alias("column"), F.coalesce(F.get(x["value"], i), w).alias("v"), F.get(x["key"], i).alias("k")))
+
+            return F.transform(x["whole"], one)
+
+        return X.bound(heads, place)
+
+    chunked = lambda pieces: F.transform(blocks, lambda b: F.slice(pieces, b * STEP + 1, F.lit(STEP)))
+    return X.bound(X.bound(stretches, chunked), placed)
 
 
 def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path", content: str = "content", check_extension: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,12 +89,12 @@ def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path
         if check_extension and d.extensions:
             applies = F.col("ext").isin(*d.extensions) & applies
         found.append(F.when(applies, extracted(F.col("c"), d, order)))
-    rows = row.select(*keep, "file", "c", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.size("x.whole") > 0)
-    rows = rows.select(*keep, "file", "c", "x.d", F.explode(occurrences(F.col("x"))).alias("m"))
+    rows = row.select(*keep, "file", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.size("x.whole") > 0)
+    # Only facts and places go on: an exploded row would carry all that the text held
+    rows = rows.select(*keep, "file", F.col("x.d").alias("d"), occurrences(F.col("x")).alias("found")).select(*keep, "file", "d", F.explode("found").alias("m"))
     v, k = F.col("m.v"), F.col("m.k")
     rows = rows.where(v != "").where(~F.col("d.strict") | ~X.is_placeholder(v))
-    before = F.substring(F.col("c"), F.lit(1), F.col("m.offset"))
-    rows = rows.select(*keep, "file", "d.*", X.line_of(before).alias("line"), X.column_of(before).alias("column"), F.col("m.offset").alias("offset"), X.hint(F.col("d.secret_type"), k, v).alias("hint"), X.entropy(v).alias("entropy_exact"), X.hash16(v).alias("hash16"))
+    rows = rows.select(*keep, "file", "d.*", F.col("m.line").alias("line"), F.col("m.column").alias("column"), F.col("m.offset").alias("offset"), X.hint(F.col("d.secret_type"), k, v).alias("hint"), X.entropy(v).alias("entropy_exact"), X.hash16(v).alias("hash16"))
     return rows.where(F.col("min_entropy").isNull() | (F.col("entropy_exact") >= F.col("min_entropy"))).drop("strict", "min_entropy")
 
 

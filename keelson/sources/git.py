@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,30 +54,85 @@ def refs(spark: SparkSession, repo: str) -> DataFrame:
 def file_diffs(repo: str, shas: DataFrame) -> DataFrame:
     """Changes of each commit against its first parent, with patch and the text after it; binaries and deletions have none.
 
-    shas: sha and parents. The program runs where the partition is, so the repository must be there.
+    shas: sha and parents. The program runs where the partition is, so the repository must be
+    there: two processes for each partition, which are asked commit by commit and blob by blob.
     """
     workers_find_package(shas.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for sha, parents in zip(batch.column("sha").to_pylist(), batch.column("parents").to_pylist(), strict=True):
-                base = parents[0] if parents else EMPTY_TREE
-                listed = git(repo, "diff-tree", "-r", "-M", "-z", "--name-status", base, sha).decode("utf-8", "surrogateescape").split("\0")
-                i = 0
-                while i < len(listed) - 1:
-                    status = listed[i]
-                    moved = status[0] in "RC"
-                    path = listed[i + 2 if moved else i + 1]
-                    i += 3 if moved else 2
-                    if status[0] == "D":
-                        rows.append((sha, path, "deleted", "", ""))
-                        continue
-                    text = decode(git(repo, "show", f"{sha}:{path}"))
-                    patch = git(repo, "diff-tree", "-r", "-M", "-p", base, sha, "--", path).decode("utf-8", "replace")
-                    rows.append((sha, path, "renamed" if moved else "added" if status[0] == "A" else "modified", patch, text or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ([],) * 5)], names=["sha", "path", "status", "patch", "content"])
+        names = ["sha", "path", "status", "patch", "content"]
+        with Changes(repo) as changes:
+            for batch in batches:
+                for sha, parents in zip(batch.column("sha").to_pylist(), batch.column("parents").to_pylist(), strict=True):
+                    rows = changes.of(sha, parents[0] if parents else None)
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
 
     return shas.select("sha", "parents").mapInArrow(run, FILE_DIFFS)
+
+
+class Changes:
+    """Two processes of the git program: one compares commits, the other gives texts."""
+
+    STOP = b"no more of this commit\n"
+
+    def __init__(self, repo: str):
+        start = lambda *args: subprocess.Popen(["git", "-C", repo, "-c", "core.quotePath=false", *args], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        self.trees = start("diff-tree", "--stdin", "--root", "-r", "-M", "--no-abbrev", "--raw", "-p", "--no-ext-diff", "--no-textconv", "--no-color")
+        self.blobs = start("cat-file", "--batch")
+
+    def __enter__(self) -> Changes:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for p in (self.trees, self.blobs):
+            p.stdin.close()
+            p.stdout.close()
+            p.wait()
+
+    def of(self, sha: str, parent: str | None) -> list[tuple[str, str, str, str, str]]:
+        # A line that names no object comes back as it is, which ends the answer
+        self.trees.stdin.write(f"{sha} {parent}\n".encode() if parent else f"{sha}\n".encode())
+        self.trees.stdin.write(self.STOP)
+        self.trees.stdin.flush()
+        files, patches = [], []
+        for line in iter(self.trees.stdout.readline, self.STOP):
+            if not line:
+                raise OSError("git ended")
+            if line.startswith(b"diff --git "):
+                patches.append([line])
+            elif patches:
+                patches[-1].append(line)
+            elif line.startswith(b":"):
+                facts, *paths = line.rstrip(b"\n").split(b"\t")
+                _, _, _, blob, status = facts.split(b" ")
+                files.append((unquoted(paths[-1]), blob, status[:1].decode()))
+        out, at = [], 0
+        for path, blob, status in files:
+            # A change of type is two patches: one takes away, one adds
+            own = patches[at : at + (2 if status == "T" else 1)]
+            at += 2 if status == "T" else 1
+            if status == "D":
+                out.append((sha, path, "deleted", "", ""))
+            else:
+                patch = b"".join(x for p in own for x in p).decode("utf-8", "replace")
+                out.append((sha, path, {"R": "renamed", "C": "renamed", "A": "added"}.get(status, "modified"), patch, self.text(blob)))
+        return out
+
+    def text(self, blob: bytes) -> str:
+        self.blobs.stdin.write(blob + b"\n")
+        self.blobs.stdin.flush()
+        head = self.blobs.stdout.readline().split()
+        if len(head) < 3:
+            return ""
+        data = self.blobs.stdout.read(int(head[2]) + 1)[:-1]
+        return (decode(data) or "") if head[1] == b"blob" else ""
+
+
+def unquoted(path: bytes) -> str:
+    """A path as git prints it: in quotes and with escapes where it holds quotes, tabs or the like."""
+    if path.startswith(b'"'):
+        path = codecs.escape_decode(path[1:-1])[0]
+    return path.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode()

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessions(changes: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
-    """A row for each flush. One timer serves all paths, so the window is global; merging sessions is a partial aggregation.
+def sessions(changes: DataFrame, gap: str = "300 milliseconds", bucket_seconds: int = 600) -> DataFrame:
+    """A row for each flush. One timer serves all paths, so flushes are global; they are found in stretches of time.
 
-    A change that comes exactly one gap after the last still restarts the timer.
+    Within a stretch of bucket_seconds changes that follow each other within the gap are one
+    island; only the first and last island of each stretch can go on in another, so that what
+    is put in one order for all is two rows a stretch. A change that comes exactly one gap after
+    the last still restarts the timer. Changes without a time are left out.
     """
-    rows = changes.groupBy(F.session_window("ts", _plus(gap)).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("changes"), F.countDistinct(F.lower("path")).alias("paths"))
-    return rows.select("first_ts", "last_ts", "changes", "paths")
-
-
-def _plus(gap: str) -> str:
-    return f"{gap} 1 microsecond"
+    wait = F.expr(f"interval {gap}")
+    rows = changes.where("ts is not null").select("path", "ts", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / bucket_seconds).alias("bucket"))
+    within = Window.partitionBy("bucket").orderBy("ts")
+    opens = F.coalesce(F.col("ts") > F.lag("ts").over(within) + wait, F.lit(True))
+    rows = rows.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = rows.groupBy("bucket", "island").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    last = F.max("island").over(Window.partitionBy("bucket"))
+    ends = islands.withColumn("final", last).where((F.col("island") == 1) | (F.col("island") == F.col("final")))
+    overall = Window.orderBy("first")
+    ends = ends.withColumn("flush", F.when(F.coalesce(F.col("first") > F.lag("last").over(overall) + wait, F.lit(True)), F.col("first")))
+    # A flush that began in an earlier stretch goes by its first change
+    ends = ends.select("bucket", "island", F.last("flush", True).over(overall.rowsBetween(Window.unboundedPreceding, 0)).alias("flush"))
+    named = islands.join(ends, ["bucket", "island"], "left").select("bucket", "island", F.coalesce("flush", "first").alias("flush"))
+    return rows.join(named, ["bucket", "island"]).groupBy("flush").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("changes"), F.countDistinct(F.lower("path")).alias("paths")).drop("flush")
 
 
 def latest_per_path(changes: DataFrame) -> DataFrame:
