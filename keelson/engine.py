@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import Detector, library
 from .operators import baseline, findings, graph, history
 from .sources import git
+from .sources.shared import stored
 from .sources.tree import ScanOptions, read_tree
 
 
 @dataclass
 class Result:
+    """Findings are stored: reports and exit codes read them, not the files again."""
+
     findings: DataFrame
-    files: DataFrame | None = None
+    files_skipped: int = 0
     truncated: bool = False
     commits_walked: int | None = None
 
-    @property
-    def files_skipped(self) -> int:
-        """Binary or unreadable files; what globs and size leave out does not count."""
-        return 0 if self.files is None else self.files.where("content is null").count()
-
     def exit_code(self) -> int:
         return 0 if self.findings.isEmpty() else 1
 
@@ -50,13 +49,25 @@ class Engine:
 
         return tuple(d for d in chosen if severity_rank(d.severity) >= severity_rank(self.options.severity))
 
-    def scan(self, root: str, known: str | None = None) -> Result:
-        files, truncated = findings.limited(read_tree(self.spark, root, self.options), self.options.max_files)
+    def scan(self, source: str | DataFrame, known: str | None = None, seconds: float | None = None) -> Result:
+        """Findings of a tree, or of a table of files (path, content; content null if it cannot be read).
+
+        Files are read once. known: a baseline file. seconds: when they are over, files that have
+        not had their turn are left out, and the result says that it is truncated; so it does if
+        there are more files than max_files.
+        """
+        deadline = None if seconds is None else time.time() + seconds
+        files = source.withColumn("size", F.lit(0)) if isinstance(source, DataFrame) else read_tree(self.spark, source, self.options, deadline)
+        files, truncated = findings.limited(files, self.options.max_files)
+        seen = Observation()
+        files = files.observe(seen, F.count_if(F.col("content").isNull() & (F.col("size") >= 0)).alias("skipped"), F.count_if(F.col("size") < 0).alias("late"))
         found = findings.working_tree(files.where("content is not null"), self.library(), keep_keys=True)
-        found = findings.redacted(found, self.options.include_pii)
+        found = stored(findings.redacted(found, self.options.include_pii), "findings")
+        # Binary or unreadable files count as skipped; what globs and size leave out does not
+        counts = seen.get
         if known:
             found = baseline.suppress(found, baseline.load(self.spark, known))
-        return Result(found.drop("hash16"), files, truncated)
+        return Result(found.drop("hash16"), counts["skipped"], truncated or counts["late"] > 0)
 
     def scan_history(self, repo: str, branch: str | None = None, since: str | None = None, max_commits: int | None = 1000, include_tags: bool = True, include_unreachable: bool = False, messages: bool = True) -> Result:
         """Reachable commits, the most recent max_commits of them; None lifts the cap."""
@@ -75,9 +86,15 @@ class Engine:
         everything = self.detectors if self.detectors is not None else library(self.options.high_entropy)
         present = findings.working_tree(tree, everything, keep_keys=True)
         found = history.findings(chosen, git.file_diffs(repo, chosen), graph.membership(refs, edge), present, self.library(), messages)
-        return Result(findings.redacted(found, self.options.include_pii), None, max_commits is not None and walked > max_commits, walked if max_commits is None else min(walked, max_commits))
+        found = stored(findings.redacted(found, self.options.include_pii), "findings")
+        return Result(found, 0, max_commits is not None and walked > max_commits, walked if max_commits is None else min(walked, max_commits))
+
+    def reachable(self, repo: str, since: str | None = None, **chosen) -> int:
+        """How many commits a history scan would walk without a cap."""
+        commits, refs = git.commits(self.spark, repo, False), git.refs(self.spark, repo)
+        seen = graph.closure(graph.tips(refs, **chosen), graph.edges(commits))
+        return graph.since(commits.join(seen, "sha", "left_semi"), since).count()
 
     def over_cap(self, repo: str, cap: int, **chosen) -> bool:
         """The command refuses a history that is longer than the cap, unless told otherwise (exit code 2)."""
-        commits, refs = git.commits(self.spark, repo, False), git.refs(self.spark, repo)
-        return graph.closure(graph.tips(refs, **chosen), graph.edges(commits)).agg(F.countDistinct("sha")).first()[0] > cap
+        return self.reachable(repo, **chosen) > cap

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,14 @@ def entries(findings: DataFrame) -> DataFrame:
 
 
 def save(findings: DataFrame, path: str) -> None:
-    """Distinct entries as one JSON document."""
-    rows = F.sort_array(F.collect_list(F.struct("file", "line", F.col("secret_type").alias("secretType"), "hint")))
-    whole = entries(findings).agg(rows.alias("entries")).select(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(TOOL_VERSION).alias("toolVersion"), "entries")
-    whole.coalesce(1).write.mode("overwrite").json(path)
+    """Distinct entries as one JSON file, in order, written as they come; folders on the way are made."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{{\n  "schemaVersion": {json.dumps(SCHEMA_VERSION)},\n  "toolVersion": {json.dumps(TOOL_VERSION)},\n  "entries": [')
+        for i, r in enumerate(entries(findings).orderBy(*KEYS).toLocalIterator()):
+            entry = {"file": r.file, "line": r.line, "secretType": r.secret_type, "hint": r.hint}
+            f.write(("," if i else "") + "\n    " + json.dumps(entry, ensure_ascii=False))
+        f.write("\n  ]\n}\n")
 
 
 def suppress(findings: DataFrame, known: DataFrame) -> DataFrame:

@@ -48,11 +48,11 @@ def rules(findings: DataFrame) -> DataFrame:
 
 
 def limited(files: DataFrame, most: int | None) -> tuple[DataFrame, bool]:
-    """The first files by path, and whether there are more."""
+    """The first files by path, and whether there are more. Only paths are put in order."""
     if most is None:
         return files, False
-    head = files.orderBy("path").limit(most + 1)
-    return files.orderBy("path").limit(most), head.count() > most
+    head = [r.path for r in files.select("path").orderBy("path").limit(most + 1).collect()]
+    return (files, False) if len(head) <= most else (files.where(F.col("path") < head[-1]), True)
 
 
 def message_findings(commits: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..catalogue import BINARY_EXTENSIONS, DEFAULT_EXCLUDES, DETECTORS, GENERATED_EXCLUDES, HIGH_ENTROPY, PLACEHOLDERS, Detector, keywords, library
 from ..functions import exprs as X
 from ..operators import baseline, diff, findings, graph, history, match
+from ..sources.tree import decoded
 from ..streaming.sessions import latest_per_path, sessions
 from .derived import view, with_views
 
@@ -74,7 +75,9 @@ def scan_binary_ext(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) FILTER (content IS NULL) AS skipped FROM (SELECT CASE WHEN ends_with(path, '.dll') THEN NULL ELSE content END AS content FROM v_files)")
 def files_skipped(spark, sf_dir):
-    rows = files(spark, sf_dir).select(F.when(~F.col("path").endswith(".dll"), F.col("content")).alias("content"))
+    """Libraries get a byte 0, and all texts go through the decoder as bytes."""
+    data = F.encode("content", "utf-8")
+    rows = files(spark, sf_dir).select(decoded(F.when(F.col("path").endswith(".dll"), F.concat(F.lit(b"\0"), data)).otherwise(data)).alias("content"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("content").isNull()).alias("skipped"))
 
 
@@ -378,6 +381,11 @@ def still_present(spark, sf_dir):
     return flagged(spark, sf_dir).select("secret_type", "hash16", "still_present")
 
 
+@query(f"SELECT secret_type, hash16 FROM ({FLAG_SQL}) WHERE still_present")
+def still_present_only(spark, sf_dir):
+    return history.view(flagged(spark, sf_dir).withColumn("source", F.lit("history")), still_present_only=True).select("secret_type", "hash16")
+
+
 @query(f"SELECT secret_type, hash16 FROM ({FLAG_SQL}) WHERE NOT still_present")
 def removed_only(spark, sf_dir):
     return history.view(flagged(spark, sf_dir).withColumn("source", F.lit("history")), removed_only=True).select("secret_type", "hash16")
@@ -418,6 +426,13 @@ def watch_debounce_sessions(spark, sf_dir):
     return sessions(view(spark, sf_dir, "v_changes"), "600 seconds")
 
 
+@query(f"WITH c AS (SELECT path, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds((epoch_us(ts) % 2592000000000) // 1000) AS ts FROM v_changes), i AS ({ISLAND_SQL.replace('600 SECOND', '300 MILLISECOND').replace('v_changes', 'c')}) SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes, count(DISTINCT lower(path)) AS paths FROM i GROUP BY s")
+def watch_debounce_300ms(spark, sf_dir):
+    """The debounce of watch mode, over times a thousand times as dense."""
+    dense = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(floor(pmod(unix_micros(cast(ts as timestamp)), 2592000000000) / 1000) as decimal(18, 6)) / 1000000)")
+    return sessions(view(spark, sf_dir, "v_changes").select("path", dense.alias("ts")))
+
+
 @query("SELECT lower(path) AS path, max(ts) AS ts, count(*) AS changes FROM v_changes GROUP BY lower(path)")
 def watch_latest_per_path(spark, sf_dir):
     return latest_per_path(view(spark, sf_dir, "v_changes"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from collections.abc import Iterator
 from typing import Any
@@ -78,6 +79,15 @@ def to_sarif(findings: DataFrame) -> str:
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False)
 
 
+# Colours of severities on a terminal
+COLOURS = {"critical": "\x1b[1;31m", "high": "\x1b[31m", "medium": "\x1b[33m", "low": "\x1b[36m"}
+
+
+def coloured(text: str) -> str:
+    """Console lines with their severity in colour."""
+    return "\n".join(re.sub(r"^(\s+\d+:\d+\s+)(critical|high|medium|low)\b", lambda m: f"{m[1]}{COLOURS[m[2]]}{m[2]}\x1b[0m", line) for line in text.split("\n"))
+
+
 def use_colour(choice: str = "auto", stream=None, environment: dict[str, str] | None = None) -> bool:
     env = os.environ if environment is None else environment
     if choice in ("always", "never"):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..catalogue import BINARY_EXTENSIONS, DEFAULT_EXCLUDES, GENERATED_EXCLUDES
@@ -84,7 +86,61 @@ def decode(data: bytes) -> str | None:
     try:
         return data.decode("utf-8")
     except UnicodeDecodeError:
-        return data.decode("cp1252", "replace")
+        return data.decode(charset_of(data), "replace")
+
+
+def decoded(data: Column) -> Column:
+    """decode as a column."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else decode(x) for x in column.to_pylist()], pa.string())
+
+    return run(data)
+
+
+# Charsets of several bytes a character, and the writing that each is for, as ranges of code points
+CHARSETS = (
+    ("shift_jis", ((0x3040, 0x30FF),)),
+    ("euc_jp", ((0x3040, 0x30FF),)),
+    ("euc_kr", ((0xAC00, 0xD7A3),)),
+    ("gb18030", ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF00, 0xFFEF))),
+    ("big5", ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF00, 0xFFEF))),
+)
+#: Characters beyond ASCII that have to be of a charset's own writing.
+SHARE, FEWEST = {"euc_kr": 0.8, "gb18030": 0.95, "big5": 0.95}, 4
+
+
+def charset_of(data: bytes) -> str:
+    """Of text that is not UTF-8: the first charset in which it is valid and mostly of its own writing; else Windows-1252."""
+    sample = data[: 64 << 10]
+    for name, ranges in CHARSETS:
+        # The sample may end within a character
+        for cut in range(4):
+            try:
+                text = sample[: len(sample) - cut].decode(name)
+            except UnicodeDecodeError:
+                continue
+            wide = [ord(c) for c in text if ord(c) > 127]
+            own = sum(any(a <= c <= b for a, b in ranges) for c in wide)
+            # Common hanzi have two high bytes, the first below 0xF8 in GB 2312
+            if len(wide) >= FEWEST and own >= SHARE.get(name, 0.3) * len(wide) and (name != "gb18030" or simplified(sample)):
+                return name
+            break
+    return "cp1252"
+
+
+def simplified(data: bytes) -> bool:
+    """Whether both bytes of nearly all pairs are high, as in GB 2312; Big5 has low second bytes."""
+    pairs = low = i = 0
+    while i < len(data) - 1:
+        if data[i] < 128:
+            i += 1
+            continue
+        pairs += 1
+        low += data[i + 1] < 0xA1
+        i += 2
+    return low <= 0.05 * pairs
 
 
 class Chunk(InputPartition):
@@ -99,6 +155,7 @@ class TreeReader(DataSourceReader):
         split = lambda name: tuple(filter(None, options.get(name, "").split("|")))
         self.root = options["path"]
         self.bytes = int(options.get("partitionbytes", 32 << 20))
+        self.deadline = float(options.get("deadline", 0))
         self.options = ScanOptions(include=split("include") or ("**/*",), exclude=split("exclude"), include_generated=options.get("includegenerated") == "true", follow_symlinks=options.get("followsymlinks") == "true", max_file_size=int(options.get("maxfilesize", 5 << 20)))
 
     def partitions(self):
@@ -113,6 +170,10 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition):
         for full, path, size in partition.files:
+            # Beyond the deadline files are listed, not read
+            if self.deadline and time.time() > self.deadline:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.string()), pa.array([-1], pa.int64())], names=["path", "content", "size"])
+                continue
             try:
                 with open(full, "rb") as f:
                     text = decode(f.read())
@@ -133,11 +194,16 @@ class TreeSource(DataSource):
         return TreeReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_tree(spark: SparkSession, root: str, o: ScanOptions | None = None) -> DataFrame:
-    """(path, content, size); content is null for binary or unreadable files, which count as skipped."""
+def read_tree(spark: SparkSession, root: str, o: ScanOptions | None = None, deadline: float | None = None) -> DataFrame:
+    """(path, content, size); content is null for binary or unreadable files, which count as skipped.
+
+    deadline: seconds since the epoch; a file whose turn comes later is not read and has the size -1.
+    """
     o = o or ScanOptions()
     workers_find_package(spark)
     spark.dataSource.register(TreeSource)
     r = spark.read.format("keelson_tree").option("include", "|".join(o.include)).option("exclude", "|".join(o.exclude))
     r = r.option("includeGenerated", str(o.include_generated).lower()).option("followSymlinks", str(o.follow_symlinks).lower()).option("maxFileSize", str(o.max_file_size))
+    if deadline is not None:
+        r = r.option("deadline", str(deadline))
     return r.load(root)

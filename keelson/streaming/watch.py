@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -22,15 +24,15 @@ DEBOUNCE = "300 milliseconds"
 class ChangeReader(SimpleDataSourceStreamReader):
     """Files that were made or changed since the offset; deletions are not reported. The offset is the newest change time seen."""
 
-    def __init__(self, root: str, since: int):
-        self.root, self.since = root, since
+    def __init__(self, root: str, since: int, options: ScanOptions):
+        self.root, self.since, self.options = root, since, options
 
     def initialOffset(self):
         return {"ns": self.since}
 
     def _between(self, low: int, high: int | None):
         rows = []
-        for full, path, _ in walk(self.root, ScanOptions()):
+        for full, path, _ in walk(self.root, self.options):
             try:
                 at = os.stat(full).st_mtime_ns
             except OSError:
@@ -57,20 +59,22 @@ class ChangeSource(DataSource):
         return "path string, kind string, at double"
 
     def simpleStreamReader(self, schema):
-        return ChangeReader(self.options["path"], int(self.options.get("since", time.time_ns())))
+        chosen = json.loads(self.options.get("scan", "{}"))
+        chosen = ScanOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in chosen.items()})
+        return ChangeReader(self.options["path"], int(self.options.get("since", time.time_ns())), chosen)
 
 
-def changes(spark: SparkSession, root: str, since_ns: int | None = None) -> DataFrame:
+def changes(spark: SparkSession, root: str, since_ns: int | None = None, options: ScanOptions | None = None) -> DataFrame:
     workers_find_package(spark)
     spark.dataSource.register(ChangeSource)
-    stream = spark.readStream.format("keelson_changes")
+    stream = spark.readStream.format("keelson_changes").option("scan", json.dumps(asdict(options or ScanOptions())))
     if since_ns is not None:
         stream = stream.option("since", str(since_ns))
     return stream.load(root)
 
 
-def watch(spark: SparkSession, root: str, detectors: tuple[Detector, ...], report: Callable[[DataFrame], None], checkpoint: str, since_ns: int | None = None, once: bool = False, failed: Callable[[str], None] = print) -> StreamingQuery:
-    """Reports the findings of changed files. Each path once a flush; files that are gone by then are left out.
+def watch(spark: SparkSession, root: str, detectors: tuple[Detector, ...], report: Callable[[DataFrame], None], checkpoint: str, since_ns: int | None = None, once: bool = False, failed: Callable[[str], None] = print, options: ScanOptions | None = None) -> StreamingQuery:
+    """Reports the findings of changed files that the options have in scope. Each path once a flush; files that are gone by then are left out.
 
     A flush that fails names the kind of error only and does not end the watch.
     """
@@ -91,5 +95,5 @@ def watch(spark: SparkSession, root: str, detectors: tuple[Detector, ...], repor
         except Exception as e:  # noqa: BLE001
             failed(type(e).__name__)
 
-    out = changes(spark, root, since_ns).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    out = changes(spark, root, since_ns, options).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=DEBOUNCE)).start()
