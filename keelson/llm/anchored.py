@@ -58,16 +58,20 @@ class Scheme:
     def scan(self, buf: np.ndarray, offsets: np.ndarray) -> Scan:
         raise NotImplementedError
 
+    def windows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """What a Scan has as units and window, without the anchors."""
+        raise NotImplementedError
+
     def phrases(self, text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of blocks of text, back to back: (doc_id, name) of the windows that stand in a block of a smaller doc_id."""
         raise NotImplementedError
 
 
 class Scan:
-    def __init__(self, units: np.ndarray, doc: np.ndarray, key: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray, window: Callable[[np.ndarray], np.ndarray], second: Callable[[np.ndarray], np.ndarray]):
+    def __init__(self, units: np.ndarray, doc: np.ndarray, key: np.ndarray, context: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, window: Callable[[np.ndarray], np.ndarray], second: Callable[[np.ndarray], np.ndarray]):
         """units: for each document its first unit. low, high: the first and last window start that an anchor owns.
 
-        window, second: two independent hashes of windows by their start.
+        context: a hash of the blocks of some anchors. window, second: two independent hashes of windows by their start.
         """
         self.units, self.doc, self.key, self.context, self.low, self.high, self.window, self.second = units, doc, key, context, low, high, window, second
 
@@ -294,8 +298,8 @@ def second_round(scheme: Scheme, n1: int, n: int):
         held = Gathered(3)
         for ids, known, buf, offsets, marks in documents(batches, True):
             s = scheme.scan(buf, offsets)
-            own = known[s.doc] & among(s.doc, code1(s.key, n1), *marks.get(KEY, (np.zeros(0, np.int64), np.zeros(0, np.uint64))))
-            if held.add(len(buf), s.key[own], s.context[own], ids[s.doc[own]]):
+            own = np.flatnonzero(known[s.doc] & among(s.doc, code1(s.key, n1), *marks.get(KEY, (np.zeros(0, np.int64), np.zeros(0, np.uint64)))))
+            if held.add(len(buf), s.key[own], s.context(own), ids[s.doc[own]]):
                 yield from filter(None, send(*held.take()))
         if held.parts:
             yield from filter(None, send(*held.take()))
@@ -355,9 +359,10 @@ def third_round(scheme: Scheme, n: int):
         for ids, known, buf, offsets, marks in documents(batches, True):
             s = scheme.scan(buf, offsets)
             mark = text_marks(buf, offsets)
-            full = among(s.doc, s.context, *marks.get(FULL, none))
-            many = among(s.doc, s.context, *marks.get(NAMED, none)) & ~full
-            opened = among(s.doc, s.context, *marks.get(OPEN, none)) & ~full & ~many
+            context = s.context(np.arange(len(s.doc)))
+            full = among(s.doc, context, *marks.get(FULL, none))
+            many = among(s.doc, context, *marks.get(NAMED, none)) & ~full
+            opened = among(s.doc, context, *marks.get(OPEN, none)) & ~full & ~many
             yield from filter(None, [ranges(FULL_RANGE, s, ids, mark, full), ranges(OPEN_RANGE, s, ids, mark, opened | many)])
             at = spans(s.low[many], s.high[many])
             owner = np.repeat(s.doc[many], s.high[many] - s.low[many] + 1)
@@ -365,7 +370,7 @@ def third_round(scheme: Scheme, n: int):
                 yield from filter(None, named(*held.take()))
             if opened.any():
                 once = np.flatnonzero(opened)
-                once = once[np.unique(s.context[once] ^ mix(s.doc[once].astype(np.uint64)), return_index=True)[1]]
+                once = once[np.unique(context[once] ^ mix(s.doc[once].astype(np.uint64)), return_index=True)[1]]
                 low, high = s.low[once], s.high[once] + scheme.width - 1
                 if blocks.add(len(buf), s.key[once], ids[s.doc[once]], high - low + 1, buf[spans(low, high)]):
                     yield from filter(None, [packed_blocks(n, *blocks.take())])
@@ -393,21 +398,23 @@ def text_marks(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([x & ~_PLACE, x << np.uint64(24) & ~_PLACE], 1)
 
 
-def repeated(scheme: Scheme, s: Scan, mark: np.ndarray, marks: dict) -> np.ndarray:
+def repeated(scheme: Scheme, buf: np.ndarray, offsets: np.ndarray, marks: dict) -> np.ndarray:
     """The window starts that repeat a window of an earlier document, in units of the pass."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    mark = text_marks(buf, offsets)
+    units, window = scheme.windows(buf, offsets)
 
     def positions(kind):
         doc, x = marks.get(kind, none)
         doc, x = doc[::2], x.reshape(-1, 2)
         own = ((x & ~_PLACE) == mark[doc]).all(1)
         doc, x = doc[own], (x[own] & _PLACE).astype(np.int64)
-        x += s.units[doc][:, None]
+        x += units[doc][:, None]
         return spans(x[:, 0], x[:, 1]), np.repeat(doc, x[:, 1] - x[:, 0] + 1)
 
     full, _ = positions(FULL_RANGE)
     at, owner = positions(OPEN_RANGE)
-    again = among(owner, s.window(at), *marks.get(WINDOW, none))
+    again = among(owner, window(at), *marks.get(WINDOW, none))
     return np.concatenate([full, at[again]])
 
 

@@ -24,12 +24,23 @@ _LOWER[65:91] += 32
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
 _UP_TO = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Elements that are worked on at a time where an array is long.
+_PART = 1 << 14
 _powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> U64(30))
+    """A bijective finaliser: every input bit reaches every output bit. Long arrays go through the cache in parts."""
+    if len(x) <= _PART:
+        return _mixed(x.copy())
+    out = np.empty(len(x), U64)
+    for i in range(0, len(x), _PART):
+        out[i : i + _PART] = _mixed(x[i : i + _PART].copy())
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> U64(30)
     x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
@@ -72,7 +83,14 @@ class Rolling:
         n = len(self.prefix) - 1 - width + 1
         if n <= 0:
             return np.zeros(0, U64)
-        return mix((self.prefix[width:] - self.prefix[:n]) * self.inverse[:n] + U64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
+        out = np.empty(n, U64)
+        for i in range(0, n, _PART):
+            part = slice(i, min(i + _PART, n))
+            x = self.prefix[i + width : part.stop + width] - self.prefix[part]
+            x *= self.inverse[part]
+            x += U64(width * 0xD6E8FEB86659FD93 % (1 << 64))
+            out[part] = _mixed(x)
+        return out
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Scan, Scheme, covered, documents, removal, repeated, spans, text_marks
+from .anchored import Scan, Scheme, covered, documents, removal, repeated, spans
 from .common import runs
 from .kernels import U64, Rolling, byte_symbols, mix, word_hashes
 
@@ -82,7 +82,7 @@ class Phrases(Scheme):
         second = lambda p: word_hashes(buf, p, p + width, width)
         if n < width:
             none = np.zeros(0, np.int64)
-            return Scan(offsets[:-1], none, none.astype(U64), none.astype(U64), none, none, window, second)
+            return Scan(offsets[:-1], none, none.astype(U64), lambda i: i.astype(U64), none, none, window, second)
         gram = rolled.every(self.trigger)
         bits = U64(max(1, n.bit_length()))
         least = ((gram >> bits) << bits) | np.arange(len(gram), dtype=U64)
@@ -100,9 +100,13 @@ class Phrases(Scheme):
         last = np.append(begin[1:], len(place)) - 1 if len(begin) else begin
         at, low, high = place[begin], start[begin], start[last]
         doc = np.searchsorted(offsets, low, "right") - 1
-        context = mix(word_hashes(buf, low, high + width, 2 * width) + ((at - low) * 64 + high - low).astype(U64))
+        context = lambda i: mix(word_hashes(buf, low[i], high[i] + width, 2 * width) + ((at - low) * 64 + high - low)[i].astype(U64))
         return Scan(offsets[:-1], doc, gram[at], context, low, high, window, second)
 
+    def windows(self, buf: np.ndarray, offsets: np.ndarray):
+        rolled = Rolling(byte_symbols(buf))
+        return offsets[:-1], lambda p: rolled.of(p, p + self.width)
+
     def phrases(self, text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, begin = suffix_array(text, size, self.width)
         own = ids[np.searchsorted(np.cumsum(size), at, "right")]
@@ -118,7 +122,7 @@ def kept(scheme: Phrases):
         for ids, known, buf, offsets, marks in documents(batches, True):
             size = np.diff(offsets)
             if marks:
-                gone = covered(repeated(scheme, scheme.scan(buf, offsets), text_marks(buf, offsets), marks), scheme.width, len(buf))
+                gone = covered(repeated(scheme, buf, offsets, marks), scheme.width, len(buf))
             else:
                 gone = np.zeros(len(buf), bool)
             before = np.concatenate([[0], np.cumsum(gone)])

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Scan, Scheme, covered, documents, removal, repeated, text_marks
+from .anchored import Scan, Scheme, covered, documents, removal, repeated
 from .kernels import U64, Rolling, mix, owners, word_hashes, words
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -49,9 +49,14 @@ class CoverAnchors(Scheme):
         fits = low <= high
         at, doc, low, high = at[fits], doc[fits], low[fits], high[fits]
         key = rolled.of(at, at + self.anchor)
-        context = mix(other.of(low, high + width) + ((at - low) * 16 + high - low).astype(U64))
+        context = lambda i: mix(other.of(low[i], high[i] + width) + ((at - low) * 16 + high - low)[i].astype(U64))
         return Scan(first[:-1], doc, key, context, low, high, lambda p: rolled.of(p, p + width), lambda p: other.of(p, p + width))
 
+    def windows(self, buf: np.ndarray, offsets: np.ndarray):
+        starts, ends, first = words(buf, offsets)
+        rolled = Rolling(word_hashes(buf, starts, ends))
+        return first[:-1], lambda p: rolled.of(p, p + self.width)
+
 
 def kept(scheme: CoverAnchors):
     kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -60,7 +65,7 @@ def kept(scheme: CoverAnchors):
         for ids, known, buf, offsets, marks in documents(batches, True):
             _, _, first = words(buf, offsets)
             n = int(first[-1])
-            gone = covered(repeated(scheme, scheme.scan(buf, offsets), text_marks(buf, offsets), marks), scheme.width, n) if marks else np.zeros(n, bool)
+            gone = covered(repeated(scheme, buf, offsets, marks), scheme.width, n) if marks else np.zeros(n, bool)
             before = np.concatenate([[0], np.cumsum(gone)])
             removed = before[first[1:]] - before[first[:-1]]
             digest = []
