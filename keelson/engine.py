@@ -75,7 +75,10 @@ class Engine:
             raise ToolError("INVALID_OPTIONS")
         commits, refs = git.commits(self.spark, repo), git.refs(self.spark, repo)
         edge = graph.edges(commits)
-        seen = graph.closure(graph.tips(refs, branch, include_tags), edge)
+        # One closure says what the tips lead to (no name) and which branches a commit is in
+        commits = stored(commits, "commits")
+        reach = graph.closure(graph.names(refs, branch, include_tags).withColumn("branch", F.coalesce("name", F.lit(""))), edge, "branch")
+        seen = reach.where("branch = ''").select("sha")
         chosen = commits if include_unreachable else commits.join(seen, "sha", "left_semi")
         chosen = graph.since(chosen, since)
         walked = chosen.count()
@@ -85,7 +88,7 @@ class Engine:
         # What is there now is asked of all detectors, whatever the least severity
         everything = self.detectors if self.detectors is not None else library(self.options.high_entropy)
         present = findings.working_tree(tree, everything, keep_keys=True)
-        found = history.findings(chosen, git.file_diffs(repo, chosen), graph.membership(refs, edge), present, self.library(), messages)
+        found = history.findings(chosen, git.file_diffs(repo, chosen), graph.branches(reach.where("branch <> ''")), present, self.library(), messages)
         found = stored(findings.redacted(found, self.options.include_pii), "findings")
         return Result(found, 0, max_commits is not None and walked > max_commits, walked if max_commits is None else min(walked, max_commits))
 

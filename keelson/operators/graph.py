@@ -24,33 +24,51 @@ def tips(refs: DataFrame, branch: str | None = None, tags: bool = True) -> DataF
 def closure(seeds: DataFrame, edge: DataFrame, label: str | None = None) -> DataFrame:
     """All (label,) sha from which seeds descend, seeds included.
 
-    Jumps double: each round leads exactly twice as far up as the one before, and adds what lies
-    one jump above anything reached so far, so that a history of depth d takes log2(d) rounds and
-    a chain of n commits has n jumps at most in each. Rounds are written to the shared folder;
-    what the next one does not read is deleted.
+    Jumps double: each leads exactly twice as far up as the one before, and adds what lies one
+    jump above anything reached so far, so that a history of depth d takes log2(d) jumps and a
+    chain of n commits has n of each at most. Two jumps are a round, which is written to the
+    shared folder; what the next one does not read is deleted.
     """
     keys = [*([label] if label else []), "sha"]
     reach = stored(seeds.select(*keys).distinct(), "reach")
     jump = stored(edge.select("sha", F.col("parent").alias("up")).where("up is not null").distinct(), "jump")
+    n = reach.count()
+
+    def above(reach: DataFrame, jump: DataFrame) -> DataFrame:
+        return reach.union(reach.join(jump, "sha").select(*keys[:-1], F.col("up").alias("sha"))).distinct()
+
+    def twice(jump: DataFrame) -> DataFrame:
+        return jump.select(F.col("sha").alias("from"), F.col("up").alias("sha")).join(jump, "sha").select(F.col("from").alias("sha"), "up").distinct()
+
     while True:
-        more = reach.join(jump, "sha").select(*keys[:-1], F.col("up").alias("sha"))
-        wider = stored(reach.union(more).distinct(), "reach")
-        done = wider.count() == reach.count()
+        double = twice(jump)
+        wider = stored(above(above(reach, jump), double), "reach")
+        now = wider.count()
         discard(reach)
-        if done:
+        if now == n:
             discard(jump)
             return wider
-        reach = wider
-        again = jump.select(F.col("sha").alias("from"), F.col("up").alias("sha")).join(jump, "sha").select(F.col("from").alias("sha"), "up")
-        further = stored(again.distinct(), "jump")
+        reach, n = wider, now
+        further = stored(twice(double), "jump")
         discard(jump)
         jump = further
 
 
+def names(refs: DataFrame, branch: str | None = None, tags: bool = True) -> DataFrame:
+    """(name, sha) that all branches, and what else tips follows, begin with; null for the tips of a scan."""
+    every = refs.where(F.col("kind") == "branch").select("name", "sha")
+    return every.union(tips(refs, branch, tags).select(F.lit(None).cast("string").alias("name"), "sha"))
+
+
 def membership(refs: DataFrame, edge: DataFrame) -> DataFrame:
     """The branches of each commit, sorted."""
     seeds = refs.where(F.col("kind") == "branch").select(F.col("name").alias("branch"), "sha")
-    return closure(seeds, edge, "branch").groupBy("sha").agg(F.array_sort(F.collect_set("branch")).alias("branches"))
+    return branches(closure(seeds, edge, "branch"))
+
+
+def branches(reach: DataFrame) -> DataFrame:
+    """From (branch, sha): the branches of each commit, sorted."""
+    return reach.groupBy("sha").agg(F.array_sort(F.collect_set("branch")).alias("branches"))
 
 
 def unreachable(commits: DataFrame, seen: DataFrame) -> DataFrame:

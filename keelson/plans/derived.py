@@ -48,7 +48,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation as a DataFrame. The source tables become temporary views of their own names."""
     for table in TABLES:
         if f"FROM {table}" in VIEWS[name]:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            # A small table of which each row becomes a text: dealt over all cores before that
+            rows = rows.repartition(spark.sparkContext.defaultParallelism) if name == "v_files" else rows
+            rows.createOrReplaceTempView(table)
     return spark.sql(VIEWS[name])
 
 

@@ -155,31 +155,47 @@ class TreeReader(DataSourceReader):
         split = lambda name: tuple(filter(None, options.get(name, "").split("|")))
         self.root = options["path"]
         self.bytes = int(options.get("partitionbytes", 32 << 20))
+        self.cores = int(options.get("cores", 1))
         self.deadline = float(options.get("deadline", 0))
         self.options = ScanOptions(include=split("include") or ("**/*",), exclude=split("exclude"), include_generated=options.get("includegenerated") == "true", follow_symlinks=options.get("followsymlinks") == "true", max_file_size=int(options.get("maxfilesize", 5 << 20)))
 
     def partitions(self):
         out, held, size = [], [], 0
-        for f in walk(self.root, self.options):
+        files = list(walk(self.root, self.options))
+        # Small trees are dealt over all cores
+        most = min(self.bytes, max(1 << 18, sum(f[2] + 4096 for f in files) // self.cores + 1))
+        for f in files:
             held.append(f)
             size += f[2] + 4096
-            if size >= self.bytes:
+            if size >= most:
                 out.append(Chunk(held))
                 held, size = [], 0
         return [*out, Chunk(held)] if held or not out else out
 
     def read(self, partition):
-        for full, path, size in partition.files:
+        rows, size = [], 0
+        for full, path, n in partition.files:
             # Beyond the deadline files are listed, not read
-            if self.deadline and time.time() > self.deadline:
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.string()), pa.array([-1], pa.int64())], names=["path", "content", "size"])
-                continue
-            try:
-                with open(full, "rb") as f:
-                    text = decode(f.read())
-            except OSError:
-                text = None
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string()), pa.array([size], pa.int64())], names=["path", "content", "size"])
+            late = bool(self.deadline) and time.time() > self.deadline
+            rows.append((path, None if late else contents(full), -1 if late else n))
+            size += 0 if late else n
+            if size >= 4 << 20 or len(rows) == 1024:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+
+def contents(full: str) -> str | None:
+    try:
+        with open(full, "rb") as f:
+            return decode(f.read())
+    except OSError:
+        return None
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "content", "size"])
 
 
 class TreeSource(DataSource):
@@ -204,6 +220,7 @@ def read_tree(spark: SparkSession, root: str, o: ScanOptions | None = None, dead
     spark.dataSource.register(TreeSource)
     r = spark.read.format("keelson_tree").option("include", "|".join(o.include)).option("exclude", "|".join(o.exclude))
     r = r.option("includeGenerated", str(o.include_generated).lower()).option("followSymlinks", str(o.follow_symlinks).lower()).option("maxFileSize", str(o.max_file_size))
+    r = r.option("cores", str(spark.sparkContext.defaultParallelism))
     if deadline is not None:
         r = r.option("deadline", str(deadline))
     return r.load(root)
