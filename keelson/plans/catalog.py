@@ -254,10 +254,13 @@ def hash16(spark, sf_dir):
     return samples(spark, sf_dir).select("v", X.hash16(F.col("v")).alias("hash16"))
 
 
-@query("SELECT path, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS INT) AS line, CAST(length(p) - coalesce(length(p) - nullif(instr(reverse(p), chr(10)), 0) + 1, 0) + 1 AS INT) AS \"column\" FROM (SELECT path, content[: 60] AS p FROM v_files)")
+@query("SELECT path, CAST(place AS INT) AS place, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS INT) AS line, CAST(length(p) - coalesce(length(p) - nullif(instr(reverse(p), chr(10)), 0) + 1, 0) + 1 AS INT) AS \"column\" FROM (SELECT path, place, content[: place - 1] AS p FROM (SELECT path, content, unnest(range(1, length(content) + 1)) AS place FROM v_files) WHERE content[place] IN ('=', ';'))")
 def line_column(spark, sf_dir):
-    before = F.substring("content", 1, 60)
-    return files(spark, sf_dir).select("path", X.line_of(before).alias("line"), X.column_of(before).alias("column"))
+    """Line and column of every = and ; of whole files."""
+    places = F.filter(F.sequence(F.lit(1), F.length("content")), lambda i: F.substring(F.col("content"), i, F.lit(1)).isin("=", ";"))
+    marks = files(spark, sf_dir).where(F.length("content") > 0).select("path", "content", F.explode(places).alias("place"))
+    before = F.substring(F.col("content"), F.lit(1), F.col("place") - 1)
+    return marks.select("path", "place", X.line_of(before).alias("line"), X.column_of(before).alias("column"))
 
 
 @query("SELECT v, CASE WHEN regexp_matches(v, '^[A-Za-z0-9_.:-]+$') AND NOT contains(v || '=***', 'k=**') THEN v || '=***' ELSE 'ApiKey=***' END AS hint FROM " + SAMPLES_SQL)
@@ -335,16 +338,16 @@ def first_parent(spark, sf_dir):
 
 # --- diffs and history
 
-ADDED_SQL = "(SELECT sha, path, status, content, l_line + 1 AS line, 'Password=' AS kind FROM (SELECT *, CAST(regexp_extract(path, 'f([0-9]+)', 1) AS INT) AS l_line FROM v_diffs) UNION ALL SELECT sha, path, status, content, CAST(regexp_extract(path, 'f([0-9]+)', 1) AS INT) + 2, 'plain' FROM v_diffs UNION ALL SELECT sha, path, status, content, 20, 'AKIA' FROM v_diffs)"
+#: Each file of the derived commits adds three lines: two in a row that start after as many empty ones as its number says, and the 20th.
+ADDED_SQL = "(SELECT sha, path, status, content, CAST(place AS INT) AS line FROM (SELECT *, unnest([l + 1, l + 2, 20]) AS place FROM (SELECT *, CAST(regexp_extract(path, 'f([0-9]+)', 1) AS INT) AS l FROM v_diffs)))"
 
 
-@query(f"SELECT sha, path, line, CASE kind WHEN 'plain' THEN 'plain' WHEN 'AKIA' THEN regexp_extract(content, 'AKIA[0-9A-F]+') ELSE regexp_extract(content, 'Password=[0-9a-f]+') END AS text FROM {ADDED_SQL}")
+@query(f"SELECT sha, path, line, string_split(content, chr(10))[line] AS text FROM {ADDED_SQL}")
 def diff_added_lines(spark, sf_dir):
     return diff.added_lines(view(spark, sf_dir, "v_diffs"))
 
 
-PAIR = tuple(d for d in DETECTORS if d.id in ("dotnet.connection_string.sql", "aws.access_key_id"))
-DIFF_MATCH_SQL = " UNION ALL ".join(f"({detect_sql(d, 'v_diffs', 'path', 'content', 'sha, status,')})" for d in PAIR)
+DIFF_MATCH_SQL = " UNION ALL ".join(f"({detect_sql(d, 'v_diffs', 'path', 'content', 'sha, status,')})" for d in DETECTORS)
 SEMI_SQL = f"SELECT m.* FROM ({DIFF_MATCH_SQL}) m JOIN (SELECT DISTINCT sha, path, line FROM {ADDED_SQL}) a ON a.sha = m.sha AND a.path = m.file AND a.line = m.line WHERE m.status <> 'deleted'"
 
 
@@ -355,7 +358,7 @@ def history_views(spark, sf_dir):
 @query(f"SELECT sha, file, line, detector_id, hash16 FROM ({SEMI_SQL})")
 def added_line_semijoin(spark, sf_dir):
     commits, _, _, diffs = history_views(spark, sf_dir)
-    return history.file_matches(commits, diffs, PAIR).select("sha", "file", "line", "detector_id", "hash16")
+    return history.file_matches(commits, diffs, DETECTORS).select("sha", "file", "line", "detector_id", "hash16")
 
 
 EARLIEST_SQL = f"SELECT * FROM (SELECT s.*, c.author_when, c.author_name, row_number() OVER (PARTITION BY secret_type, hash16 ORDER BY c.author_when, s.sha, file, detector_order, off) AS n FROM ({SEMI_SQL}) s JOIN v_commits c USING (sha)) WHERE n = 1"
@@ -364,16 +367,16 @@ EARLIEST_SQL = f"SELECT * FROM (SELECT s.*, c.author_when, c.author_name, row_nu
 @query(f"SELECT secret_type, hash16, sha, file, line FROM ({EARLIEST_SQL})")
 def history_dedup_earliest(spark, sf_dir):
     commits, _, _, diffs = history_views(spark, sf_dir)
-    return history.earliest(history.file_matches(commits, diffs, PAIR)).select("secret_type", "hash16", "sha", "file", "line")
+    return history.earliest(history.file_matches(commits, diffs, DETECTORS)).select("secret_type", "hash16", "sha", "file", "line")
 
 
-PRESENT_SQL = " UNION ALL ".join(f"({detect_sql(d)})" for d in PAIR)
+PRESENT_SQL = " UNION ALL ".join(f"({detect_sql(d)})" for d in DETECTORS)
 FLAG_SQL = f"SELECT e.*, EXISTS (SELECT 1 FROM ({PRESENT_SQL}) p WHERE p.secret_type = e.secret_type AND p.hash16 = e.hash16) AS still_present FROM ({EARLIEST_SQL}) e"
 
 
 def flagged(spark, sf_dir):
     commits, _, _, diffs = history_views(spark, sf_dir)
-    return history.with_presence(history.earliest(history.file_matches(commits, diffs, PAIR)), tree(spark, sf_dir, PAIR))
+    return history.with_presence(history.earliest(history.file_matches(commits, diffs, DETECTORS)), tree(spark, sf_dir))
 
 
 @query(f"SELECT secret_type, hash16, still_present FROM ({FLAG_SQL})")
@@ -391,17 +394,16 @@ def removed_only(spark, sf_dir):
     return history.view(flagged(spark, sf_dir).withColumn("source", F.lit("history")), removed_only=True).select("secret_type", "hash16")
 
 
-KEY = next(d for d in DETECTORS if d.id == "aws.access_key_id")
-MESSAGE_SQL = detect_sql(KEY, "v_commits", "'<commit-message>'", "message", "sha,", False)
+MESSAGE_SQL = " UNION ALL ".join(f"({detect_sql(d, 'v_commits', chr(39) + '<commit-message>' + chr(39), 'message', 'sha,', False)})" for d in DETECTORS)
 
 
 @query(f"SELECT sha, file, line, \"column\", secret_type, hint, hash16 FROM ({MESSAGE_SQL})")
 def commit_message_findings(spark, sf_dir):
-    return findings.message_findings(graph_views(spark, sf_dir)[0], (KEY,)).select("sha", "file", "line", "column", "secret_type", "hint", "hash16")
+    return findings.message_findings(graph_views(spark, sf_dir)[0], DETECTORS).select("sha", "file", "line", "column", "secret_type", "hint", "hash16")
 
 
 BRANCH_SQL = "b AS (SELECT sha, string_agg(branch, ',' ORDER BY branch) AS branches FROM r GROUP BY sha)"
-MESSAGE_FIRST_SQL = f"SELECT * FROM (SELECT m.*, c.author_when, row_number() OVER (PARTITION BY secret_type, hash16 ORDER BY c.author_when, m.sha) AS n FROM ({MESSAGE_SQL}) m JOIN v_commits c USING (sha)) WHERE n = 1"
+MESSAGE_FIRST_SQL = f"SELECT * FROM (SELECT m.*, c.author_when, row_number() OVER (PARTITION BY secret_type, hash16 ORDER BY c.author_when, m.sha, detector_order, off) AS n FROM ({MESSAGE_SQL}) m JOIN v_commits c USING (sha)) WHERE n = 1"
 
 
 @query(
@@ -411,7 +413,7 @@ UNION ALL SELECT 'commitMessage', file, line, secret_type, hint, sha, substr(sha
 )
 def history_findings(spark, sf_dir):
     commits, edge, refs, diffs = history_views(spark, sf_dir)
-    found = history.findings(commits, diffs, graph.membership(refs, edge), tree(spark, sf_dir, PAIR), PAIR)
+    found = history.findings(commits, diffs, graph.membership(refs, edge), tree(spark, sf_dir), DETECTORS)
     found = findings.redacted(found)
     return found.select("source", "file", "line", "secret_type", "hint", "commit_sha", "commit_short", "commit_date", "author_name", F.array_join("branches", ",").alias("branches"), "still_present")
 

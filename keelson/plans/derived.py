@@ -34,10 +34,41 @@ SELECT concat(CASE WHEN c_custkey % 11 = 0 THEN 'bin/' WHEN c_custkey % 13 = 0 T
    ELSE 'nothing here' END, chr(10)) AS content,
  cast(200 + c_custkey * 1000 AS bigint) AS size
 FROM customer""",
-    "v_commits": "SELECT md5(cast(o_orderkey AS string)) AS sha, o_orderdate AS author_when, concat('Author ', cast(o_custkey % 50 AS string)) AS author_name, CASE WHEN o_orderkey % 50 = 0 THEN concat('fix AKIA', upper(substring(md5(cast(o_orderkey % 400 AS string)), 1, 16))) ELSE 'work' END AS message, cast(o_orderkey AS bigint) AS k FROM orders",
+    "v_commits": """SELECT md5(cast(o_orderkey AS string)) AS sha, o_orderdate AS author_when, concat('Author ', cast(o_custkey % 50 AS string)) AS author_name, CASE o_orderkey % 350 WHEN 0 THEN concat('fix AKIA', upper(substring(md5(cast(o_orderkey % 700 AS string)), 1, 16))) WHEN 50 THEN concat('undo ghp_', md5(cast(o_orderkey % 700 AS string)), 'abcd') WHEN 100 THEN concat('rotate sk_', 'live_', md5(cast(o_orderkey % 700 AS string))) WHEN 150 THEN concat('bot xoxb-', md5(cast(o_orderkey % 700 AS string))) WHEN 200 THEN concat('set "ApiKey": "', md5(cast(o_orderkey % 700 AS string)), '"') WHEN 250 THEN concat('use Password=', md5(cast(o_orderkey % 700 AS string)), '; and AROA', upper(substring(md5(cast(o_orderkey % 700 AS string)), 1, 16))) WHEN 300 THEN concat('drop glpat-', substring(md5(cast(o_orderkey % 700 AS string)), 1, 24)) ELSE 'work' END AS message, cast(o_orderkey AS bigint) AS k FROM orders""",
     "v_edges": "SELECT md5(cast(o_orderkey AS string)) AS sha, md5(cast(cast(floor((o_orderkey - 1) / 2) AS bigint) AS string)) AS parent, 0 AS parent_idx FROM orders WHERE o_orderkey > 1 UNION ALL SELECT md5(cast(o_orderkey AS string)), md5(cast(cast(floor((o_orderkey - 1) / 3) AS bigint) AS string)), 1 FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey > 3",
     "v_refs": "SELECT concat('b', cast(n_nationkey AS string)) AS name, 'branch' AS kind, md5(cast(n_nationkey * 37 + 100 AS string)) AS sha FROM nation UNION ALL SELECT concat('t', cast(r_regionkey AS string)), 'tag', md5(cast(r_regionkey * 91 + 1000 AS string)) FROM region",
-    "v_diffs": "SELECT md5(cast(l_orderkey AS string)) AS sha, concat('src/f', cast(l_linenumber AS string), '.env') AS path, CASE WHEN l_linenumber = 6 THEN 'deleted' ELSE 'modified' END AS status, concat('diff --git a b', chr(10), '@@ -1,2 +', cast(l_linenumber AS string), ',4 @@', chr(10), ' keep', chr(10), '+Password=', md5(cast(l_partkey AS string)), chr(10), '-old', chr(10), '+plain', chr(10), '@@ -9 +20 @@', chr(10), '+AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16)), chr(10)) AS patch, concat(repeat(chr(10), l_linenumber), 'Password=', md5(cast(l_partkey AS string)), chr(10), 'plain', repeat(chr(10), 18 - l_linenumber), 'AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16)), chr(10)) AS content FROM lineitem",
+    # Files 2, 4, 5 and 7 of a commit hold the other kinds of secret on the line after the first; the extension is what their detectors ask for
+    "v_diffs": """
+SELECT sha, path, status,
+ concat('diff --git a b', chr(10), '@@ -1,2 +', cast(n AS string), ',4 @@', chr(10), ' keep', chr(10), '+', a, chr(10), '-old', chr(10), '+', b, chr(10), '@@ -9 +20 @@', chr(10), '+', c, chr(10)) AS patch,
+ concat(repeat(chr(10), n), a, chr(10), b, repeat(chr(10), 18 - n), c, chr(10)) AS content
+FROM (SELECT md5(cast(l_orderkey AS string)) AS sha, l_linenumber AS n,
+  concat('src/f', cast(l_linenumber AS string), CASE l_linenumber WHEN 2 THEN '.json' WHEN 5 THEN '.config' WHEN 7 THEN '.cs' ELSE '.env' END) AS path,
+  CASE WHEN l_linenumber = 6 THEN 'deleted' ELSE 'modified' END AS status,
+  concat('Password=', md5(cast(l_partkey AS string))) AS a,
+  CASE l_linenumber
+   WHEN 2 THEN CASE l_partkey % 4
+    WHEN 0 THEN concat('"ApiKey": "', md5(cast(l_suppkey AS string)), '"')
+    WHEN 1 THEN concat('"JwtSigningKey" : "', md5(cast(l_suppkey AS string)), '"')
+    WHEN 2 THEN concat('"DbPasswd": "', substring(md5(cast(l_suppkey AS string)), 1, 12), '"')
+    ELSE concat('"MainConnection": "Host=x;Pwd=', substring(md5(cast(l_suppkey AS string)), 1, 10), ';"') END
+   WHEN 4 THEN CASE l_partkey % 6
+    WHEN 0 THEN concat('t=ghp_', md5(cast(l_suppkey AS string)), 'abcd;')
+    WHEN 1 THEN concat('t=github_pat_', md5(cast(l_suppkey AS string)), '_', md5(cast(l_suppkey AS string)), upper(substring(md5(cast(l_suppkey AS string)), 1, 17)), ';')
+    WHEN 2 THEN concat('t=ghs_', md5(cast(l_suppkey AS string)), 'abcd;')
+    WHEN 3 THEN concat('sk_', 'live_', md5(cast(l_suppkey AS string)))
+    WHEN 4 THEN concat('rk_', 'live_', md5(cast(l_suppkey AS string)))
+    ELSE concat('glpat-', substring(md5(cast(l_suppkey AS string)), 1, 24)) END
+   WHEN 5 THEN CASE l_partkey % 5
+    WHEN 0 THEN concat('xoxb-', md5(cast(l_suppkey AS string)))
+    WHEN 1 THEN concat('AccountKey=', md5(cast(l_suppkey AS string)), md5(cast(l_suppkey AS string)), substring(md5(cast(l_suppkey AS string)), 1, 22), '==;')
+    WHEN 2 THEN concat('-----BEGIN RSA ', 'PRIVATE KEY-----')
+    WHEN 3 THEN concat('aws_secret_access_key = "', md5(cast(l_suppkey AS string)), upper(substring(md5(cast(l_suppkey AS string)), 1, 8)), '"')
+    ELSE concat('key ASIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16))) END
+   WHEN 7 THEN CASE WHEN l_partkey % 2 = 0 THEN concat('h("Bearer ', md5(cast(l_suppkey AS string)), '.', md5(cast(l_suppkey AS string)), '")') ELSE concat('key AROA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16))) END
+   ELSE 'plain' END AS b,
+  concat('AKIA', upper(substring(md5(cast(l_suppkey AS string)), 1, 16))) AS c
+ FROM lineitem) AS added""",
     "v_changes": "SELECT concat('src/u', cast(user_id AS string), '.cs') AS path, ts FROM events",
 }
 #: Tables that the relations are made from.
@@ -50,7 +81,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f"FROM {table}" in VIEWS[name]:
             rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
             # A small table of which each row becomes a text: dealt over all cores before that
-            rows = rows.repartition(spark.sparkContext.defaultParallelism) if name == "v_files" else rows
+            rows = rows.repartition(spark.sparkContext.defaultParallelism) if name in ("v_files", "v_diffs") else rows
             rows.createOrReplaceTempView(table)
     return spark.sql(VIEWS[name])
 
