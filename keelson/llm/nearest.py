@@ -11,7 +11,7 @@ The k best of a query are kept from block to block of a task, so that later bloc
 and a task sends k rows for each query. With patience None (exact) no step is left out, and the
 result is that of comparing all pairs.
 
-Pivots come from a bounded sample (the SAMPLE least hashes of vec_id). Queries are taken in
+Pivots come from a bounded sample (the SAMPLE least hashes of vec_id; equal rows count as one). Queries are taken in
 slices of QUERIES, one pass over the rows for each, whose result is written before the next
 slice is read: what driver and workers hold is bounded. Recall was measured against brute force
 (see tests and README).
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import least, stored, tune
 
 PIVOTS, NEAREST, BLOCK, SAMPLE, QUERIES = 512, 128, 4096, 2048, 4096
 #: Rows of a block are ranked again in steps of this share (and number at least), until so many steps have not changed the k best.
@@ -147,7 +147,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str
     dim = length.n
     good = f"size(x) = {dim} and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(x, v -> v <> 0)"
     rows = rows.where(good)
-    sample = rows.select("vec_id", F.transform("x", lambda v: v.cast("double")).alias("x")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    distinct = rows.select("vec_id", F.transform("x", lambda v: v.cast("double")).alias("x")).dropDuplicates()
+    sample = least(distinct, F.xxhash64("vec_id"), SAMPLE, length["count"], "vec_id", "x")
     if not sample:
         return nothing
     pivots = np.unique(np.array([r.x for r in sample]), axis=0)

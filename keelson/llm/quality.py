@@ -12,7 +12,8 @@ parameters of learn; they bound what the driver holds); scores always take all p
 
 Score and passages depend on the text only. Empty and null texts have one passage of zeros.
 Very long texts are worked through whole. A null doc_id is scored (held_out null). Repeated
-rows and extra columns make no difference; a document whose labels contradict each other counts
+rows and extra columns make no difference: of an id with several texts the least one is learnt from,
+so that the driver gets no more than SAMPLE texts; a document whose labels contradict each other counts
 as good. An empty table gives an empty result; without labels of both kinds, or without
 labelled documents, all scores are 0.5.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, run_lengths, runs, tune
+from .common import least, passes, run_lengths, runs, tune
 from .kernels import Rolling, flat, owners, word_hashes, words
 from .language import held_out
 
@@ -183,7 +184,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model | None:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model | None:
     own = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(5, 0) & F.col("quality").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = {r.doc_id: r.quality for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    chosen = {r.doc_id: r.quality for r in least(own, F.xxhash64("doc_id"), sample, labels.count(), "doc_id")}
     if not chosen:
         return None
 
@@ -196,6 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
         return pa.array(out, pa.binary())
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(chosen)))
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # an id that many rows repeat is learnt once
     rows = sorted((r.doc_id, bytes(r.bag)) for r in texts.select("doc_id", bag("text").alias("bag")).collect())
     return fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b in rows], np.array([chosen[i] for i, _ in rows])) if rows else None
 
