@@ -26,7 +26,7 @@ from .common import tune
 
 MARK = "▁"
 #: Bytes of remembered parts, with what they cost beside their letters; beyond it they are forgotten and merged anew.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 LIMIT = 4096
 _counters: dict[str, Counter] = {}
 
@@ -51,29 +51,22 @@ class Counter:
         """Whether the model takes texts as they are, but for one mark before them."""
         return self.model.encode("x  y\tZ", out_type=str)[0].startswith(MARK) and self.model.decode(self.model.encode("x  y\tZ é ﬁ")) == "x  y\tZ é ﬁ"
 
-    def learn(self, words: set[str]) -> None:
-        """Counts of parts that stand behind one mark."""
-        self.learn_plain({w for w in words if not (self.line and "\n" in w)})
-        broken = [w.split("\n") for w in words if self.line and "\n" in w]
-        if broken:
-            self.learn_plain({b[0] for b in broken}.difference(self.words))
-            self.learn_tails({x for b in broken for x in b[1:]}.difference(self.tails))
-            for b in broken:
-                self.words["\n".join(b)] = self.words[b[0]] + sum(self.feed + self.tails[x] for x in b[1:])
-
-    def missing(self, parts: set[str]) -> set[str]:
-        """Parts that are to be learnt, for which there is room."""
-        new = parts.difference(self.words)
-        if new:
-            more = sum(2 * len(x.encode()) + 256 for x in new)
-            if self.held and self.held + more > REMEMBERED:
-                self.words, self.tails, self.held = dict(self.whole), {}, 0
-                new = parts.difference(self.words)
-                more = sum(2 * len(x.encode()) + 256 for x in new)
-            self.held += more
-        return new
+    def learn(self, words: set[str], tails: set[str]) -> None:
+        """Counts of the parts that are not remembered; where there is no room, all others are forgotten."""
+        new = words.difference(self.words), tails.difference(self.tails)
+        more = sum(2 * len(x.encode()) + 256 for part in new for x in part)
+        if self.held and self.held + more > REMEMBERED:
+            self.words, self.tails, self.held = dict(self.whole), {}, 0
+            new = words.difference(self.words), tails
+            more = sum(2 * len(x.encode()) + 256 for part in new for x in part)
+        self.held += more
+        if new[0]:
+            self.learn_plain(new[0])
+        if new[1]:
+            self.learn_tails(new[1])
 
     def learn_plain(self, words: set[str]) -> None:
+        """Counts of parts that stand behind one mark."""
         order = list(words)
         for w, ids in zip(order, self.model.encode(order, num_threads=1), strict=True):
             self.words[w] = len(ids) if w else 1
@@ -99,10 +92,17 @@ class Counter:
                     words.append(part[1:])
         else:
             total, words = 0, text.split(" ")
-        new = self.missing(set(words))
-        if new:
-            self.learn(new)
-        return total + sum(map(self.words.__getitem__, words))
+        tails = []
+        if self.line and "\n" in text:
+            lines, words = words, []
+            for w in lines:
+                if "\n" in w:
+                    w, *more = w.split("\n")
+                    tails += more
+                words.append(w)
+            total += self.feed * len(tails)
+        self.learn(set(words), set(tails))
+        return total + sum(map(self.words.__getitem__, words)) + sum(map(self.tails.__getitem__, tails))
 
 
 def counter(path: str) -> Counter:
