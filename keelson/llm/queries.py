@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, nearest, oracles, quality, secrets, substring_bytes, substring_words, tokens
+from . import decontaminate, jaccard, language, lines, mixing, nearest, oracles, quality, repair, secrets, substring_bytes, substring_words, tokens, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +56,26 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digested(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
 def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op10 gives besides the spans that the method adds: SQL can express it."""
     return op10_secret_scans(spark, sf_dir).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_mixing_sources, op4_nearest_neighbours, op5_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_language_id, op9_substring_dedup, op10_secret_scans, base_secret_spans)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_mixing_sources, op4_nearest_neighbours, op5_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_language_id, op9_substring_dedup, op10_secret_scans, op11_line_dedup, op12_conversation_trie, op13_conversation_repair, base_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
