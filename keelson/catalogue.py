@@ -30,6 +30,8 @@ class Detector:
     reject_placeholders: bool = False
     keywords: tuple[str, ...] = ()
     suggested_fix: str = ""
+    #: Each match holds one of the keywords and no line feed: only lines with a keyword are looked at.
+    one_line: bool = False
 
 
 # Building blocks of the expressions below: a word character as of Unicode, word edges, white space
@@ -44,18 +46,18 @@ _CONFIG = (".json", ".config", ".xml", ".yaml", ".yml", ".env")
 DETECTORS: tuple[Detector, ...] = (
     Detector("dotnet.connection_string.sql", "ConnectionString", "critical", f"(?i)((Password|Pwd){_S}*={_S}*)([^;\"'\\r\\n]{{4,}})", 2, 3, (*_CONFIG, ".cs", ".ini"), None, True, ("Password", "Pwd"), "Move to dotnet user-secrets or Azure Key Vault. See https://learn.microsoft.com/aspnet/core/security/app-secrets"),
     Detector("dotnet.connection_string.json_key", "ConnectionString", "critical", f'(?i)("({_K}connection{_K})"{_S}*:{_S}*")([^"]*(?:Password|Pwd){_S}*={_S}*[^";]{{4,}}[^"]*)"', 2, 3, (".json", ".config", ".xml"), None, True, ("Connection", "Password=", "Pwd="), "Move to dotnet user-secrets or Azure Key Vault. See https://learn.microsoft.com/aspnet/core/security/app-secrets"),
-    Detector("aws.access_key_id", "AwsAccessKey", "critical", f"{_B}AKIA[0-9A-Z]{{16}}{_E}", keywords=("AKIA",), suggested_fix="Rotate the access key in IAM. Use IAM roles, environment variables, or AWS SSO instead. See https://docs.aws.amazon.com/IAM/latest/UserGuide/best-practices.html"),
-    Detector("aws.temp_access_key_id", "AwsAccessKey", "critical", f"{_B}ASIA[0-9A-Z]{{16}}{_E}", keywords=("ASIA",), suggested_fix="Even though temporary, treat as compromised — revoke the issuing role's session."),
-    Detector("aws.role_access_key_id", "AwsAccessKey", "critical", f"{_B}AROA[0-9A-Z]{{16}}{_E}", keywords=("AROA",), suggested_fix="Investigate the role; rotate any associated long-term credentials."),
+    Detector("aws.access_key_id", "AwsAccessKey", "critical", f"{_B}AKIA[0-9A-Z]{{16}}{_E}", keywords=("AKIA",), suggested_fix="Rotate the access key in IAM. Use IAM roles, environment variables, or AWS SSO instead. See https://docs.aws.amazon.com/IAM/latest/UserGuide/best-practices.html", one_line=True),
+    Detector("aws.temp_access_key_id", "AwsAccessKey", "critical", f"{_B}ASIA[0-9A-Z]{{16}}{_E}", keywords=("ASIA",), suggested_fix="Even though temporary, treat as compromised — revoke the issuing role's session.", one_line=True),
+    Detector("aws.role_access_key_id", "AwsAccessKey", "critical", f"{_B}AROA[0-9A-Z]{{16}}{_E}", keywords=("AROA",), suggested_fix="Investigate the role; rotate any associated long-term credentials.", one_line=True),
     Detector("aws.secret_access_key", "AwsSecretAccessKey", "critical", f"(?i)((aws_secret_access_key){_S}*[:=]{_S}*[\"']?)([A-Za-z0-9/+=]{{40}})[\"']?", 2, 3, (), 4.0, True, ("aws_secret_access_key",), "Rotate the IAM credential immediately. Move to env vars or AWS SSO."),
-    Detector("github.classic_pat", "GitHubToken", "critical", f"{_B}gh[pousr]_[A-Za-z0-9]{{36,}}{_E}", keywords=("ghp_", "gho_", "ghu_", "ghr_", "ghs_"), suggested_fix="Revoke the token at https://github.com/settings/tokens and rotate."),
-    Detector("github.fine_grained_pat", "GitHubToken", "critical", f"{_B}github_pat_[A-Za-z0-9_]{{82}}{_E}", keywords=("github_pat_",), suggested_fix="Revoke the token in GitHub settings and rotate."),
-    Detector("github.app_token", "GitHubToken", "high", f"{_B}ghs_[A-Za-z0-9]{{36,}}{_E}", keywords=("ghs_",), suggested_fix="Rotate the GitHub App private key; the installation token derives from it."),
-    Detector("stripe.live_secret_key", "StripeKey", "critical", f"{_B}sk_live_[A-Za-z0-9]{{24,99}}{_E}", keywords=("sk_live_",), suggested_fix="Roll the key in the Stripe dashboard immediately."),
-    Detector("stripe.restricted_key", "StripeKey", "critical", f"{_B}rk_live_[A-Za-z0-9]{{24,99}}{_E}", keywords=("rk_live_",), suggested_fix="Roll the key in the Stripe dashboard."),
-    Detector("gitlab.pat", "GitLabToken", "critical", f"{_B}glpat-[A-Za-z0-9_\\-]{{20,99}}{_G}", keywords=("glpat-",), suggested_fix="Revoke and rotate the token in GitLab settings."),
+    Detector("github.classic_pat", "GitHubToken", "critical", f"{_B}gh[pousr]_[A-Za-z0-9]{{36,}}{_E}", keywords=("ghp_", "gho_", "ghu_", "ghr_", "ghs_"), suggested_fix="Revoke the token at https://github.com/settings/tokens and rotate.", one_line=True),
+    Detector("github.fine_grained_pat", "GitHubToken", "critical", f"{_B}github_pat_[A-Za-z0-9_]{{82}}{_E}", keywords=("github_pat_",), suggested_fix="Revoke the token in GitHub settings and rotate.", one_line=True),
+    Detector("github.app_token", "GitHubToken", "high", f"{_B}ghs_[A-Za-z0-9]{{36,}}{_E}", keywords=("ghs_",), suggested_fix="Rotate the GitHub App private key; the installation token derives from it.", one_line=True),
+    Detector("stripe.live_secret_key", "StripeKey", "critical", f"{_B}sk_live_[A-Za-z0-9]{{24,99}}{_E}", keywords=("sk_live_",), suggested_fix="Roll the key in the Stripe dashboard immediately.", one_line=True),
+    Detector("stripe.restricted_key", "StripeKey", "critical", f"{_B}rk_live_[A-Za-z0-9]{{24,99}}{_E}", keywords=("rk_live_",), suggested_fix="Roll the key in the Stripe dashboard.", one_line=True),
+    Detector("gitlab.pat", "GitLabToken", "critical", f"{_B}glpat-[A-Za-z0-9_\\-]{{20,99}}{_G}", keywords=("glpat-",), suggested_fix="Revoke and rotate the token in GitLab settings.", one_line=True),
     Detector("csharp.bearer_token_literal", "BearerToken", "high", f'("Bearer{_S}+)([A-Za-z0-9._\\-]{{30,}})"', None, 2, (".cs",), 3.0, True, ("Bearer ",), "Read the token from configuration, an environment variable, or a secret manager."),
-    Detector("slack.token", "SlackToken", "high", f"{_B}xox[abprs]-[A-Za-z0-9-]{{10,72}}{_G}", keywords=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), suggested_fix="Rotate the Slack token in the app management console."),
+    Detector("slack.token", "SlackToken", "high", f"{_B}xox[abprs]-[A-Za-z0-9-]{{10,72}}{_G}", keywords=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), suggested_fix="Rotate the Slack token in the app management console.", one_line=True),
     Detector("jwt.signing_key", "JwtSecret", "high", f'(?i)("({_K}(?:JwtSecret|JwtSigningKey|TokenSecret|SigningKey|JwtKey){_K})"{_S}*:{_S}*")([^"\\\\]{{12,}})"', 2, 3, _CONFIG, None, True, ("JwtSecret", "JwtSigningKey", "TokenSecret", "SigningKey", "JwtKey"), "Move the signing key to a secret manager and rotate."),
     Detector("azure.storage_account_key", "AzureStorageKey", "critical", f"(AccountKey{_S}*={_S}*)([A-Za-z0-9+/]{{86,88}}==?)", None, 2, keywords=("AccountKey=",), suggested_fix="Regenerate the key in the Azure portal; prefer Managed Identity or SAS tokens."),
     Detector("crypto.private_key_pem", "PrivateKey", "critical", f"-----BEGIN(?:{_S}+[A-Z]+)?{_S}+PRIVATE KEY-----", keywords=("PRIVATE KEY-----",), suggested_fix="Move to an HSM or secret manager. Treat the key as compromised and rotate."),

@@ -15,15 +15,24 @@ def is_placeholder(value: Column) -> Column:
     """Blank, a known stand-in in any case, or made of `* x X _ . ?` alone; quotes and white space around it do not count."""
     bare = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     bare = F.regexp_replace(bare, "^[\"']+|[\"']+$", "")
-    return (bare == "") | F.lower(bare).isin(PLACEHOLDERS) | bare.rlike(r"^[*xX_.?]*$")
+    # Most values have nothing around them: one look instead of two copies
+    bare = F.when(value.rlike(r"^[\s\p{Z}\"']|[\s\p{Z}\"']$"), bare).otherwise(value)
+    return bound(bare, lambda b: (b == "") | F.lower(b).isin(PLACEHOLDERS) | b.rlike(r"^[*xX_.?]*$"))
 
 
 def entropy(value: Column) -> Column:
-    """Shannon entropy in bits a character, over characters below U+0100; 0 without any. Not rounded."""
-    chars = F.filter(F.split(value, ""), lambda c: (c != "") & (F.ascii(c) < 256))
-    n = F.size(chars).cast("double")
-    parts = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double") / n)
-    return F.when(F.size(chars) > 0, F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
+    """Shannon entropy in bits a character, over characters below U+0100; 0 without any. Not rounded.
+
+    A character is counted by what its removal takes from the length, once for each that is there.
+    """
+
+    def of(v):
+        n = F.length(v).cast("double")
+        kinds = F.array_sort(F.filter(F.array_distinct(F.split(v, "")), lambda c: c != ""))
+        share = F.transform(kinds, lambda c: (n - F.length(F.replace(v, c, F.lit("")))) / n)
+        return F.when(F.length(v) > 0, F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
+
+    return bound(F.regexp_replace(value, r"[^\x00-\xFF]+", ""), of)
 
 
 def round_entropy(e: Column) -> Column:
@@ -35,23 +44,14 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def line_of(before: Column) -> Column:
-    """From what stands before a position: 1-based, line feeds only."""
-    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
-
-
-def column_of(before: Column) -> Column:
-    return (F.length(F.substring_index(before, "\n", -1)) + 1).cast("int")
-
-
 def is_safe_key(key: Column) -> Column:
     return F.coalesce(key.rlike(r"^[\p{L}\p{Nd}_.:-]+$"), F.lit(False))
 
 
 def bleeds(candidate: Column, value: Column, width: int = 4) -> Column:
-    """Whether a window of width characters of the value stands in the candidate."""
-    windows = F.transform(F.sequence(F.lit(1), F.length(value) - (width - 1)), lambda i: F.substring(value, i, F.lit(width)))
-    return F.when(F.length(value) >= width, F.exists(windows, lambda w: F.contains(candidate, w))).otherwise(F.lit(False))
+    """Whether a window of width characters of the value stands in the candidate, and so one of the candidate, which is short, in the value."""
+    windows = F.transform(F.sequence(F.lit(1), F.length(candidate) - (width - 1)), lambda i: F.substring(candidate, i, F.lit(width)))
+    return F.when((F.length(value) >= width) & (F.length(candidate) >= width), F.exists(windows, lambda w: F.contains(value, w))).otherwise(F.lit(False))
 
 
 def hint(secret_type: Column, key: Column, value: Column) -> Column:
@@ -87,10 +87,6 @@ def short_sha(sha: Column) -> Column:
     return F.substring(sha, 1, 7)
 
 
-def slashes(path: Column) -> Column:
-    return F.replace(path, F.lit("\\"), F.lit("/"))
-
-
 def hunk_start(header: Column) -> Column:
     """The first new line of a hunk: digits after the first plus sign, or 1."""
     return F.coalesce(F.regexp_extract(header, r"^[^+]*\+(\d*)", 1).try_cast("int"), F.lit(1))
@@ -129,10 +125,6 @@ def has_keyword(lowered: Column, keywords: tuple[str, ...] | list[str]) -> Colum
     return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(k.lower())) for k in keywords)) if keywords else F.lit(True)
 
 
-def present_keywords(lowered: Column, keywords: list[str]) -> Column:
-    return F.array_sort(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lowered, k)))
-
-
 def history_details(short: Column, when: Column, branches: Column, present: Column) -> Column:
     where = F.when(F.size(branches) > 0, F.array_join(branches, ", ")).otherwise("(detached)")
     state = F.when(present, "still present").otherwise("removed from working tree")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
 
 from ..functions import exprs as X
 
@@ -44,7 +43,8 @@ def enumerate_added(patch: str | None, fix_plus_lines: bool = False) -> list[tup
     for x in (patch or "").replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n"):
         if x.startswith("@@"):
             digits = "".join(c for c in _until_other(x.partition("+")[2]))
-            at = int(digits) if digits else 1
+            # What is no 32-bit number counts as none
+            at = int(digits) if digits and int(digits) < 1 << 31 else 1
         elif at < 0 or x.startswith(("-", "\\")) or (x.startswith("+++") and not fix_plus_lines):
             continue
         else:
@@ -62,20 +62,14 @@ def _until_other(text: str):
 
 
 def register_sql(spark: SparkSession) -> None:
-    """SQL: SELECT * FROM added_lines(patch)."""
-    from pyspark.sql.functions import udtf
+    """SQL: SELECT * FROM added_lines(patch), or beside a table of patches: FROM t, LATERAL added_lines(t.patch)."""
+    import pyarrow as pa
 
-    @udtf(returnType="line int, text string")
+    @F.arrow_udtf(returnType="line int, text string")
     class AddedLines:
-        def eval(self, patch: str):
-            for line, text in enumerate_added(patch):
-                yield Row(line=line, text=text)
+        def eval(self, patch: pa.Array):
+            for one in patch.to_pylist():
+                found = enumerate_added(one)
+                yield pa.table({"line": pa.array([n for n, _ in found], pa.int32()), "text": pa.array([t for _, t in found], pa.string())})
 
     spark.udtf.register("added_lines", AddedLines)
-
-
-def changed_files(diffs: DataFrame) -> DataFrame:
-    """Files that are not deleted, have text and at least one added line; added: the numbers of these lines. Diffs are read once."""
-    numbers = F.array_sort(F.array_distinct(F.transform(added(F.col("patch")), lambda a: a["line"])))
-    some = diffs.where((F.col("status") != "deleted") & (F.coalesce(F.col("content"), F.lit("")) != ""))
-    return some.withColumn("added", numbers).where(F.size("added") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import MESSAGE_FILE, REDACTED_AUTHOR, Detector, severity_rank
+from ..catalogue import MESSAGE_FILE, REDACTED_AUTHOR, Detector
 from ..functions import exprs as X
 from ..schemas import FINDING
 from .match import matches
@@ -30,10 +30,6 @@ def redacted(findings: DataFrame, include_pii: bool = False) -> DataFrame:
     return out
 
 
-def at_least(findings: DataFrame, severity: str) -> DataFrame:
-    return findings.where(X.severity_order(F.col("severity")) >= severity_rank(severity))
-
-
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 

@@ -1,25 +1,45 @@
 """Texts x detectors: all matches with their positions, as one scan.
 
-Detectors are unrolled into the plan as literals, behind tests of extension and keywords, so
-that Spark compiles each expression once and CASE skips texts that cannot match. Positions come
-from the gaps between matches, without a Python function. Values live in this projection only:
-what leaves it are hints, entropies and hashes.
+One pass over a batch of texts finds all keywords and leaves pieces: the lines with a keyword for
+detectors whose matches stay within a line, the whole text for the others. Detectors are unrolled
+into the plan as literals, behind a test of the piece, so that Spark compiles each expression once
+and CASE skips what cannot match. Positions come from the gaps between matches, without a Python
+function. Values live in this projection only: what leaves it are hints, entropies and hashes.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import Detector, severity_rank
 from ..functions import exprs as X
+from ..functions.keywords import Rule, pieces
+from ..functions.patches import holds
+
+
+def alone(regex: str) -> bool:
+    """Whether no part of an expression looks at what stands before or behind a match."""
+    bare = re.sub(r"\\[QE]", "$", regex)  # quotations are not looked into
+    bare = re.sub(r"\[(?:\\.|[^\]\\])*\]", "", re.sub(r"\\[^AbBGzZ]", "", bare))
+    return not re.search(r"[\^$\\\[]|\(\?<?[=!]", bare)
 
 
 def extracted(content: Column, d: Detector, order: int) -> Column:
     """What one detector finds in a text: its facts, the matches, what lies between them, and the groups."""
     rx = F.lit(d.regex)
     none = F.lit(None).cast("array<string>")
-    group = lambda n: none if n is None else F.regexp_extract_all(content, rx, F.lit(n))
+    every = F.regexp_extract_all(content, rx, F.lit(0))
+
+    def group(n: int | None) -> Column:
+        if n is None:
+            return none
+        # What an expression makes of a match alone is what it made of it in the text, if it does not look around
+        return F.transform(every, lambda w: F.regexp_extract(w, d.regex, n)) if alone(d.regex) else F.regexp_extract_all(content, rx, F.lit(n))
+
     facts = F.struct(
         F.lit(order).alias("detector_order"),
         F.lit(d.id).alias("detector_id"),
@@ -29,7 +49,7 @@ def extracted(content: Column, d: Detector, order: int) -> Column:
         F.lit(d.reject_placeholders).alias("strict"),
         F.lit(d.min_entropy).cast("double").alias("min_entropy"),
     )
-    return F.struct(facts.alias("d"), group(0).alias("whole"), F.split(content, d.regex, -1).alias("gaps"), group(1 if d.value_group else None).alias("before"), group(d.value_group or None).alias("value"), group(d.key_group).alias("key"))
+    return F.struct(facts.alias("d"), every.alias("whole"), F.split(content, d.regex, -1).alias("gaps"), group(1 if d.value_group else None).alias("before"), group(d.value_group or None).alias("value"), group(d.key_group).alias("key"))
 
 
 #: Pieces whose lengths are summed up one by one; beyond it by blocks.
@@ -71,30 +91,39 @@ def occurrences(x: Column) -> Column:
 
         return X.bound(heads, place)
 
+    alone = measure(F.concat(F.get(x["gaps"], F.lit(0)), F.coalesce(F.get(x["before"], F.lit(0)), F.lit(""))))
+    # Mostly there is one match: no sums, no inner functions
+    one = F.array(F.struct(alone["size"].alias("offset"), (alone["feeds"] + 1).alias("line"), (alone["tail"] + 1).alias("column"), F.coalesce(F.get(x["value"], F.lit(0)), F.get(x["whole"], F.lit(0))).alias("v"), F.get(x["key"], F.lit(0)).alias("k")))
+
     chunked = lambda pieces: F.transform(blocks, lambda b: F.slice(pieces, b * STEP + 1, F.lit(STEP)))
-    return X.bound(X.bound(stretches, chunked), placed)
+    return F.when(many == 1, one).otherwise(X.bound(X.bound(stretches, chunked), placed))
 
 
-def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path", content: str = "content", check_extension: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def matches(texts: DataFrame, detectors: tuple[Detector, ...], path: str = "path", content: str = "content", check_extension: bool = True, keep: tuple[str, ...] = (), patch: str | None = None) -> DataFrame:
     """A row for each match that holds up: keep, path as file, place, masked facts. Rejected: no value, placeholders, low entropy.
 
-    The text itself is not kept. entropy_exact is not rounded.
+    The text itself is not kept. entropy_exact is not rounded. patch: a column of patches; only
+    matches on lines that they add count, which is settled before matches become rows.
     """
     if not detectors:
         raise ValueError("no detectors")
-    row = texts.select(*keep, F.col(path).alias("file"), F.col(content).alias("c"), F.lower(content).alias("lc"), X.extension(F.col(path)).alias("ext")).where(F.length("c") > 0)
-    found = []
-    for order, d in enumerate(detectors):
-        applies = X.has_keyword(F.col("lc"), d.keywords)
-        if check_extension and d.extensions:
-            applies = F.col("ext").isin(*d.extensions) & applies
-        found.append(F.when(applies, extracted(F.col("c"), d, order)))
-    rows = row.select(*keep, "file", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.size("x.whole") > 0)
+    changes = [] if patch is None else [F.col(patch).alias("patch")]
+    row = texts.select(*keep, *changes, F.col(path).alias("file"), F.col(content).alias("c"), X.extension(F.col(path)).alias("ext")).where(F.length("c") > 0)
+    rules = [Rule(d.extensions if check_extension else (), d.keywords, d.one_line) for d in detectors]
+    row = row.select(*keep, "file", pieces(F.col("c"), F.col("ext"), rules, None if patch is None else F.col("patch")).alias("z"))
+    row = row.select(*keep, "file", F.col("z.starts").alias("starts"), F.col("z.stops").alias("stops"), F.explode("z.pieces").alias("p"))
+    row = row.select(*keep, "file", "starts", "stops", "p", F.explode("p.which").alias("which"))
+    found = [(F.col("which") == order, extracted(F.col("p.text"), d, order)) for order, d in enumerate(detectors)]
+    case = reduce(lambda c, w: c.when(*w), found[1:], F.when(*found[0]))
+    rows = row.select(*keep, "file", "starts", "stops", F.col("p.offset").alias("offset"), F.col("p.line").alias("line"), F.col("p.sure").alias("sure"), F.explode(F.array(case)).alias("x")).where(F.size("x.whole") > 0)
     # Only facts and places go on: an exploded row would carry all that the text held
-    rows = rows.select(*keep, "file", F.col("x.d").alias("d"), occurrences(F.col("x")).alias("found")).select(*keep, "file", "d", F.explode("found").alias("m"))
+    places = occurrences(F.col("x"))
+    if patch is not None:
+        places = F.when(F.col("sure"), places).otherwise(F.filter(places, lambda m: holds(F.col("starts"), F.col("stops"), m["line"] + F.col("line"))))
+    rows = rows.select(*keep, "file", "offset", "line", F.col("x.d").alias("d"), places.alias("found")).select(*keep, "file", "offset", "line", "d", F.explode("found").alias("m"))
     v, k = F.col("m.v"), F.col("m.k")
     rows = rows.where(v != "").where(~F.col("d.strict") | ~X.is_placeholder(v))
-    rows = rows.select(*keep, "file", "d.*", F.col("m.line").alias("line"), F.col("m.column").alias("column"), F.col("m.offset").alias("offset"), X.hint(F.col("d.secret_type"), k, v).alias("hint"), X.entropy(v).alias("entropy_exact"), X.hash16(v).alias("hash16"))
+    rows = rows.select(*keep, "file", "d.*", (F.col("m.line") + F.col("line")).alias("line"), F.col("m.column").alias("column"), (F.col("m.offset") + F.col("offset")).alias("offset"), X.hint(F.col("d.secret_type"), k, v).alias("hint"), X.entropy(v).alias("entropy_exact"), X.hash16(v).alias("hash16"))
     return rows.where(F.col("min_entropy").isNull() | (F.col("entropy_exact") >= F.col("min_entropy"))).drop("strict", "min_entropy")
 
 

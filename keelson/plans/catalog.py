@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import BINARY_EXTENSIONS, DEFAULT_EXCLUDES, DETECTORS, GENERATED_EXCLUDES, HIGH_ENTROPY, PLACEHOLDERS, Detector, keywords, library
 from ..functions import exprs as X
+from ..functions.keywords import present
 from ..operators import baseline, diff, findings, graph, history, match
 from ..sources.tree import decoded
 from ..streaming.sessions import latest_per_path, sessions
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 KEYS = ("file", "line", "column", "detector_id", "secret_type", "severity", "hint", "entropy", "hash16")
 EVERYTHING = (*DETECTORS, HIGH_ENTROPY)
+MARK = Detector("custom.mark", "Mark", "low", "[=;]")
 TOKEN = Detector("custom.token", "Token", "high", '(token = ")([0-9a-f]{40})"', None, 2, keywords=("token",))
 
 
@@ -83,7 +85,7 @@ def files_skipped(spark, sf_dir):
 
 @query("SELECT path FROM v_files WHERE contains(lower(content), 'akia') OR contains(lower(content), 'ghp_')")
 def keyword_prefilter(spark, sf_dir):
-    return files(spark, sf_dir).where(X.has_keyword(F.lower("content"), ("AKIA", "ghp_"))).select("path")
+    return files(spark, sf_dir).where(F.size(present(F.col("content"), ["AKIA", "ghp_"])) > 0).select("path")
 
 
 def words_sql(words: list[str]) -> str:
@@ -92,7 +94,7 @@ def words_sql(words: list[str]) -> str:
 
 @query(f"SELECT path, array_to_string(list_sort([k for k in [{words_sql(keywords(EVERYTHING))}] if contains(lower(content), k)]), ',') AS keywords FROM v_files")
 def present_keywords(spark, sf_dir):
-    return files(spark, sf_dir).select("path", F.array_join(X.present_keywords(F.lower("content"), keywords(EVERYTHING)), ",").alias("keywords"))
+    return files(spark, sf_dir).select("path", F.array_join(present(F.col("content"), keywords(EVERYTHING)), ",").alias("keywords"))
 
 
 def may_match_sql() -> str:
@@ -256,11 +258,10 @@ def hash16(spark, sf_dir):
 
 @query("SELECT path, CAST(place AS INT) AS place, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS INT) AS line, CAST(length(p) - coalesce(length(p) - nullif(instr(reverse(p), chr(10)), 0) + 1, 0) + 1 AS INT) AS \"column\" FROM (SELECT path, place, content[: place - 1] AS p FROM (SELECT path, content, unnest(range(1, length(content) + 1)) AS place FROM v_files) WHERE content[place] IN ('=', ';'))")
 def line_column(spark, sf_dir):
-    """Line and column of every = and ; of whole files."""
-    places = F.filter(F.sequence(F.lit(1), F.length("content")), lambda i: F.substring(F.col("content"), i, F.lit(1)).isin("=", ";"))
-    marks = files(spark, sf_dir).where(F.length("content") > 0).select("path", "content", F.explode(places).alias("place"))
-    before = F.substring(F.col("content"), F.lit(1), F.col("place") - 1)
-    return marks.select("path", "place", X.line_of(before).alias("line"), X.column_of(before).alias("column"))
+    """Line and column of every = and ; of whole files, as the scan finds places."""
+    found = match.occurrences(match.extracted(F.col("content"), MARK, 0))
+    marks = files(spark, sf_dir).where(F.length("content") > 0).select("path", F.explode(found).alias("m"))
+    return marks.select("path", (F.col("m.offset") + 1).cast("int").alias("place"), F.col("m.line").cast("int").alias("line"), F.col("m.column").cast("int").alias("column"))
 
 
 @query("SELECT v, CASE WHEN regexp_matches(v, '^[A-Za-z0-9_.:-]+$') AND NOT contains(v || '=***', 'k=**') THEN v || '=***' ELSE 'ApiKey=***' END AS hint FROM " + SAMPLES_SQL)

@@ -37,8 +37,9 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def workers_find_package(spark: SparkSession) -> None:
+def workers_find_package(spark: SparkSession | None = None) -> None:
     """Python workers look for the package where the driver found it."""
+    spark = spark or SparkSession.active()
     there, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in there.get("PYTHONPATH", "").split(os.pathsep):
         there["PYTHONPATH"] = os.pathsep.join(filter(None, [root, there.get("PYTHONPATH", "")]))
