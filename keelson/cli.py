@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from . import report, requests
-from .engine import Engine
+from .engine import Engine, OverCap
 from .operators import baseline, history
 from .sources import config, git
 from .sources.tree import ScanOptions
@@ -58,7 +58,7 @@ def parser() -> Parser:
     common(past)
     past.add_argument("--branch", help="one branch instead of all")
     past.add_argument("--since", type=requests.instant, help="commits at or after this instant")
-    past.add_argument("--max-commits", type=whole, default=1000)
+    past.add_argument("--max-commits", type=lambda text: requests.commits(int(text)), default=1000)
     for name in ("--all-history", "--still-present-only", "--removed-only", "--no-tags", "--include-unreachable", "--no-scan-commit-messages"):
         past.add_argument(name, action="store_true")
     return top
@@ -110,16 +110,15 @@ def watched(engine: Engine, o: argparse.Namespace, out: Out, once: bool = False,
 
 def past(spark: SparkSession, o: argparse.Namespace, out: Out) -> int:
     if o.still_present_only and o.removed_only:
-        raise Wrong("--still-present-only and --removed-only are mutually exclusive")
+        raise Wrong("choose one of --still-present-only and --removed-only")
     if git.toplevel(o.path if os.path.isdir(o.path) else os.path.dirname(o.path) or ".") is None:
         raise Wrong(f"not a git repository: {o.path}")
     engine = Engine(spark, options=ScanOptions(severity=o.severity, include_pii=o.include_pii))
-    if not o.all_history:
-        n = engine.reachable(o.path, o.since, branch=o.branch, tags=not o.no_tags)
-        if n > o.max_commits:
-            print(f"warning: repository has {n} reachable commits, exceeding --max-commits {o.max_commits}. Re-run with --all-history to scan the full history, or raise --max-commits.", file=sys.stderr)
-            return 2
-    result = engine.scan_history(o.path, o.branch, o.since, None if o.all_history else o.max_commits, not o.no_tags, o.include_unreachable, not o.no_scan_commit_messages)
+    try:
+        result = engine.scan_history(o.path, o.branch, o.since, None if o.all_history else o.max_commits, not o.no_tags, o.include_unreachable, not o.no_scan_commit_messages, refuse_over_cap=True)
+    except OverCap as e:
+        print(f"warning: {e.commits} commits can be reached and --max-commits is {e.cap}; nothing was scanned. --all-history scans them all, a larger --max-commits does too.", file=sys.stderr)
+        return 2
     found = history.view(result.findings, o.still_present_only, o.removed_only)
     shown(found, o, out)
     return 0 if found.isEmpty() else 1

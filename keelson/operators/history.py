@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import Detector
 from ..functions import exprs as X
 from ..schemas import HISTORY
-from .diff import changed_files
 from .findings import message_findings
 from .match import matches
 
 
+@dataclass
+class History:
+    """A history as tables: commits, refs, files as they are now (path, content), and the changes of some commits.
+
+    diffs gets commits and their number, and gives a row for each file that one of them changed.
+    """
+
+    commits: DataFrame
+    refs: DataFrame
+    tree: DataFrame
+    diffs: Callable[[DataFrame, int], DataFrame]
+
+    @staticmethod
+    def of_tables(commits: DataFrame, refs: DataFrame, tree: DataFrame, diffs: DataFrame) -> History:
+        """From a table of all changes."""
+        return History(commits, refs, tree, lambda some, _: diffs.join(some.select("sha"), "sha", "left_semi"))
+
+
 def file_matches(commits: DataFrame, diffs: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:
-    """Matches whose line a commit added."""
-    texts = changed_files(diffs).join(commits.select("sha", "author_when", F.coalesce("author_name", F.lit("(unknown)")).alias("author_name")), "sha")
-    found = matches(texts, detectors, keep=("sha", "author_when", "author_name", "added"))
-    return found.where(F.array_contains("added", F.col("line"))).drop("added")
+    """Matches whose line a commit added, in files that are not deleted. Texts stay where they are read; commits meet matches only."""
+    found = matches(diffs.where("status <> 'deleted'"), detectors, keep=("sha",), patch="patch")
+    return found.join(commits.select("sha", "author_when", F.coalesce("author_name", F.lit("(unknown)")).alias("author_name")), "sha")
 
 
 def earliest(found: DataFrame) -> DataFrame:
@@ -39,10 +58,15 @@ def with_branches(found: DataFrame, membership: DataFrame) -> DataFrame:
 
 def findings(commits: DataFrame, diffs: DataFrame, membership: DataFrame, present: DataFrame, detectors: tuple[Detector, ...], messages: bool = True) -> DataFrame:
     """History and message findings in one wide schema."""
-    files = with_branches(with_presence(earliest(file_matches(commits, diffs, detectors)), present), membership).withColumn("source", F.lit("history"))
-    if messages:
-        texts = earliest(message_findings(commits, detectors)).withColumn("source", F.lit("commitMessage"))
-        files = files.unionByName(texts, allowMissingColumns=True)
+    files = earliest(file_matches(commits, diffs, detectors))
+    return assembled(files, earliest(message_findings(commits, detectors)) if messages else None, membership, present)
+
+
+def assembled(files: DataFrame, messages: DataFrame | None, membership: DataFrame, present: DataFrame) -> DataFrame:
+    """The same from the earliest matches of either kind."""
+    files = with_branches(with_presence(files, present), membership).withColumn("source", F.lit("history"))
+    if messages is not None:
+        files = files.unionByName(messages.withColumn("source", F.lit("commitMessage")), allowMissingColumns=True)
     files = files.withColumn("entropy", X.round_entropy(F.col("entropy_exact")))
     return files.withColumn("commit_sha", F.col("sha")).withColumn("commit_short", X.short_sha(F.col("sha"))).withColumn("commit_date", F.col("author_when")).select(*HISTORY)
 

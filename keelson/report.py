@@ -61,9 +61,10 @@ def to_json(findings: DataFrame) -> str:
     return json.dumps({"schemaVersion": SCHEMA_VERSION, "toolVersion": TOOL_VERSION, "findings": list(dictionaries(findings))}, indent=2, ensure_ascii=False)
 
 
-def to_wire(findings: DataFrame, truncated: bool = False, commits_walked: int | None = None, error: str | None = None) -> str:
-    """For agents: no entropy, no authors."""
-    body = {"findings": list(dictionaries(findings, ("entropy", "author_name"))), "truncated": truncated, "commitsWalked": commits_walked, "error": error}
+def to_wire(findings: DataFrame | None, truncated: bool = False, error: str | None = None, **facts: Any) -> str:
+    """For agents: no entropy, no authors. facts: what the scan counted."""
+    rows = [] if findings is None else list(dictionaries(findings, ("entropy", "author_name")))
+    body = {"schemaVersion": SCHEMA_VERSION, "truncated": truncated, "truncatedReason": "a limit of time or number was reached" if truncated else None, **facts, "findings": rows, "error": error}
     return json.dumps({k: v for k, v in body.items() if v is not None}, ensure_ascii=False)
 
 

@@ -11,3 +11,4 @@ BASELINE = "schemaVersion string, toolVersion string, entries array<struct<file:
 FINDING = ("source", "file", "line", "column", "secret_type", "severity", "hint", "entropy", "suggested_fix")
 HISTORY = (*FINDING, "commit_sha", "commit_short", "commit_date", "author_name", "branches", "still_present")
 FORBIDDEN = frozenset({"value", "secret", "raw", "content", "rawvalue", "secretvalue"})
+HISTORY_ROWS = "source string, file string, line int, column int, secret_type string, severity string, hint string, entropy double, suggested_fix string, commit_sha string, commit_short string, commit_date timestamp, author_name string, branches array<string>, still_present boolean"

@@ -32,10 +32,11 @@ class ScanOptions:
     max_files: int | None = None
 
 
-def walk(root: str, o: ScanOptions) -> Iterator[tuple[str, str, int]]:
+def walk(root: str, o: ScanOptions, folder: str = "", deep: bool = True) -> Iterator[tuple[str, str, int]]:
     """(full path, path from root with /, bytes) of files in scope. Folders that cannot be read are skipped; a missing root is empty.
 
-    A single file is in scope whatever the globs say; links, size and extension still count.
+    folder: where to begin below root; deep: whether to go on into the folders there. A single
+    file is in scope whatever the globs say; links, size and extension still count.
     """
     import re
 
@@ -56,7 +57,7 @@ def walk(root: str, o: ScanOptions) -> Iterator[tuple[str, str, int]]:
         if (size := fits(root)) is not None:
             yield root, os.path.basename(root), size
         return
-    pending, seen = [root], set()
+    pending, seen = [os.path.join(root, folder) if folder else root], set()
     while pending:
         folder = pending.pop()
         if os.path.abspath(folder).lower() in seen:
@@ -68,7 +69,8 @@ def walk(root: str, o: ScanOptions) -> Iterator[tuple[str, str, int]]:
             continue
         for e in entries:
             if e.is_dir(follow_symlinks=o.follow_symlinks):
-                pending.append(e.path)
+                if deep:
+                    pending.append(e.path)
             elif e.is_file(follow_symlinks=True):
                 path = os.path.relpath(e.path, root).replace(os.sep, "/")
                 if any(r.match(path) for r in wanted) and not any(r.match(path) for r in dropped) and (size := fits(e.path)) is not None:
@@ -91,6 +93,7 @@ def decode(data: bytes) -> str | None:
 
 def decoded(data: Column) -> Column:
     """decode as a column."""
+    workers_find_package()
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:

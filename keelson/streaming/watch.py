@@ -2,98 +2,41 @@
 
 from __future__ import annotations
 
-import json
 import os
-import time
 from collections.abc import Callable
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogue import Detector
 from ..operators.findings import working_tree
-from ..sources.shared import workers_find_package
-from ..sources.tree import ScanOptions, decode, walk
-from .sessions import latest_per_path
+from ..sources.tree import ScanOptions
+from .changes import changes, opened
+from .debounce import GAP_MS, PROVIDER, debounced
 
-DEBOUNCE = "300 milliseconds"
+#: How often folders are listed.
+EVERY = "100 milliseconds"
 
 
-class ChangeReader(SimpleDataSourceStreamReader):
-    """Files that were made or changed since the offset; deletions are not reported. The offset is the newest change time seen."""
+def watch(spark: SparkSession, root: str, detectors: tuple[Detector, ...], report: Callable[[DataFrame], None], checkpoint: str, since_ns: int | None = None, once: bool = False, failed: Callable[[str], None] = print, options: ScanOptions | None = None, gap_ms: int = GAP_MS) -> StreamingQuery:
+    """Reports the findings of changed files that the options have in scope, gap_ms after the last change.
 
-    def __init__(self, root: str, since: int, options: ScanOptions):
-        self.root, self.since, self.options = root, since, options
-
-    def initialOffset(self):
-        return {"ns": self.since}
-
-    def _between(self, low: int, high: int | None):
-        rows = []
-        for full, path, _ in walk(self.root, self.options):
-            try:
-                at = os.stat(full).st_mtime_ns
-            except OSError:
-                continue
-            if at > low and (high is None or at <= high):
-                rows.append((path, "changed", at))
-        return rows
-
-    def read(self, start):
-        rows = self._between(start["ns"], None)
-        end = {"ns": max([start["ns"], *(r[2] for r in rows)])}
-        return iter([(p, k, r / 1e9) for p, k, r in rows]), end
-
-    def readBetweenOffsets(self, start, end):
-        return iter([(p, k, r / 1e9) for p, k, r in self._between(start["ns"], end["ns"])])
-
-
-class ChangeSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "keelson_changes"
-
-    def schema(self):
-        return "path string, kind string, at double"
-
-    def simpleStreamReader(self, schema):
-        chosen = json.loads(self.options.get("scan", "{}"))
-        chosen = ScanOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in chosen.items()})
-        return ChangeReader(self.options["path"], int(self.options.get("since", time.time_ns())), chosen)
-
-
-def changes(spark: SparkSession, root: str, since_ns: int | None = None, options: ScanOptions | None = None) -> DataFrame:
-    workers_find_package(spark)
-    spark.dataSource.register(ChangeSource)
-    stream = spark.readStream.format("keelson_changes").option("scan", json.dumps(asdict(options or ScanOptions())))
-    if since_ns is not None:
-        stream = stream.option("since", str(since_ns))
-    return stream.load(root)
-
-
-def watch(spark: SparkSession, root: str, detectors: tuple[Detector, ...], report: Callable[[DataFrame], None], checkpoint: str, since_ns: int | None = None, once: bool = False, failed: Callable[[str], None] = print, options: ScanOptions | None = None) -> StreamingQuery:
-    """Reports the findings of changed files that the options have in scope. Each path once a flush; files that are gone by then are left out.
-
-    A flush that fails names the kind of error only and does not end the watch.
+    Each path once a flush; files that are gone by then are left out. Pending paths are in the
+    checkpoint: a restart loses none. A flush that fails names the kind of error only and does not
+    end the watch. once: what has changed up to now, without waiting for a gap.
     """
+    own = spark.newSession()  # its settings are the watch's own
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    own.conf.set("spark.sql.shuffle.partitions", "1")  # one timer: one group
 
     def flush(batch: DataFrame, _: int) -> None:
         try:
-            rows = []
-            for r in latest_per_path(batch.selectExpr("path", "timestamp_micros(cast(at * 1000000 as bigint)) as ts")).join(batch.selectExpr("path as original", "lower(path) as path").dropDuplicates(["path"]), "path").collect():
-                try:
-                    with open(os.path.join(root, r.original), "rb") as f:
-                        text = decode(f.read())
-                except OSError:
-                    continue
-                if text:
-                    rows.append((r.original, text))
-            if rows:
-                report(working_tree(spark.createDataFrame(rows, "path string, content string"), detectors))
+            paths = batch.select("path").dropDuplicates()
+            if not paths.isEmpty():
+                report(working_tree(opened(paths, os.path.abspath(root)), detectors))
         except Exception as e:  # noqa: BLE001
             failed(type(e).__name__)
 
-    out = changes(spark, root, since_ns, options).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=DEBOUNCE)).start()
+    seen = changes(own, root, os.path.join(checkpoint.removeprefix("file://"), "manifests"), since_ns, options)
+    out = (seen if once else debounced(seen, gap_ms)).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=EVERY)).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keelson import report
 from keelson.catalogue import DETECTORS, HIGH_ENTROPY, Detector, library
-from keelson.engine import Engine
+from keelson.engine import Engine, OverCap
 from keelson.functions import exprs as X
 from keelson.operators import baseline, diff, findings
 from keelson.schemas import FORBIDDEN
@@ -173,7 +173,10 @@ def test_history_of_a_repository(spark, tmp_path):
     key = rows["history", "AwsAccessKey"]
     assert (key.commit_sha, key.line, key.still_present, key.branches, key.author_name) == (first, 2, False, ["main", "other"], "[redacted]")
     assert rows["history", "ConnectionString"].still_present and rows["commitMessage", "AwsAccessKey"].file == "<commit-message>"
-    assert Engine(spark).over_cap(str(tmp_path), 3) and not Engine(spark).over_cap(str(tmp_path), 4)
+    with pytest.raises(OverCap, match="4 commits"):
+        Engine(spark).scan_history(str(tmp_path), max_commits=3, refuse_over_cap=True)
+    capped = Engine(spark).scan_history(str(tmp_path), max_commits=3)
+    assert capped.truncated and capped.commits_walked == 3
 
 
 def test_watch_reports_changes(spark, tmp_path):
