@@ -160,18 +160,19 @@ class Stop:
             return job()
         if self.over():
             return None
-        tag, out = f"keelson-{uuid.uuid4().hex}", []
+        tag, out, context = f"keelson-{uuid.uuid4().hex}", [], self.spark.sparkContext
 
         def tagged() -> None:
-            self.spark.addTag(tag)
+            context.addJobTag(tag)
+            context.setInterruptOnCancel(True)
             try:
                 out.append((job(), None))
             except Exception as e:  # noqa: BLE001
                 out.append((None, e))
             finally:
-                self.spark.removeTag(tag)
+                context.removeJobTag(tag)
 
-        worker = InheritableThread(target=tagged, session=self.spark)
+        worker = InheritableThread(target=tagged)
         worker.start()
         late = False
         while worker.is_alive():
@@ -179,7 +180,7 @@ class Stop:
             if self.over() and worker.is_alive():
                 # Again and again: a job may be between two stages when the first call comes
                 late = True
-                self.spark.interruptTag(tag)
+                context.cancelJobsWithTag(tag)
         result, error = out[0]
         if error is not None and not late:
             raise error
