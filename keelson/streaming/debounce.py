@@ -28,7 +28,7 @@ class Debounce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getMapState("pending", "name string", FLUSHED)
-        self.due = handle.getValueState("due", "ms long")
+        self.timer = handle.getValueState("timer", "last double, due long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = None
@@ -39,18 +39,19 @@ class Debounce(StatefulProcessor):
                     self.pending.updateValue(name, (path, float(at)))
                 last = at if last is None else max(last, at)
         if last is not None:
-            due, before = int(last * 1000) + self.gap_ms, self.due.get()
+            before = self.timer.get()
             if before is not None:
-                due = max(due, before[0])
-                self.handle.deleteTimer(before[0])
-            self.due.update((due,))
+                last = max(last, before[0])
+                self.handle.deleteTimer(before[1])
+            due = int(last * 1000) + self.gap_ms
+            self.timer.update((float(last), due))
             self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         rows = [tuple(v) for _, v in self.pending.iterator()]
         self.pending.clear()
-        self.due.clear()
+        self.timer.clear()
         yield pd.DataFrame(rows, columns=["path", "at"])
 
     def close(self) -> None:
