@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         there = sc.getCheckpointDir()
         if not there:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
             there = sc.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():

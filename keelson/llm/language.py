@@ -32,6 +32,7 @@ from .kernels import flat
 DIMENSIONS = 1 << 14
 GRAMS = (1, 2, 3)
 PER_LANGUAGE, LANDMARKS, RIDGE = 300, 40, 0.3
+#: Bytes of a labelled text; longer ones are not learnt from, but predicted like the others.
 LONGEST = 1 << 16
 #: The sample's first step deals rows by the number of their partition modulo this.
 LOTS = 64
@@ -115,9 +116,10 @@ def held_out(modulus: int, rest: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == rest
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Model | None:
+    """From at most per_language labelled rows of each language, none of more than longest bytes."""
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    own = own.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
+    own = own.where(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     few = own.select("doc_id", "lang", (F.spark_partition_id() % LOTS).alias("lot"))
     for part in (["lang", "lot"], ["lang"]):  # the least of each lot first: no task takes rows of all partitions
         order = Window.partitionBy(*part).orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -147,9 +149,9 @@ def predicted(model: Model | None):
     return run
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     tune(docs.sparkSession)
-    model = model or learn(docs)
+    model = model or learn(docs, per_language, longest)
     x = docs.select("doc_id", held_out(4, 2).alias("held_out"), predicted(model)(F.col("text").cast("string")).alias("x"))
     return x.select("doc_id", "held_out", "x.lang_pred", "x.score")

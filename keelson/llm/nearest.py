@@ -18,7 +18,8 @@ slice is read: what driver and workers hold is bounded. Recall was measured agai
 
 Vectors that are null, zero, of another length than most (no distance to the others), or hold
 null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a
-vec_id are candidates each, but for the query of that id, which is asked once. Tables without
+vec_id are candidates each, but for the query of that id, which is asked once, with the least of
+its vectors (compared component by component). Tables without
 usable vectors give an empty result. Extra columns are ignored.
 """
 
@@ -153,7 +154,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str
         return nothing
     pivots = np.unique(np.array([r.x for r in sample]), axis=0)
     pivots = pivots[np.random.default_rng(17).permutation(len(pivots))[:PIVOTS]]
-    asked = rows.where("asked").select("vec_id", F.transform("x", lambda v: v.cast("double")).alias("x")).dropDuplicates(["vec_id"]).orderBy("vec_id")
+    asked = rows.where("asked").select("vec_id", F.transform("x", lambda v: v.cast("double")).alias("x")).groupBy("vec_id").agg(F.min("x").alias("x")).orderBy("vec_id")
     found, ids, queries = None, [], []
 
     def one_pass():

@@ -214,9 +214,9 @@ def scored(model: Model | None):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and prediction of every document."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
+    """doc_id, held_out, score and prediction of every document. sample, longest: labelled texts, and passages of one of them, that are learnt from."""
     tune(docs.sparkSession)
-    model = learn(docs, labels)
+    model = learn(docs, labels, sample, longest)
     x = docs.select("doc_id", held_out(5, 0).alias("held_out"), scored(model)(F.col("text").cast("string")).alias("score"))
     return x.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
