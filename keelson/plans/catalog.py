@@ -14,7 +14,9 @@ from ..functions.keywords import present
 from ..operators import baseline, diff, findings, graph, history, match
 from ..sources.tree import decoded
 from ..streaming.sessions import latest_per_path, sessions
+from . import facts
 from .derived import view, with_views
+from .facts import Facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,18 +94,19 @@ def words_sql(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-@query(f"SELECT path, array_to_string(list_sort([k for k in [{words_sql(keywords(EVERYTHING))}] if contains(lower(content), k)]), ',') AS keywords FROM v_files")
+@query(f"SELECT path, array_to_string(list_sort([k for k in [{words_sql(facts.KEYWORDS)}] if contains(lower(content), k)]), ',') AS keywords FROM v_files")
 def present_keywords(spark, sf_dir):
     return files(spark, sf_dir).select("path", F.array_join(present(F.col("content"), keywords(EVERYTHING)), ",").alias("keywords"))
 
 
+def fits_sql(f: Facts, path: str = "path", content: str = "content", check_extension: bool = True) -> str:
+    ext = f"regexp_extract(lower({path}), '(\\.[^./]*)$', 1) IN ({words_sql(f.extensions.split())})" if f.extensions and check_extension else "true"
+    kw = " OR ".join(f"contains(lower({content}), '{k}')" for k in f.keywords.split("\n") if k) or "true"
+    return f"{ext} AND ({kw})"
+
+
 def may_match_sql() -> str:
-    parts = []
-    for d in EVERYTHING:
-        ext = f"{EXT} IN ({', '.join(repr(x) for x in d.extensions)})" if d.extensions else "true"
-        kw = " OR ".join(f"contains(lower(content), '{k.lower()}')" for k in d.keywords) or "true"
-        parts.append(f"SELECT path AS file, '{d.id}' AS detector_id FROM v_files WHERE {ext} AND ({kw})")
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(f"SELECT path AS file, '{f.id}' AS detector_id FROM v_files WHERE {fits_sql(f)}" for f in (*facts.FACTS, facts.HIGH_ENTROPY))
 
 
 @query(may_match_sql())
@@ -113,59 +116,46 @@ def detector_theta_join(spark, sf_dir):
 
 # --- detectors
 
-#: Appendix of the regular expressions that DuckDB runs: ASCII classes, which is all that the derived texts hold.
-_ASCII = ((r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]", "[A-Za-z0-9_]"), (r"[\s\u0085\p{Z}]", r"\s"))
-
-
-def ascii_regex(d: Detector) -> str:
-    rx = d.regex
-    rx = rx.replace(f"(?:(?<={_ASCII[0][0]})(?!{_ASCII[0][0]})|(?<!{_ASCII[0][0]})(?={_ASCII[0][0]}))", r"\b")
-    rx = rx.replace(f"(?<!{_ASCII[0][0]})", r"\b").replace(f"(?!{_ASCII[0][0]})", r"\b")
-    return rx.replace(_ASCII[1][0], _ASCII[1][1])
-
-
 ENTROPY_SQL = "(SELECT coalesce(-sum(p * log2(p)), 0.0) FROM (SELECT count(*) / length(v)::DOUBLE AS p FROM unnest(string_split(v, '')) AS t(c) GROUP BY c))"
 PLACEHOLDER_SQL = "(trim(trim(v), '\"''') = '' OR lower(trim(trim(v), '\"''')) IN ({}) OR regexp_matches(trim(trim(v), '\"'''), '^[*xX_.?]*$'))".format(words_sql(PLACEHOLDERS))
 
 
-def detect_sql(d: Detector, table: str = "v_files", path: str = "path", content: str = "content", extra: str = "", check_extension: bool = True) -> str:
+def detect_sql(f: Facts, table: str = "v_files", path: str = "path", content: str = "content", extra: str = "", check_extension: bool = True) -> str:
     """All matches of one detector, by positions of whole matches and lengths of what precedes the value."""
-    rx = ascii_regex(d).replace("'", "''")
-    ext = f"regexp_extract(lower({path}), '(\\.[^./]*)$', 1) IN ({', '.join(repr(x) for x in d.extensions)})" if d.extensions and check_extension else "true"
-    kw = " OR ".join(f"contains(lower({content}), '{k.lower()}')" for k in d.keywords) or "true"
-    value = f"regexp_extract_all({content}, '{rx}', {d.value_group})"
-    before = f"[length(x) for x in regexp_extract_all({content}, '{rx}', 1)]" if d.value_group else "[0 for x in m]"
-    key = f"regexp_extract_all({content}, '{rx}', {d.key_group})" if d.key_group else "[NULL for x in m]"
-    low = d.min_entropy if d.min_entropy is not None else -1
-    keep = f"AND NOT {PLACEHOLDER_SQL}" if d.reject_placeholders else ""
-    return f"""SELECT {extra} file, '{d.id}' AS detector_id, '{d.secret_type}' AS secret_type, '{d.severity}' AS severity, {EVERYTHING.index(d) if d in EVERYTHING else 0} AS detector_order, off, pre,
+    rx = f.regex.replace("'", "''")
+    value = f"regexp_extract_all({content}, '{rx}', {f.group('value') or 0})"
+    before = f"[length(x) for x in regexp_extract_all({content}, '{rx}', 1)]" if f.groups else "[0 for x in m]"
+    key = f"regexp_extract_all({content}, '{rx}', {f.group('key')})" if f.group("key") else "[NULL for x in m]"
+    keep = f"AND NOT {PLACEHOLDER_SQL}" if f.reject_placeholders else ""
+    order = facts.FACTS.index(f) if f in facts.FACTS else len(facts.FACTS) if f == facts.HIGH_ENTROPY else 0
+    return f"""SELECT {extra} file, '{f.id}' AS detector_id, '{f.secret_type}' AS secret_type, '{f.severity}' AS severity, {order} AS detector_order, off, pre,
  CAST(length(pre) - length(replace(pre, chr(10), '')) + 1 AS INT) AS line, CAST(length(pre) - coalesce(length(pre) - nullif(instr(reverse(pre), chr(10)), 0) + 1, 0) + 1 AS INT) AS "column",
- CASE WHEN k IS NOT NULL AND regexp_matches(k, '^[A-Za-z0-9_.:-]+$') AND NOT (length(v) >= 4 AND EXISTS (SELECT 1 FROM range(1, length(v) - 2) AS w(i) WHERE contains(k || '=***', substr(v, i::INT, 4)))) THEN k || '=***' ELSE '{d.secret_type}=***' END AS hint,
+ CASE WHEN k IS NOT NULL AND regexp_matches(k, '^[A-Za-z0-9_.:-]+$') AND NOT (length(v) >= 4 AND EXISTS (SELECT 1 FROM range(1, length(v) - 2) AS w(i) WHERE contains(k || '=***', substr(v, i::INT, 4)))) THEN k || '=***' ELSE '{f.secret_type}=***' END AS hint,
  {ENTROPY_SQL} AS e, upper(substr(sha256(v), 1, 32)) AS hash16
 FROM (SELECT *, c[: off] AS pre FROM (SELECT {extra} file, c, v, k, list_sum([length(g) for g in gaps[1 : i]]) + coalesce(list_sum([length(x) for x in m[1 : i - 1]]), 0) + b AS off
  FROM (SELECT {extra} file, c, m, gaps, unnest(vs) AS v, unnest(ks) AS k, unnest(bs) AS b, unnest(range(1, len(m) + 1)) AS i
- FROM (SELECT *, {before.replace(content, 'c')} AS bs, {key.replace(content, 'c')} AS ks FROM (SELECT {extra} {path} AS file, {content} AS c, regexp_extract_all({content}, '{rx}') AS m, {value} AS vs, string_split_regex({content}, '{rx}') AS gaps FROM {table} WHERE {ext} AND ({kw}))))))
-WHERE v <> '' {keep} AND e >= {low}"""
+ FROM (SELECT *, {before.replace(content, 'c')} AS bs, {key.replace(content, 'c')} AS ks FROM (SELECT {extra} {path} AS file, {content} AS c, regexp_extract_all({content}, '{rx}') AS m, {value} AS vs, string_split_regex({content}, '{rx}') AS gaps FROM {table} WHERE {fits_sql(f, path, content, check_extension)})))))
+WHERE v <> '' {keep} AND e >= {f.min_entropy}"""
 
 
 OUT_SQL = 'file, line, "column", detector_id, secret_type, severity, hint, round(e + 1e-12, 1) AS entropy, hash16'
-for _d in EVERYTHING:
+for _d, _f in zip(EVERYTHING, (*facts.FACTS, facts.HIGH_ENTROPY), strict=True):
 
     def _detect(spark, sf_dir, d=_d):
         m = match.matches(files(spark, sf_dir), (d,))
         return m.withColumn("entropy", X.round_entropy(F.col("entropy_exact"))).select(*KEYS)
 
-    query(f"SELECT {OUT_SQL} FROM ({detect_sql(_d)})", f"detect_{_d.id.replace('.', '_')}")(_detect)
+    query(f"SELECT {OUT_SQL} FROM ({detect_sql(_f)})", f"detect_{_f.id.replace('.', '_')}")(_detect)
 
 
-@query(f"SELECT {OUT_SQL} FROM ({detect_sql(TOKEN, 'documents', 'cast(doc_id AS varchar)', 'text')})")
+@query(f"SELECT {OUT_SQL} FROM ({detect_sql(facts.TOKEN, 'documents', 'cast(doc_id AS varchar)', 'text')})")
 def detect_custom_token(spark, sf_dir):
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     m = match.matches(texts, (TOKEN,))
     return m.withColumn("entropy", X.round_entropy(F.col("entropy_exact"))).select(*KEYS)
 
 
-ALL_SQL = " UNION ALL ".join(f"({detect_sql(d)})" for d in DETECTORS)
+ALL_SQL = " UNION ALL ".join(f"({detect_sql(f)})" for f in facts.FACTS)
 RANK_SQL = "CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 
 
@@ -348,7 +338,7 @@ def diff_added_lines(spark, sf_dir):
     return diff.added_lines(view(spark, sf_dir, "v_diffs"))
 
 
-DIFF_MATCH_SQL = " UNION ALL ".join(f"({detect_sql(d, 'v_diffs', 'path', 'content', 'sha, status,')})" for d in DETECTORS)
+DIFF_MATCH_SQL = " UNION ALL ".join(f"({detect_sql(f, 'v_diffs', 'path', 'content', 'sha, status,')})" for f in facts.FACTS)
 SEMI_SQL = f"SELECT m.* FROM ({DIFF_MATCH_SQL}) m JOIN (SELECT DISTINCT sha, path, line FROM {ADDED_SQL}) a ON a.sha = m.sha AND a.path = m.file AND a.line = m.line WHERE m.status <> 'deleted'"
 
 
@@ -371,7 +361,7 @@ def history_dedup_earliest(spark, sf_dir):
     return history.earliest(history.file_matches(commits, diffs, DETECTORS)).select("secret_type", "hash16", "sha", "file", "line")
 
 
-PRESENT_SQL = " UNION ALL ".join(f"({detect_sql(d)})" for d in DETECTORS)
+PRESENT_SQL = " UNION ALL ".join(f"({detect_sql(f)})" for f in facts.FACTS)
 FLAG_SQL = f"SELECT e.*, EXISTS (SELECT 1 FROM ({PRESENT_SQL}) p WHERE p.secret_type = e.secret_type AND p.hash16 = e.hash16) AS still_present FROM ({EARLIEST_SQL}) e"
 
 
@@ -395,7 +385,7 @@ def removed_only(spark, sf_dir):
     return history.view(flagged(spark, sf_dir).withColumn("source", F.lit("history")), removed_only=True).select("secret_type", "hash16")
 
 
-MESSAGE_SQL = " UNION ALL ".join(f"({detect_sql(d, 'v_commits', chr(39) + '<commit-message>' + chr(39), 'message', 'sha,', False)})" for d in DETECTORS)
+MESSAGE_SQL = " UNION ALL ".join(f"({detect_sql(f, 'v_commits', chr(39) + '<commit-message>' + chr(39), 'message', 'sha,', False)})" for f in facts.FACTS)
 
 
 @query(f"SELECT sha, file, line, \"column\", secret_type, hint, hash16 FROM ({MESSAGE_SQL})")

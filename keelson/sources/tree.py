@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +39,6 @@ def walk(root: str, o: ScanOptions, folder: str = "", deep: bool = True) -> Iter
     folder: where to begin below root; deep: whether to go on into the folders there. A single
     file is in scope whatever the globs say; links, size and extension still count.
     """
-    import re
-
     wanted = [re.compile(glob_regex(g)) for g in o.include or ("**/*",)]
     dropped = [re.compile(glob_regex(g)) for g in (*DEFAULT_EXCLUDES, *(() if o.include_generated else GENERATED_EXCLUDES), *o.exclude)]
 
@@ -102,48 +101,73 @@ def decoded(data: Column) -> Column:
     return run(data)
 
 
-# Charsets of several bytes a character, and the writing that each is for, as ranges of code points
+# Charsets of several bytes a character, and the writing that each is for, as a class of characters
 CHARSETS = (
-    ("shift_jis", ((0x3040, 0x30FF),)),
-    ("euc_jp", ((0x3040, 0x30FF),)),
-    ("euc_kr", ((0xAC00, 0xD7A3),)),
-    ("gb18030", ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF00, 0xFFEF))),
-    ("big5", ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF00, 0xFFEF))),
+    ("shift_jis", "[\u3040-\u30ff]"),
+    ("euc_jp", "[\u3040-\u30ff]"),
+    ("euc_kr", "[\uac00-\ud7a3]"),
+    ("gb18030", "[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]"),
+    ("big5", "[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]"),
 )
 #: Characters beyond ASCII that have to be of a charset's own writing.
 SHARE, FEWEST = {"euc_kr": 0.8, "gb18030": 0.95, "big5": 0.95}, 4
+# Charsets of one byte a character with Cyrillic letters, and the letters that two of three in Russian, Ukrainian or Bulgarian text are
+CYRILLIC = ("cp1251", "koi8-r", "iso8859-5", "cp866")
+FREQUENT = "оеаинтсрвлкмдпу"
+#: Shares: of beyond-ASCII letters that have one beside them, of the frequent ones among them, and of capitals behind small letters.
+BESIDE, OFTEN, RAISED = 0.7, 0.55, 0.05
+# Fixed values, bytes of Windows-1250: letters where Windows-1252 has signs; s and z with caron; other letters of Czech and Slovak; long o and u of Hungarian
+SIGNS, CARON, CZECH, HUNGARIAN = b"\xa3\xa5\xaf\xb3\xb9\xbf\x8c\x8f\x9c\x9f\xbe\xbc\x9d\x8d", b"\x9a\x9e\x8a\x8e", b"\xec\xf8\xe8\xf9\xf2\xef", b"\xf5\xfb"
 
 
 def charset_of(data: bytes) -> str:
-    """Of text that is not UTF-8: the first charset in which it is valid and mostly of its own writing; else Windows-1252."""
-    sample = data[: 64 << 10]
-    for name, ranges in CHARSETS:
-        # The sample may end within a character
-        for cut in range(4):
-            try:
-                text = sample[: len(sample) - cut].decode(name)
-            except UnicodeDecodeError:
-                continue
-            wide = [ord(c) for c in text if ord(c) > 127]
-            own = sum(any(a <= c <= b for a, b in ranges) for c in wide)
-            # Common hanzi have two high bytes, the first below 0xF8 in GB 2312
-            if len(wide) >= FEWEST and own >= SHARE.get(name, 0.3) * len(wide) and (name != "gb18030" or simplified(sample)):
-                return name
-            break
-    return "cp1252"
+    """Of text that is not UTF-8, from all its lines beyond ASCII: a charset in which it is valid and mostly of its own writing; else Windows-1252."""
+    beyond = b"\n".join(x for x in data.split(b"\n") if not x.isascii())
+    for name, own in CHARSETS:
+        try:
+            text = beyond.decode(name)
+        except UnicodeDecodeError:
+            continue
+        wide = len(text) - len(text.encode("ascii", "ignore"))
+        together = sum(map(len, re.findall("[^\x00-\x7f]{2,}", text)))
+        # Accents among Latin letters stand alone. Common hanzi have two high bytes, the first below 0xF8 in GB 2312
+        if together >= 0.5 * wide and wide >= FEWEST and len(re.findall(own, text)) >= SHARE.get(name, 0.3) * wide and (name != "gb18030" or simplified(beyond)):
+            return name
+    return cyrillic(beyond) or ("cp1250" if central(beyond) else "cp1252")
 
 
 def simplified(data: bytes) -> bool:
     """Whether both bytes of nearly all pairs are high, as in GB 2312; Big5 has low second bytes."""
-    pairs = low = i = 0
-    while i < len(data) - 1:
-        if data[i] < 128:
-            i += 1
+    pairs = re.findall(rb"[\x80-\xff][\x00-\xff]", data)
+    return sum(x[1] < 0xA1 for x in pairs) <= 0.05 * len(pairs)
+
+
+def cyrillic(data: bytes) -> str | None:
+    """The charset in which most letters beyond ASCII stand side by side, are frequent ones, and hardly a capital follows a small letter."""
+    best, name = OFTEN, None
+    for charset in CYRILLIC:
+        text = data.decode(charset, "replace")
+        letters = re.findall("[\u0400-\u045f\u0490\u0491]", text)
+        if len(letters) < FEWEST or len(letters) < BESIDE * (len(text) - len(text.encode("ascii", "ignore"))):
             continue
-        pairs += 1
-        low += data[i + 1] < 0xA1
-        i += 2
-    return low <= 0.05 * pairs
+        runs = sum(map(len, re.findall("[\u0400-\u045f\u0490\u0491]{2,}", text)))
+        raised = len(re.findall("[\u0430-\u045f][\u0400-\u042f]", text))
+        often = sum(c in FREQUENT for c in "".join(letters).lower()) / len(letters)
+        if runs >= BESIDE * len(letters) and raised <= RAISED * len(letters) and often > best:
+            best, name = often, charset
+    return name
+
+
+def central(data: bytes) -> bool:
+    """Whether what Windows-1252 has for signs stands within words, or letters are there that only Czech, Slovak or Hungarian has together."""
+    n = len(re.findall(rb"[\x80-\xff]", data))
+    share = lambda some: len(re.findall(rb"[%s]" % some, data)) / n
+    if n < FEWEST:
+        return False
+    within = len(re.findall(rb"(?<=[A-Za-z\xc0-\xff])[%s]|[%s](?=[a-z\xe0-\xff])" % (SIGNS, SIGNS), data)) / n
+    czech = share(CARON) >= 0.05 and share(CZECH) >= 0.05
+    hungarian = share(HUNGARIAN) >= 0.05 and share(b"\xf6\xfc") > 0 and share(b"\xe1\xe9") > 0
+    return within >= 0.15 or czech or hungarian
 
 
 class Chunk(InputPartition):
