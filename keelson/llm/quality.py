@@ -92,7 +92,11 @@ def encode(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out[:, :CLASSES] = (np.bincount(name * CLASSES + np.minimum(_CLASS[buf], CLASSES - 1), minlength=total * CLASSES).reshape(total, -1) / length[:, None]) ** 0.5
         pair = (buf[:-1].astype(np.uint32) * np.uint32(251) + buf[1:]) * np.uint32(2654435761)
         pair = ((pair >> np.uint32(16)) % np.uint32(PAIRS)).astype(np.int64)
-        out[:, CLASSES : CLASSES + PAIRS] = (np.bincount(name[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, -1) / length[:, None]) ** 0.5
+        # The last byte of a text and the first of the next are no pair
+        own = np.ones(len(pair), bool)
+        edge = offsets[1:-1]
+        own[edge[(edge > 0) & (edge < len(buf))] - 1] = False
+        out[:, CLASSES : CLASSES + PAIRS] = (np.bincount((name[:-1] * PAIRS + pair)[own], minlength=total * PAIRS).reshape(total, -1) / length[:, None]) ** 0.5
     if len(starts):
         many = np.maximum(np.bincount(at, minlength=total), 1)
         wide = (ends - starts).astype(np.float64)
