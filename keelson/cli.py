@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from . import report, requests
 from .engine import Engine, OverCap
 from .operators import baseline, history
 from .sources import config, git
+from .sources.shared import remove, shared_dir
 from .sources.tree import ScanOptions
 
 Out = Callable[[str], None]
@@ -65,10 +67,10 @@ def parser() -> Parser:
 
 
 def shown(findings: DataFrame, o: argparse.Namespace, out: Out) -> None:
-    if o.format == "console":
-        text = "\n".join(report.console(findings))
-    else:
-        text = {"json": report.to_json, "sarif": report.to_sarif}[o.format](findings)
+    if o.output and o.format != "console":
+        {"json": report.save_json, "sarif": report.save_sarif}[o.format](findings, o.output)
+        return
+    text = "\n".join(report.console(findings)) if o.format == "console" else {"json": report.to_json, "sarif": report.to_sarif}[o.format](findings)
     if o.output:
         report.emit(text, o.output)
     else:
@@ -92,19 +94,16 @@ def scan(spark: SparkSession, o: argparse.Namespace, out: Out) -> int:
 
 def watched(engine: Engine, o: argparse.Namespace, out: Out, once: bool = False, since_ns: int | None = None) -> int:
     """Reports until it is interrupted."""
-    import shutil
-    import tempfile
-
     from .streaming.watch import watch
 
-    place = tempfile.mkdtemp(prefix="keelson-watch-")
+    place = f"{shared_dir(engine.spark).rstrip('/')}/keelson-watch-{uuid.uuid4().hex}"
     query = watch(engine.spark, o.path, engine.library(), lambda df: shown(df, o, out), place, since_ns, once, lambda kind: print(f"error: {kind}", file=sys.stderr), engine.options)
     try:
         query.awaitTermination()
     except KeyboardInterrupt:
         query.stop()
     finally:
-        shutil.rmtree(place, ignore_errors=True)
+        remove(engine.spark, place)
     return 0
 
 

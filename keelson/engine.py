@@ -19,7 +19,7 @@ from .operators.history import History
 from .schemas import HISTORY_ROWS
 from .sources import git
 from .sources.shared import stored
-from .sources.tree import ScanOptions, read_tree
+from .sources.tree import ScanOptions, dealt, list_tree, open_files
 
 T = TypeVar("T")
 
@@ -74,8 +74,12 @@ class Engine:
         there are more files than max_files.
         """
         deadline = None if seconds is None else time.time() + seconds
-        files = source.withColumn("size", F.lit(0)) if isinstance(source, DataFrame) else read_tree(self.spark, source, self.options, deadline)
-        files, truncated = findings.limited(files, self.options.max_files)
+        if isinstance(source, DataFrame):
+            files, truncated = findings.limited(source.withColumn("size", F.lit(0)), self.options.max_files)
+        else:
+            # The limit is settled on the listing: no file beyond it is opened
+            listed, truncated = findings.limited(list_tree(self.spark, source, self.options), self.options.max_files)
+            files = open_files(dealt(listed, source, self.options), source, deadline)
         seen = Observation()
         files = files.observe(seen, F.count_if(F.col("content").isNull() & (F.col("size") >= 0)).alias("skipped"), F.count_if(F.col("size") < 0).alias("late"))
         found = findings.working_tree(files.where("content is not null"), self.library(), keep_keys=True)

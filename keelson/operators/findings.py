@@ -44,11 +44,11 @@ def rules(findings: DataFrame) -> DataFrame:
 
 
 def limited(files: DataFrame, most: int | None) -> tuple[DataFrame, bool]:
-    """The first files by path, and whether there are more. Only paths are put in order."""
+    """The first files by path, and whether there are more. Only paths are put in order, and one comes to the driver."""
     if most is None:
         return files, False
-    head = [r.path for r in files.select("path").orderBy("path").limit(most + 1).collect()]
-    return (files, False) if len(head) <= most else (files.where(F.col("path") < head[-1]), True)
+    seen = files.select("path").orderBy("path").limit(most + 1).agg(F.count("*").alias("n"), F.max("path").alias("last")).first()
+    return (files, False) if seen.n <= most else (files.where(F.col("path") < seen["last"]), True)
 
 
 def message_findings(commits: DataFrame, detectors: tuple[Detector, ...]) -> DataFrame:

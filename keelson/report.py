@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import SCHEMA_VERSION, TOOL_VERSION
 from .functions import exprs as X
+from .sources import sink
 
 CAMEL = {"secret_type": "secretType", "suggested_fix": "suggestedFix", "commit_sha": "commitSha", "commit_short": "commitShort", "commit_date": "commitDate", "author_name": "authorName", "still_present": "stillPresent"}
 
@@ -50,15 +51,34 @@ def console(findings: DataFrame) -> Iterator[str]:
         yield summary_line(findings)
 
 
+#: Columns that a scan adds for its own use.
+OWN = ("detector_id", "detector_order", "offset", "hash16")
+ORDER = ("file", "line", "column")
+
+
+def items(findings: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """The JSON text of each finding, under the names of reports, without what is null; in order."""
+    names = [c for c in findings.columns if c not in (*leave_out, *OWN)]
+    shown = [(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") if c == "commit_date" else F.col(c)).alias(CAMEL.get(c, c)) for c in names]
+    return findings.orderBy(*ORDER).select(F.to_json(F.struct(*shown)).alias("item"))
+
+
 def dictionaries(findings: DataFrame, leave_out: tuple[str, ...] = ()) -> Iterator[dict[str, Any]]:
-    names = [c for c in findings.columns if c not in (*leave_out, "detector_id", "detector_order", "offset", "hash16")]
-    shown = findings.select(*[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c) if c == "commit_date" else F.col(c) for c in names])
-    for r in shown.orderBy("file", "line", "column").toLocalIterator():
-        yield {CAMEL.get(c, c): v for c, v in r.asDict().items() if v is not None}
+    for r in items(findings, leave_out).toLocalIterator():
+        yield json.loads(r[0])
+
+
+def json_body(rows: list) -> dict[str, Any]:
+    return {"schemaVersion": SCHEMA_VERSION, "toolVersion": TOOL_VERSION, "findings": rows}
 
 
 def to_json(findings: DataFrame) -> str:
-    return json.dumps({"schemaVersion": SCHEMA_VERSION, "toolVersion": TOOL_VERSION, "findings": list(dictionaries(findings))}, indent=2, ensure_ascii=False)
+    return json.dumps(json_body(list(dictionaries(findings))), indent=2, ensure_ascii=False)
+
+
+def save_json(findings: DataFrame, path: str) -> None:
+    """to_json as a file, written by tasks."""
+    sink.save(items(findings), path, json_body)
 
 
 def to_wire(findings: DataFrame | None, truncated: bool = False, error: str | None = None, **facts: Any) -> str:
@@ -68,16 +88,29 @@ def to_wire(findings: DataFrame | None, truncated: bool = False, error: str | No
     return json.dumps({k: v for k, v in body.items() if v is not None}, ensure_ascii=False)
 
 
-def to_sarif(findings: DataFrame) -> str:
+def sarif_items(findings: DataFrame) -> DataFrame:
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    text = F.concat("hint", F.lit(" ("), "secret_type", F.lit(") — "), F.coalesce("suggested_fix", F.lit("")))
+    row = F.struct(F.col("secret_type").alias("ruleId"), X.sarif_level(F.col("severity")).alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"))
+    return findings.orderBy(*ORDER).select(F.to_json(row).alias("item"))
+
+
+def sarif_body(findings: DataFrame):
+    """The report around its results. Rules are as many as detectors at most."""
     types = [r[0] for r in findings.select("secret_type").distinct().orderBy("secret_type").collect()]
     rules = [{"id": t, "name": t, "shortDescription": {"text": t}, "fullDescription": {"text": f"Detection rule for {t} secrets."}, "defaultConfiguration": {"level": "error"}} for t in types]
-    rows = findings.select("file", "line", "column", "secret_type", "hint", "suggested_fix", X.sarif_level(F.col("severity")).alias("level")).orderBy("file", "line", "column")
-    results = [
-        {"ruleId": r.secret_type, "level": r.level, "message": {"text": f"{r.hint} ({r.secret_type}) — {r.suggested_fix}"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.file}, "region": {"startLine": r.line, "startColumn": r.column}}}]}
-        for r in rows.toLocalIterator()
-    ]
     driver = {"name": "keelson", "version": TOOL_VERSION, "semanticVersion": TOOL_VERSION, "rules": rules}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False)
+    return lambda results: {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}
+
+
+def to_sarif(findings: DataFrame) -> str:
+    return json.dumps(sarif_body(findings)([json.loads(r[0]) for r in sarif_items(findings).toLocalIterator()]), indent=2, ensure_ascii=False)
+
+
+def save_sarif(findings: DataFrame, path: str) -> None:
+    """to_sarif as a file, written by tasks."""
+    sink.save(sarif_items(findings), path, sarif_body(findings))
 
 
 # Colours of severities on a terminal

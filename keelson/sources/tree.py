@@ -7,6 +7,7 @@ import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,47 +171,59 @@ def central(data: bytes) -> bool:
     return within >= 0.15 or czech or hungarian
 
 
-class Chunk(InputPartition):
-    def __init__(self, files: list[tuple[str, str, int]]):
-        self.files = files
+#: Folders above this depth are a task of their own; deeper ones go with the one above.
+DEPTH = 2
 
 
-class TreeReader(DataSourceReader):
-    """Partitions of about equal bytes; contents are read where they are needed."""
+def folders(root: str, o: ScanOptions) -> list[tuple[str, bool]]:
+    """(folder below root, whether what is in its folders goes with it): the tasks of a listing."""
+    if not os.path.isdir(root):
+        return [("", False)]
+    out, level = [], [""]
+    for depth in range(DEPTH + 1):
+        out += [(folder, depth == DEPTH) for folder in level]
+        below = []
+        for folder in level if depth < DEPTH else ():
+            try:
+                below += [os.path.join(folder, e.name) for e in os.scandir(os.path.join(root, folder)) if e.is_dir(follow_symlinks=o.follow_symlinks)]
+            except OSError:
+                continue
+        level = below
+    return out
+
+
+class Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+class ListingReader(DataSourceReader):
+    """Folders are listed by tasks; what is planned is the folders of the upper levels."""
 
     def __init__(self, options: dict[str, str]):
         split = lambda name: tuple(filter(None, options.get(name, "").split("|")))
         self.root = options["path"]
-        self.bytes = int(options.get("partitionbytes", 32 << 20))
-        self.cores = int(options.get("cores", 1))
-        self.deadline = float(options.get("deadline", 0))
         self.options = ScanOptions(include=split("include") or ("**/*",), exclude=split("exclude"), include_generated=options.get("includegenerated") == "true", follow_symlinks=options.get("followsymlinks") == "true", max_file_size=int(options.get("maxfilesize", 5 << 20)))
 
     def partitions(self):
-        out, held, size = [], [], 0
-        files = list(walk(self.root, self.options))
-        # Small trees are dealt over all cores
-        most = min(self.bytes, max(1 << 18, sum(f[2] + 4096 for f in files) // self.cores + 1))
-        for f in files:
-            held.append(f)
-            size += f[2] + 4096
-            if size >= most:
-                out.append(Chunk(held))
-                held, size = [], 0
-        return [*out, Chunk(held)] if held or not out else out
+        return [Folder(path, deep) for path, deep in folders(self.root, self.options)]
 
     def read(self, partition):
-        rows, size = [], 0
-        for full, path, n in partition.files:
-            # Beyond the deadline files are listed, not read
-            late = bool(self.deadline) and time.time() > self.deadline
-            rows.append((path, None if late else contents(full), -1 if late else n))
-            size += 0 if late else n
-            if size >= 4 << 20 or len(rows) == 1024:
-                yield batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield batch(rows)
+        files = walk(self.root, self.options, partition.path, partition.deep)
+        while some := list(islice(files, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in some], pa.string()), pa.array([f[2] for f in some], pa.int64())], names=["path", "size"])
+
+
+class ListingSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "keelson_listing"
+
+    def schema(self):
+        return "path string, size long"
+
+    def reader(self, schema):
+        return ListingReader({k.lower(): v for k, v in self.options.items()})
 
 
 def contents(full: str) -> str | None:
@@ -225,29 +238,45 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "content", "size"])
 
 
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "keelson_tree"
+def list_tree(spark: SparkSession, root: str, o: ScanOptions | None = None) -> DataFrame:
+    """(path, size) of the files in scope; none is opened."""
+    o = o or ScanOptions()
+    workers_find_package(spark)
+    spark.dataSource.register(ListingSource)
+    r = spark.read.format("keelson_listing").option("include", "|".join(o.include)).option("exclude", "|".join(o.exclude))
+    r = r.option("includeGenerated", str(o.include_generated).lower()).option("followSymlinks", str(o.follow_symlinks).lower()).option("maxFileSize", str(o.max_file_size))
+    return r.load(root)
 
-    def schema(self):
-        return "path string, content string, size long"
 
-    def reader(self, schema):
-        return TreeReader({k.lower(): v for k, v in self.options.items()})
+def open_files(files: DataFrame, root: str, deadline: float | None = None) -> DataFrame:
+    """(path, content, size) of listed files, read where their rows are; content is null for binary or unreadable files.
+
+    deadline: seconds since the epoch; a file whose turn comes later is not read and has the size -1.
+    """
+    workers_find_package(files.sparkSession)
+    alone = os.path.isfile(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for path, n in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), strict=True):
+                late = deadline is not None and time.time() > deadline
+                rows.append((path, None if late else contents(root if alone else os.path.join(root, path)), -1 if late else n))
+                held += 0 if late else n
+                if held >= 4 << 20 or len(rows) == 1024:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return files.select("path", "size").mapInArrow(run, "path string, content string, size long")
 
 
 def read_tree(spark: SparkSession, root: str, o: ScanOptions | None = None, deadline: float | None = None) -> DataFrame:
-    """(path, content, size); content is null for binary or unreadable files, which count as skipped.
+    """Lists a tree and opens its files, dealt over all cores."""
+    return open_files(dealt(list_tree(spark, root, o), root, o or ScanOptions()), root, deadline)
 
-    deadline: seconds since the epoch; a file whose turn comes later is not read and has the size -1.
-    """
-    o = o or ScanOptions()
-    workers_find_package(spark)
-    spark.dataSource.register(TreeSource)
-    r = spark.read.format("keelson_tree").option("include", "|".join(o.include)).option("exclude", "|".join(o.exclude))
-    r = r.option("includeGenerated", str(o.include_generated).lower()).option("followSymlinks", str(o.follow_symlinks).lower()).option("maxFileSize", str(o.max_file_size))
-    r = r.option("cores", str(spark.sparkContext.defaultParallelism))
-    if deadline is not None:
-        r = r.option("deadline", str(deadline))
-    return r.load(root)
+
+def dealt(files: DataFrame, root: str, o: ScanOptions) -> DataFrame:
+    """Listed files one by one over at least all cores, and as many tasks as folders."""
+    return files.repartition(max(2 * files.sparkSession.sparkContext.defaultParallelism, len(folders(root, o))))

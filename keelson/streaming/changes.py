@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import time
 import zlib
@@ -23,10 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..sources.shared import workers_find_package
-from ..sources.tree import ScanOptions, walk
+from ..sources.tree import ScanOptions, contents, folders, walk
 
-#: Folders above this depth are a task of their own; deeper ones go with the one above.
-DEPTH = 2
 #: A file whose time is so near the listing's may change again without its times: its bytes are compared, too.
 NEAR_NS = 100_000_000
 KEYS = ["path", "size", "mtime", "ctime", "inode", "crc"]
@@ -51,20 +50,7 @@ class ChangeReader(DataSourceStreamReader):
         return {"ns": time.time_ns()}
 
     def partitions(self, start, end):
-        if not os.path.isdir(self.root):
-            return [Folder("", False, start["ns"], end["ns"])]
-        out, level = [], [""]
-        for depth in range(DEPTH + 1):
-            below = []
-            for folder in level:
-                out.append(Folder(folder, depth == DEPTH, start["ns"], end["ns"]))
-                if depth < DEPTH:
-                    try:
-                        below += [os.path.join(folder, e.name) for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=self.options.follow_symlinks)]
-                    except OSError:
-                        continue
-            level = below
-        return out
+        return [Folder(path, deep, start["ns"], end["ns"]) for path, deep in folders(self.root, self.options)]
 
     def manifest(self, tick: int, part: Folder) -> str:
         return os.path.join(self.state, str(tick), f"{zlib.crc32(part.path.encode()):08x}-{part.path.replace(os.sep, '+')[-80:]}.parquet")
@@ -147,13 +133,11 @@ def changes(spark: SparkSession, root: str, state: str, since_ns: int | None = N
     workers_find_package(spark)
     spark.dataSource.register(ChangeSource)
     stream = spark.readStream.format("keelson_changes").option("scan", json.dumps(asdict(options or ScanOptions())))
-    return stream.option("state", state.removeprefix("file://")).option("since", str(time.time_ns() if since_ns is None else since_ns)).load(root)
+    return stream.option("state", re.sub("^file:(//)?(?=/)", "", state)).option("since", str(time.time_ns() if since_ns is None else since_ns)).load(root)
 
 
 def opened(paths: DataFrame, root: str) -> DataFrame:
     """(path, content) of the paths that can still be read and are text, read by tasks."""
-    from ..sources.tree import contents
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():

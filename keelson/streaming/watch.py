@@ -37,6 +37,6 @@ def watch(spark: SparkSession, root: str, detectors: tuple[Detector, ...], repor
         except Exception as e:  # noqa: BLE001
             failed(type(e).__name__)
 
-    seen = changes(own, root, os.path.join(checkpoint.removeprefix("file://"), "manifests"), since_ns, options)
+    seen = changes(own, root, f"{checkpoint}/manifests", since_ns, options)
     out = (seen if once else debounced(seen, gap_ms)).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=EVERY)).start()

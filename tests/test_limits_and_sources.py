@@ -10,10 +10,11 @@ import pytest
 
 from keelson.catalogue import DETECTORS
 from keelson.engine import Engine, Stop
-from keelson.operators import graph
+from keelson.operators import findings, graph
 from keelson.operators.history import History
 from keelson.service import Limits, Service
 from keelson.sources import git
+from keelson.sources.tree import ScanOptions, list_tree, open_files
 
 AKIA = "AKIA" + "IOSFODNN7EXAMPLE"
 
@@ -168,3 +169,23 @@ def test_requests_are_checked_and_answered(spark, repository, tmp_path):
     ):
         body = json.loads(answer)
         assert word in body["error"] and body["findings"] == [], answer
+
+
+def test_the_limit_of_files_is_settled_on_the_listing(spark, tmp_path):
+    for i in range(3000):
+        folder = tmp_path / f"t/d{i % 30:02d}/e/f"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i:04d}.cs").write_text(f'"{AKIA}"')
+    root = str(tmp_path / "t")
+    listed = list_tree(spark, root)
+    assert listed.count() == 3000 and listed.columns == ["path", "size"]
+    files, more = findings.limited(listed, 10)
+    opened = open_files(files, root).collect()
+    assert more and sorted(r.path for r in opened) == [f"d00/e/f/{i:04d}.cs" for i in range(0, 300, 30)]
+    plan = files._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+    result = Engine(spark, options=ScanOptions(max_files=10)).scan(root)
+    assert result.truncated and result.findings.count() == 10
+    assert not Engine(spark, options=ScanOptions(max_files=3000)).scan(root).truncated
+    one = Engine(spark).scan(f"{root}/d00/e/f/0000.cs").findings.collect()
+    assert [r.file for r in one] == ["0000.cs"]
