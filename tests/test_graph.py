@@ -93,3 +93,27 @@ def test_five_hundred_branches_keep_rows_for_chains_only(spark):
     assert found.upto.count() <= 2 * 500
     two = spark.createDataFrame([("m04985",), ("m00000",)], "sha string")
     assert {(r.sha, len(r.branches)) for r in found.labels_of(two).collect()} == {("m04985", 1), ("m00000", 500)}
+
+
+@pytest.mark.parametrize("k, steps, walked", [(2, 99, 1 << 17), (4, 99, 1 << 17), (0, 3, 1 << 17), (1, 99, 20)])
+def test_closure_of_large_graphs_is_what_a_walk_finds(spark, k, steps, walked, monkeypatch):
+    """By a walk, and by chains where a walk is too long or too wide."""
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    monkeypatch.setattr(graph, "STEPS", steps)
+    monkeypatch.setattr(graph, "WALKED", walked)
+    parents = histories()[k]
+    commits = sorted(parents)
+    seeds = [("l0", commits[-1]), ("l1", commits[len(commits) // 2]), ("l1", commits[0]), ("lone", "nowhere else"), ("l0", None)]
+    want = walk(parents, [s for s in seeds if s[1]])
+    edge, tips = table(spark, parents), spark.createDataFrame(seeds, "label string, sha string")
+    assert sorted(tuple(r) for r in graph.closure(tips, edge, "label").collect()) == sorted(want)
+    assert sorted(r.sha for r in graph.closure(tips, edge).collect()) == sorted({c for _, c in want})
+
+
+def test_few_commits_of_a_large_graph_need_no_chains(spark, monkeypatch):
+    """Chains deal out all commits; a tip near the root reaches few of them."""
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    monkeypatch.setattr(graph, "chains", lambda *_: pytest.fail("chains of the whole graph"))
+    edge = spark.range(1, 5000).select(F.col("id").cast("string").alias("sha"), F.lit(0).alias("parent_idx"), F.floor((F.col("id") - 1) / 2).cast("string").alias("parent"))
+    tip = spark.createDataFrame([("100",)], "sha string")
+    assert sorted(int(r.sha) for r in graph.closure(tip, edge).collect()) == [0, 2, 5, 11, 24, 49, 100]
