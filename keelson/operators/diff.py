@@ -2,39 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
 
-def added(patch: Column, fix_plus_lines: bool = False) -> Column:
-    """Array of (line, text) of the added lines of a patch. Built-in functions only, in proportion to its lines.
+def added_lines(diffs: DataFrame, fix_plus_lines: bool = False) -> DataFrame:
+    """(sha, path, line, text) of each added line. Built-in functions only, without inner functions, in proportion to the lines.
 
     Text before the first `@@` is skipped; `@@` sets the number; `+` lines are added and advance
     it; `-` and `\\` do not; anything else does. A line that starts with `+++` within a hunk is
     dropped and does not advance it, unless fix_plus_lines.
     """
-    text = F.regexp_replace(F.coalesce(patch, F.lit("")), "\r\n|\r", "\n")
-    # A final line feed ends the last line; it does not begin another
-    text = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    hunks = F.split(F.concat(F.lit("\n"), text), "\n(?=@@)", -1)
-
-    double = lambda x: x.startswith("+++") & (~F.lit(fix_plus_lines))
-
-    def lines(all_lines):
-        # Lines that do not advance go first, so that the place among the rest is the number
-        counted = F.filter(F.slice(all_lines, F.lit(2), F.size(all_lines)), lambda x: ~(x.startswith("-") | x.startswith("\\") | double(x)))
-        numbered = lambda start: F.transform(counted, lambda x, i: F.struct((start + i).cast("int").alias("line"), x.alias("text")))
-        plus = F.filter(X.bound(X.hunk_start(F.element_at(all_lines, 1)), numbered), lambda x: x["text"].startswith("+"))
-        return F.transform(plus, lambda x: F.struct(x["line"].alias("line"), F.substring(x["text"], F.lit(2), F.length(x["text"])).alias("text")))
-
-    return F.flatten(F.transform(F.slice(hunks, F.lit(2), F.size(hunks)), lambda h: X.bound(F.split(h, "\n", -1), lines)))
-
-
-def added_lines(diffs: DataFrame, fix_plus_lines: bool = False) -> DataFrame:
-    """(sha, path, line, text) of each added line."""
-    return diffs.select("sha", "path", F.explode(added(F.col("patch"), fix_plus_lines)).alias("a")).select("sha", "path", "a.line", "a.text")
+    text = F.replace(F.replace(F.coalesce("patch", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    # A final line feed gives an empty line at the end, which is none of those added
+    hunks = diffs.select("sha", "path", F.posexplode(F.split(F.concat(F.lit("\n"), text), "\n(?=@@)", -1)).alias("i", "hunk")).where("i > 0")
+    hunks = hunks.select("sha", "path", X.hunk_start(F.substring_index("hunk", "\n", 1)).alias("start"), "hunk")
+    # Without the lines that do not advance, the place among the rest is the number; the header is line 0
+    other = r"\n(?:-|\\" + ("" if fix_plus_lines else r"|\+\+\+") + r")[^\n]*"
+    counted = F.split(F.regexp_replace("hunk", other, ""), "\n", -1)
+    lines = hunks.select("sha", "path", "start", F.posexplode(counted).alias("at", "x"))
+    return lines.where(F.col("x").startswith("+") & (F.col("at") > 0)).select("sha", "path", (F.col("start") + (F.col("at") - 1)).cast("int").alias("line"), F.substring("x", F.lit(2), F.length("x")).alias("text"))
 
 
 def enumerate_added(patch: str | None, fix_plus_lines: bool = False) -> list[tuple[int, str]]:

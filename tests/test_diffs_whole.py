@@ -2,6 +2,7 @@
 
 from hashlib import md5
 
+from keelson.operators.diff import added_lines
 from keelson.plans import catalog
 from keelson.plans.derived import view
 
@@ -22,3 +23,11 @@ def test_added_lines_of_late_orders(spark, tmp_path):
 def test_all_rows_have_a_diff(spark):
     sf = "/root/testdata/sf0.01"
     assert view(spark, sf, "v_diffs").count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_added_lines_without_inner_functions(spark):
+    """Functions of elements are interpreted, one call an element; lines are rows, in generated code."""
+    patch = "--- a\n+++ b\n@@ -1 +3 @@ +9\r\n+a\r\n-b\r\n+++c\r k\n+\n@@ -9 +2147483647 @@\n+last"
+    rows = added_lines(spark.createDataFrame([("s", "p", patch), ("t", "p", None)], "sha string, path string, patch string"))
+    assert sorted(map(tuple, rows.collect())) == [("s", "p", 3, "a"), ("s", "p", 5, ""), ("s", "p", 2147483647, "last")]
+    assert "lambda" not in rows._jdf.queryExecution().toString()
