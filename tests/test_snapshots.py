@@ -4,10 +4,12 @@ import random
 import subprocess
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from keelson.catalogue import DETECTORS
 from keelson.engine import Engine
 from keelson.functions import linediff
-from keelson.operators import diff, snapshots
+from keelson.operators import diff, history, snapshots
 
 AKIA = "AKIA" + "IOSFODNN7EXAMPLE"
 
@@ -81,3 +83,15 @@ def test_a_history_of_snapshots(spark):
     files = spark.createDataFrame([("a", "x.env", f"k\nkey={AKIA}\n"), ("b", "x.env", f"k\nkey={AKIA}\nPassword=real-one-here\n"), ("b", "y.env", f"key={AKIA}\n")], "sha string, path string, content string")
     found = Engine(spark, DETECTORS).scan_history(snapshots.history(commits, refs, files, "b")).findings.collect()
     assert {(r.secret_type, r.commit_sha, r.file, r.line, r.still_present) for r in found} == {("AwsAccessKey", "a", "x.env", 2, True), ("ConnectionString", "b", "x.env", 3, True)}
+
+
+def test_exchanges_of_matches_carry_no_facts(spark):
+    """What a detector says of all its matches is put in after them, and a commit goes with its order once."""
+    commits = spark.createDataFrame([("c1", "2024-01-02", "A"), ("c2", "2024-01-01", "B")], "sha string, author_when string, author_name string").withColumn("author_when", F.to_timestamp("author_when"))
+    text = "AKIA" + "Q" * 16
+    diffs = spark.createDataFrame([(c, f"{c}.env", "added", f"@@ -0,0 +1 @@\n+{text}\n", text + "\n") for c in ("c1", "c2")], "sha string, path string, status string, patch string, content string")
+    found = history.earliest(history.file_matches(commits, diffs, DETECTORS), DETECTORS)
+    assert [(r.sha, r.file, r.author_name, r.detector_id, r.secret_type, r.severity, r.line, r.offset) for r in found.collect()] == [("c2", "c2.env", "B", "aws.access_key_id", "AwsAccessKey", "critical", 1, 0)]
+    assert "suggested_fix" in found.columns and found.first()["suggested_fix"] == DETECTORS[2].suggested_fix and len(found.first()["hash16"]) == 32
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "suggested_fix" not in plan.split("SortMergeJoin")[-1].split("Generate")[0] and "unhex" in plan
