@@ -13,6 +13,7 @@ from keelson.functions import keywords as K
 from keelson.functions import patches as P
 from keelson.operators import diff
 from keelson.operators.match import alone, matches
+from keelson.plans import catalog
 
 
 def low(text):
@@ -97,3 +98,25 @@ def test_a_large_patch_is_linear(spark):
     whole = (Detector(**{**key[0].__dict__, "one_line": False}),)
     lines = [[r.line for r in matches(df, ds, keep=("sha",), patch="patch").collect()] for ds in (key, whole)]
     assert sorted(lines[0]) == sorted(lines[1]) == [i + 1 for i in range(0, n, 20)]
+
+
+def test_single_matches_are_placed_as_several_are(spark):
+    """A match whose text stands earlier too, where the expression does not hold; wide characters; groups; lines that count."""
+    aws = tuple(Detector(**{**d.__dict__, "one_line": False}) for d in DETECTORS if d.id == "aws.access_key_id")
+    other = (Detector("o", "O", "low", "(?<=é)((k)=)([a-z]+)", 2, 3, keywords=("k=",)), Detector("p", "P", "low", "((k)=)([0-9]+)", 2, 3, keywords=("k=",)))
+    key = "AKIA" + "Q" * 16
+    rows = [("a", f"😀x{key}\né {key}"), ("b", "k=ab\n😀ék=ab k=77"), ("c", f"\n\n😀 {key}"), ("d", f"{key}\n{key} {key}"), ("e", ""), ("f", None)]
+    df = spark.createDataFrame([(p, c, "@@ -1 +00000000000002 @@\n+x") for p, c in rows], "path string, content string, patch string")
+    show = lambda **more: sorted((r.file, r.secret_type, r.line, r.column, r.offset, r.hint) for r in matches(df, (*aws, *other), **more).collect())
+    hint = "AwsAccessKey=***"
+    want = [("a", "AwsAccessKey", 2, 3, 25, hint), ("b", "O", 2, 5, 9, "k=***"), ("b", "P", 2, 10, 14, "k=***"), ("c", "AwsAccessKey", 3, 3, 4, hint), ("d", "AwsAccessKey", 1, 1, 0, hint), ("d", "AwsAccessKey", 2, 1, 21, hint), ("d", "AwsAccessKey", 2, 22, 42, hint)]
+    assert show() == want
+    assert show(patch="patch") == [w for w in want if w[2] == 2]
+
+
+def test_views_of_secrets_exchange_secrets_only(spark):
+    """Neither the order of matches nor what is shown of them is worked out where it is not asked for."""
+    for name in ("still_present", "still_present_only", "removed_only"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2" in plan
+        assert not [x for x in ("min(struct", "author_when", "=***") if x in plan], name
